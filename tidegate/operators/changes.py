@@ -18,14 +18,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
         return df.select(*key, F.struct(*[F.col(column) for column in rest], F.lit(True).alias("__there")).alias(name))
 
     a, b = packed(old, "__old"), packed(new, "__new")
-    joined = a.join(b, same_keys(a, b, key), "full_outer")
+    joined = a.alias("l").join(b.alias("r"), same_keys(key), "full_outer")
     missing_old, missing_new = F.col("__old").isNull(), F.col("__new").isNull()
     change = (
         F.when(missing_old, "insert").when(missing_new, "delete")
         .when(F.col("__old").eqNullSafe(F.col("__new")), "unchanged").otherwise("update")
     )
     row = F.coalesce("__new", "__old")
-    keys = [F.coalesce(b[name], a[name]).alias(name) for name in key]
+    keys = [F.coalesce(F.col(f"r.{name}"), F.col(f"l.{name}")).alias(name) for name in key]
     return joined.select(*keys, *[row[name].alias(name) for name in rest], change.alias("change")).withColumn(
         "changed", F.col("change") != "unchanged"
     )

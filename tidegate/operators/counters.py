@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.scale import same_keys
+from tidegate.scale import keyed_join
 
 
 def micros(column: Column) -> Column:
@@ -32,8 +32,8 @@ def counter_increase(
     lasts = cut.groupBy(*key, "__bucket").agg(F.max_by(reading, F.struct(*place)).alias("__last"))
     chain = Window.partitionBy(*key).orderBy("__bucket")
     entries = lasts.select(*key, "__bucket", F.lag("__last").over(chain).alias("__entry"))
-    joined = local.join(entries, same_keys(local, entries, [*key, "__bucket"]), "left").select(
-        *[local[name] for name in df.columns], F.coalesce(local["__before"], entries["__entry"]).alias("__before")
+    joined = keyed_join(local, entries, [*key, "__bucket"], "left").select(
+        *df.columns, F.coalesce("__before", "__entry").alias("__before")
     )
     same = F.col("__before.started") == F.col(started)
     growth = F.greatest(F.lit(0), F.col(counter) - F.col("__before.counter"))

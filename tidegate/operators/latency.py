@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.states import is_reachable
-from tidegate.scale import same_keys
+from tidegate.scale import keyed_join
 
 
 def _bin(value: Column) -> Column:
@@ -34,11 +34,7 @@ def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     middle = bins.filter((F.col("start") <= high) & (F.col("start") + F.col("size") > low)).select(
         *by, "bin", "start", low.alias("low"), high.alias("high")
     )
-    left, right = equal.alias("e"), middle.alias("m")
-    on = F.col("e.bin") == F.col("m.bin")
-    for key in by:
-        on = on & F.col(f"e.{key}").eqNullSafe(F.col(f"m.{key}"))
-    found = left.join(right, on).select(*[F.col(f"e.{key}") for key in by], "e.bin", "v", "n", "start", "low", "high")
+    found = keyed_join(equal, middle, [*by, "bin"])
     in_bin = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("start") + F.coalesce(F.sum("n").over(in_bin), zero)
     placed = found.withColumn("first", first).withColumn("last", F.col("first") + F.col("n") - 1)
@@ -65,9 +61,9 @@ def latency_stats(
         F.max(latency).alias("worst"),
     )
     medians = exact_median(samples, key, latency)
-    joined = counts.join(medians, same_keys(counts, medians, key), "left")
+    joined = keyed_join(counts, medians, key, "left")
     rows = joined.select(
-        *[counts[name] for name in key], "checks", "reachable", "latest", "median", "worst",
+        *key, "checks", "reachable", "latest", "median", "worst",
         availability(F.col("reachable"), F.col("checks")).alias("availability"),
     )
     if by:

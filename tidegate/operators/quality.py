@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.text import is_blank
 from tidegate.results import GateError, GateResult, failed, int64, succeeded, utc_now
+from tidegate.scale import keyed_join
 from tidegate.sources.checks import file_facts, require_utf8
 from tidegate.sources.strict_csv import (
     is_first_record, ragged_message, records, require_rectangular, require_well_formed,
@@ -192,7 +193,7 @@ def quality_csv(
 def floor_gate(measured: DataFrame, floors: DataFrame, key: str, value: str = "executed") -> DataFrame:
     """(key, floor, value, ok, message): each floor against the sum measured for its group; a missing group fails."""
     sums = measured.groupBy(key).agg(F.sum(value).cast("long").alias(value))
-    joined = floors.join(sums, floors[key].eqNullSafe(sums[key]), "left").select(floors[key], floors["floor"], sums[value])
+    joined = keyed_join(floors.select(key, "floor"), sums, [key], "left")
     ok = F.coalesce(F.col(value) >= F.col("floor"), F.lit(False))
     missing = F.concat(F.col(key), F.lit(": no reports"))
     below = F.concat(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.text import elapsed_millis, strip
-from tidegate.scale import newest_per, same_keys, spread_join
+from tidegate.scale import keyed_join, newest_per, spread_join
 
 # How much of each history is kept or shown.
 RIBBON, RECENT, SAMPLES, ACTIVITY_KEEP, KEEP_PER_PROFILE, LIVE_LIMIT = 10, 8, 120, 500, 200, 100
@@ -23,9 +23,9 @@ def with_newest_runs(
     newest = newest_per(runs, [key], order, n, rank="__place")
     item = F.struct("__place", *shown)
     arrays = newest.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("runs"))
-    joined = pipelines.join(arrays, same_keys(pipelines, arrays, [key]), "left")
+    joined = keyed_join(pipelines, arrays, [key], "left")
     typed = F.transform("runs", lambda run: F.struct(*[run[name].alias(name) for name in shown]))
-    return joined.select(*[pipelines[name] for name in pipelines.columns], F.coalesce(typed, F.array()).alias("runs"))
+    return joined.withColumn("runs", F.coalesce(typed, F.array()))
 
 
 def recent_feed(*feeds: DataFrame, n: int = RECENT, at: str = "started_at", key: str = "key") -> DataFrame:
@@ -60,9 +60,7 @@ def last_samples(
     recorded = df if state is None else df.filter(F.coalesce(F.col(state) != "NOT_CONFIGURED", F.lit(True)))
     newest = newest_per(recorded, key, order, n, rank="__newest")
     sizes = newest.groupBy(*key).agg(F.max("__newest").alias("__kept"))
-    placed = newest.join(sizes, same_keys(newest, sizes, key)).select(
-        *[newest[name] for name in newest.columns], "__kept"
-    )
+    placed = keyed_join(newest, sizes, key)
     return placed.withColumn("place", F.col("__kept") - F.col("__newest") + 1).drop("__kept", "__newest")
 
 

@@ -6,6 +6,8 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 SUCCEEDED = "SUCCEEDED"
@@ -21,6 +23,10 @@ class GateError(ValueError):
     """Input or parameters break a contract; the message never holds cell or parameter values."""
 
 
+# What a failed Spark job raises; inside a stream's batch function it arrives unconverted.
+JOB_ERRORS = (GateError, PySparkException, Py4JJavaError)
+
+
 def utc_now() -> datetime:
     return datetime.now(timezone.utc)
 

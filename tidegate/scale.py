@@ -41,14 +41,21 @@ def salt(columns: list[str], salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*[F.col(name) for name in columns]), F.lit(salts))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of the key columns of two tables."""
+def same_keys(keys: list[str]) -> Column:
+    """Null-safe equality of the key columns of two tables aliased l and r."""
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
+        condition = condition & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     return condition
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """All columns of ``left`` and the other columns of ``right``, for keys that are unique on the right."""
+    joined = left.alias("l").join(right.alias("r"), same_keys(keys), how)
+    added = [F.col(f"r.{name}") for name in right.columns if name not in keys]
+    return joined.select(*[F.col(f"l.{name}") for name in left.columns], *added)
+
+
 def spread_join(
     big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, residual: str | None = None,
     spread_by: list[str] | None = None, salts: int = SALTS,
@@ -63,9 +70,7 @@ def spread_join(
     dealt = big.withColumn(piece, salt(spread_by or big.columns, salts))
     repeated = small.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     left, right = dealt.alias("l"), repeated.alias("r")
-    on = F.col(f"l.{piece}") == F.col(f"r.{piece}")
-    for key in keys:
-        on = on & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    on = (F.col(f"l.{piece}") == F.col(f"r.{piece}")) & same_keys(keys)
     if residual:
         on = on & F.expr(residual)
     joined = left.join(right, on, how)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.results import RESULT_SCHEMA, GateError, GateResult, failed, int64, succeeded, utc_now
+from tidegate.results import JOB_ERRORS, RESULT_SCHEMA, GateError, GateResult, failed, int64, succeeded, utc_now
 from tidegate.sources.checks import require_decodable
 from tidegate.sources.options import allow_charset, clean_schema, csv_options
 from tidegate.sources.paths import delete, exists, file_system, hadoop_path, require_inside, require_literal, require_separate
@@ -115,7 +114,7 @@ def csv_to_parquet(
         source = require_data_files(read_dataset(spark, "csv", input, options, clean_schema(schema)))
         require_decodable(spark, input, options["encoding"])
         rows = publish(source, output, mode)["rows"]
-    except (GateError, PySparkException) as error:
+    except JOB_ERRORS as error:
         return failed("csv-to-parquet", str(error), {}, started)
     return succeeded("csv-to-parquet", f"Wrote {rows} rows to {output}", metrics(rows, False), started)
 
@@ -140,7 +139,7 @@ def row_count(
         if kind == "csv":
             require_decodable(spark, input, options["encoding"])
         rows = complete_count(data) if kind in COMPLETE_RECORD_FORMATS else data.count()
-    except (GateError, PySparkException) as error:
+    except JOB_ERRORS as error:
         return failed("row-count", str(error), {}, started)
     metrics = {"rows": str(rows), "input": input, "inputFormat": fmt}
     if expected is not None and expected != rows:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +16,7 @@ from tidegate.operators.changes import snapshot_diff
 from tidegate.operators.counters import counter_increase, rolling_sum
 from tidegate.operators.latency import latency_stats
 from tidegate.operators.runs import SAMPLES, latest_of
-from tidegate.results import GateError
+from tidegate.results import JOB_ERRORS, GateError
 from tidegate.scale import newest_per
 from tidegate.sources.options import csv_options
 from tidegate.sources.checks import require_decodable
@@ -159,7 +158,7 @@ def ingest_landing(
             require_decodable(spark, paths, options["encoding"])
             complete_count(parsed(paths))
             return []
-        except (GateError, PySparkException) as error:
+        except JOB_ERRORS as error:
             if len(paths) == 1:
                 return [(paths[0], str(error) if isinstance(error, GateError) else "malformed records")]
         half = len(paths) // 2
@@ -173,7 +172,7 @@ def ingest_landing(
             require_decodable(spark, paths, options["encoding"])
             parsed(paths).write.mode("overwrite").parquet(target)
             return
-        except (GateError, PySparkException):
+        except JOB_ERRORS:
             bad = broken(paths)
         spark.createDataFrame(bad, "path string, problem string").write.mode("overwrite").json(f"{quarantine}/batch={batch}")
         fine = [path for path in paths if path not in {name for name, _ in bad}]
