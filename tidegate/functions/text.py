@@ -15,7 +15,9 @@ WHOLE_NUMBER = r"\A[+-]?[0-9]+\z"
 
 def is_blank(column: Column) -> Column:
     """Null, empty, or nothing but Unicode white space."""
-    return F.coalesce(column, F.lit("")).rlike(BLANK_PATTERN)
+    text = F.coalesce(column, F.lit(""))
+    # A visible ASCII character in front settles it without the pattern.
+    return F.when(F.ascii(text).between(33, 127), False).otherwise(text.rlike(BLANK_PATTERN))
 
 
 def strip(column: Column) -> Column:

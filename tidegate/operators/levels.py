@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,31 +13,41 @@ from tidegate.scale import materialize, number_within
 def graph_levels(nodes: DataFrame, *, node: str = "id", downstream: str = "downstream", position: str = "position") -> DataFrame:
     """(id, level, row): the longest way from a source, and the place within that level by ``position``.
 
-    Tasks are peeled from the sources, one level per round, and every round's rest is written to the shared folder.
-    Targets that are no task are ignored; tasks on or below a cycle are never peeled and stay at level 0.
+    Each round peels the tasks that wait for nobody: of the edges, those stay whose source is itself a target. The rest
+    is written to the shared folder, so a lost executor costs one round at most. A task's level is the number of rounds
+    it was still a target. Targets that are no task are ignored; the edges that no round removes belong to cycles, and
+    tasks on or below one stay at level 0.
     """
     tasks = nodes.groupBy(node).agg(F.min_by(F.struct(downstream, position), position).alias("first")).select(
         F.col(node).alias("id"), F.col(f"first.{downstream}").alias("next"), F.col(f"first.{position}").alias("position")
     )
     tasks = materialize(tasks, "graph-tasks")
-    ids = tasks.select("id")
-    targets = tasks.select(F.col("id").alias("source"), F.explode("next").alias("target")).distinct()
-    edges = materialize(targets.join(ids, targets["target"] == ids["id"], "left_semi"), "graph-edges")
-    rest, placed, level = ids, None, 0
-    while True:
-        waiting = edges.select(F.col("target").alias("id")).distinct()
-        ready = materialize(rest.join(waiting, "id", "left_anti"), "graph-ready")
-        if ready.isEmpty():
-            break
-        found = ready.select("id", F.lit(level).alias("level"))
-        placed = found if placed is None else placed.unionByName(found)
-        level += 1
-        rest = materialize(rest.join(ready, "id", "left_anti"), "graph-rest")
+    known = tasks.select(F.col("id").alias("target"))
+    edges = tasks.select(F.col("id").alias("source"), F.explode("next").alias("target")).distinct()
+    edges = materialize(edges.join(known, "target", "left_semi").select("source", "target"), "graph-edges")
+    waiting, count = [], edges.count()
+    while count:
+        targets = edges.select("target").distinct()
+        waiting.append(targets)
         edges = materialize(
-            edges.join(ready.select(F.col("id").alias("source")), "source", "left_anti"), "graph-edges"
+            edges.join(targets.select(F.col("target").alias("source")), "source", "left_semi").select("source", "target"),
+            "graph-edges",
         )
-    if placed is None:
-        levels = tasks.select("id", "position", F.lit(0).alias("level"))
-    else:
-        levels = tasks.join(placed, "id", "left").select("id", "position", F.coalesce("level", F.lit(0)).alias("level"))
-    return number_within(levels, ["level"], "position", "row").select("id", "level", "row")
+        left = edges.count()
+        if left == count:
+            break
+        count = left
+    if not waiting:
+        placed = tasks.select("id", "position", F.lit(0).alias("level"))
+        return number_within(placed, ["level"], "position", "row").select("id", "level", "row")
+    rounds = reduce(
+        lambda a, b: a.unionByName(b),
+        [targets.select(F.col("target").alias("id"), F.lit(number).alias("level")) for number, targets in enumerate(waiting, 1)],
+    )
+    highest = rounds.groupBy("id").agg(F.max("level").alias("reached"))
+    # What is left when no round removes anything more is never peeled.
+    endless = edges.select(F.col("target").alias("id")).distinct().withColumn("endless", F.lit(True))
+    placed = tasks.join(highest, "id", "left").join(endless, "id", "left").select(
+        "id", "position", F.when(F.col("endless"), 0).otherwise(F.coalesce("reached", F.lit(0))).alias("level")
+    )
+    return number_within(placed, ["level"], "position", "row").select("id", "level", "row")

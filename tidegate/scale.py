@@ -50,35 +50,34 @@ def same_keys(keys: list[str]) -> Column:
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """All columns of ``left`` and the other columns of ``right``, for keys that are unique on the right."""
+    """All columns of ``left`` and the other columns of ``right``."""
     joined = left.alias("l").join(right.alias("r"), same_keys(keys), how)
     added = [F.col(f"r.{name}") for name in right.columns if name not in keys]
     return joined.select(*[F.col(f"l.{name}") for name in left.columns], *added)
 
 
+def splits_hot_keys(spark: SparkSession) -> bool:
+    """Whether Spark measures shuffled partitions and splits the oversized ones of a join by itself."""
+    keys = ["spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"]
+    return all(spark.conf.get(key, "true").lower() == "true" for key in keys)
+
+
 def spread_join(
-    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, residual: str | None = None,
-    spread_by: list[str] | None = None, salts: int = SALTS,
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, spread_by: list[str] | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Equi join of a large table with a much smaller one, safe for a hot key on the large side.
+    """keyed_join of a large table that may hold a third of its rows under one key; ``how`` is inner or left.
 
-    Rows of the large side are dealt over ``salts`` pieces per key and the small side is repeated once per piece, so no
-    task receives a whole hot key. Spark still turns the join into a broadcast by itself when it measures the small side
-    to be below its threshold. ``how`` is inner, left, left_semi or left_anti.
+    Adaptive execution splits the partition of a hot key and repeats the other side's part of it, at no cost when no key
+    is hot. In a session without it, the rows of a key are dealt over ``salts`` pieces and the small side is repeated
+    once per piece. Neither side is broadcast unless Spark has measured it to be below its own threshold.
     """
+    if splits_hot_keys(big.sparkSession):
+        return keyed_join(big, small, keys, how)
     piece = "__piece"
     dealt = big.withColumn(piece, salt(spread_by or big.columns, salts))
-    repeated = small.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    left, right = dealt.alias("l"), repeated.alias("r")
-    on = (F.col(f"l.{piece}") == F.col(f"r.{piece}")) & same_keys(keys)
-    if residual:
-        on = on & F.expr(residual)
-    joined = left.join(right, on, how)
-    if how in ("left_semi", "left_anti"):
-        return joined.drop(piece)
-    kept = [F.col(f"l.{name}") for name in big.columns]
-    added = [F.col(f"r.{name}") for name in small.columns if name not in keys]
-    return joined.select(*kept, *added)
+    pieces = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    return keyed_join(dealt, small.withColumn(piece, F.explode(pieces)), [*keys, piece], how).drop(piece)
 
 
 def newest_per(df: DataFrame, key: list[str], order: list[str], n: int, *, rank: str | None = None,

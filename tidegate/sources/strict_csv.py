@@ -56,24 +56,32 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         F.col(column).alias("text"),
         _count_of(column, '"').alias("quotes"),
     )
+    # One number stands for a split, so that neither sorts nor shuffles carry long file names.
+    keyed = lines.withColumn("unit", F.xxhash64("file", "split")).withColumn("place", F.struct("file", "split"))
     zero = F.lit(0).cast("long")
-    in_split = Window.partitionBy("file", "split").orderBy("line")
-    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    counted = lines.withColumn("quotes_before", F.coalesce(F.sum("quotes").over(earlier), zero))
+    in_split = Window.partitionBy("unit").orderBy("line")
+    running = F.coalesce(F.sum("quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), zero)
     even = F.col("quotes_before") % 2 == 0
-    splits = counted.groupBy("file", "split").agg(
-        F.sum("quotes").alias("quotes"), F.count_if(even).alias("if_even"), F.count_if(~even).alias("if_odd")
+    one_place = F.col("place") == F.col("last_place")
+    splits = (
+        keyed.select("unit", "place", "line", "quotes").withColumn("quotes_before", running).groupBy("unit").agg(
+            F.min("place").alias("place"), F.max("place").alias("last_place"), F.sum("quotes").alias("quotes"),
+            F.count_if(even).alias("if_even"), F.count_if(~even).alias("if_odd"),
+        )
+        .withColumn("place", F.when(one_place, F.col("place")).otherwise(F.raise_error(F.lit("two splits share a number"))))
+        .select("unit", "place.*", "quotes", "if_even", "if_odd")
     )
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("split_quotes", F.coalesce(F.sum("quotes").over(before), zero)).withColumn(
         "starts", F.when(F.col("split_quotes") % 2 == 0, F.col("if_even")).otherwise(F.col("if_odd"))
     )
     splits = splits.select(
-        "file", "split", "split_quotes", F.coalesce(F.sum("starts").over(before), zero).alias("split_starts")
+        "unit", "file", "split", "split_quotes", F.coalesce(F.sum("starts").over(before), zero).alias("split_starts")
     )
     parity = (F.col("quotes_before") + F.col("split_quotes")) % 2
     placed = (
-        counted.join(splits, ["file", "split"])
+        keyed.select("unit", "line", "text", "quotes").withColumn("quotes_before", running)
+        .join(splits, "unit")
         .withColumn("inside", parity == 1)
         .withColumn("stays", (parity + F.col("quotes")) % 2 == 1)
     )
@@ -81,13 +89,12 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     placed = placed.withColumn("chunk", F.col("split_starts") + begins)
     # A record on one line is complete already; only the lines of longer records meet in a shuffle.
     whole = placed.filter(~F.col("inside") & ~F.col("stays")).select("file", "chunk", "text", F.lit(True).alias("terminated"))
-    ordered = F.array_sort(F.collect_list(F.struct("split", "line", "text", "stays")))
     joined = (
         placed.filter(F.col("inside") | F.col("stays"))
         .groupBy("file", "chunk")
-        .agg(ordered.alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("split", "line", "text", "stays"))).alias("lines"))
         .select(
-            "file", "chunk", F.array_join(F.transform("lines", lambda line: line["text"]), "\n").alias("text"),
+            "file", "chunk", F.array_join(F.col("lines.text"), "\n").alias("text"),
             (~F.element_at("lines", -1)["stays"]).alias("terminated"),
         )
     )
@@ -194,7 +201,7 @@ def records(spark: SparkSession, path: str, *, delimiter: str = ",") -> DataFram
     name the first place when there are any.
     """
     cut = _cut_pieces(spark, path, delimiter)
-    return cut.select("file", "chunk", F.posexplode("records").alias("at", "fields"))
+    return cut.select("file", "chunk", F.posexplode_outer("records").alias("at", "fields"))
 
 
 def is_first_record() -> Column:
@@ -225,7 +232,7 @@ def number_records(cut: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("file", "stretch").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     local = sized.withColumn("local", F.coalesce(F.sum("extra").over(earlier), F.lit(0)))
     exploded = local.join(shifts, ["file", "stretch"]).select(
-        "file", (F.col("chunk") + F.col("local") + F.col("shift")).alias("start"), F.posexplode("records").alias("at", "fields")
+        "file", (F.col("chunk") + F.col("local") + F.col("shift")).alias("start"), F.posexplode_outer("records").alias("at", "fields")
     )
     return exploded.select("file", (F.col("start") + F.col("at")).alias("record_no"), "fields")
 
