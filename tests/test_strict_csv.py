@@ -49,28 +49,33 @@ def reference_parse(text, delimiter=","):
     return rows
 
 
-@pytest.mark.parametrize(
-    "content, expected",
-    [
-        ("a,b\n1,2\n", [["a", "b"], ["1", "2"]]),
-        ("﻿id,note\r\n1,\"line one\nline two\"\r\n2,\"say \"\"hi\"\", then go\"\r\n",
-         [["id", "note"], ["1", "line one\nline two"], ["2", 'say "hi", then go']]),
-        ("a\rb\rc", [["a"], ["b"], ["c"]]),
-        ("a\r\r\nb\n", [["a"], [""], ["b"]]),
-        ('x,"a\rb"\ry,2\n', [["x", "a\rb"], ["y", "2"]]),
-        ("value\n1\n\n2\n", [["value"], ["1"], [""], ["2"]]),
-        ('"",""\n', [["", ""]]),
-        ('""""\n"""a"""\n', [['"'], ['"a"']]),
-        ('"a\r\nb",c\r\n', [["a\r\nb", "c"]]),
-        ("a\x01b,\x01\n\"\x01b\x01c\",2\n", [["a\x01b", "\x01"], ["\x01b\x01c", "2"]]),
-        ("", []),
-        ("one", [["one"]]),
-        (",\n", [["", ""]]),
-    ],
-)
-def test_records(spark, write, content, expected):
-    assert reference_parse(content) == expected
-    assert parsed(spark, write("in.csv", content)) == expected
+RECORDS = [
+    ("a,b\n1,2\n", [["a", "b"], ["1", "2"]]),
+    ("﻿id,note\r\n1,\"line one\nline two\"\r\n2,\"say \"\"hi\"\", then go\"\r\n",
+     [["id", "note"], ["1", "line one\nline two"], ["2", 'say "hi", then go']]),
+    ("a\rb\rc", [["a"], ["b"], ["c"]]),
+    ("a\r\r\nb\n", [["a"], [""], ["b"]]),
+    ('x,"a\rb"\ry,2\n', [["x", "a\rb"], ["y", "2"]]),
+    ("value\n1\n\n2\n", [["value"], ["1"], [""], ["2"]]),
+    ('"",""\n', [["", ""]]),
+    ('""""\n"""a"""\n', [['"'], ['"a"']]),
+    ('"a\r\nb",c\r\n', [["a\r\nb", "c"]]),
+    ("a\x01b,\x01\n\"\x01b\x01c\",2\n", [["a\x01b", "\x01"], ["\x01b\x01c", "2"]]),
+    ("", []),
+    ("one", [["one"]]),
+    (",\n", [["", ""]]),
+]
+
+
+def test_records(spark, write):
+    for number, (content, expected) in enumerate(RECORDS):
+        assert reference_parse(content) == expected
+        folder = write(f"all/{number:02d}.csv", content)
+    rows = read_csv_rfc4180(spark, folder.rsplit("/", 1)[0]).orderBy("file", "record_no").collect()
+    for number, (_, expected) in enumerate(RECORDS):
+        mine = [row for row in rows if row["file"].endswith(f"{number:02d}.csv")]
+        assert [list(row["fields"]) for row in mine] == expected
+        assert [row["record_no"] for row in mine] == list(range(1, len(mine) + 1))
 
 
 def test_other_delimiters(spark, write):
