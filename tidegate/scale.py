@@ -110,5 +110,5 @@ def number_within(df: DataFrame, group: list[str], position: str, name: str, *,
     earlier = Window.partitionBy(*group).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, stretch, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias(offset))
     local = cut.withColumn("__row", F.row_number().over(Window.partitionBy(*group, stretch).orderBy(position)) - 1)
-    joined = local.join(offsets, [*group, stretch])
+    joined = keyed_join(local, offsets, [*group, stretch])
     return joined.withColumn(name, F.col("__row") + F.col(offset)).drop(stretch, offset, "__row")

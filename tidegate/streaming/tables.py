@@ -17,7 +17,7 @@ from tidegate.operators.counters import counter_increase, rolling_sum
 from tidegate.operators.latency import latency_stats
 from tidegate.operators.runs import SAMPLES, latest_of
 from tidegate.results import JOB_ERRORS, GateError
-from tidegate.scale import newest_per
+from tidegate.scale import keyed_join, newest_per
 from tidegate.sources.options import csv_options
 from tidegate.sources.checks import require_decodable
 from tidegate.sources.paths import delete, exists, file_system, hadoop_path
@@ -84,7 +84,7 @@ def rolling_rejections(
     def work(batch_df: DataFrame, batch: int) -> None:
         kept = table.before(batch)
         newest = kept.groupBy(*key).agg(F.max(at).alias("__seen"))
-        fresh = batch_df.join(newest, key, "left").filter(F.col("__seen").isNull() | (F.col(at) > F.col("__seen")))
+        fresh = keyed_join(batch_df, newest, key, "left").filter(F.col("__seen").isNull() | (F.col(at) > F.col("__seen")))
         fresh = fresh.select(*columns, F.lit(None).cast("long").alias("__known"))
         before = kept.select(*columns, F.col("increase").alias("__known"))
         grown = counter_increase(before.unionByName(fresh), key, at, counter, started=started)
@@ -93,7 +93,7 @@ def rolling_rejections(
         _append(summed.filter("__known IS NULL").drop("__known"), output, batch)
         everything = grown.select(*columns, "increase")
         last = everything.groupBy(*key).agg(F.max(at).alias("__last"))
-        live = everything.join(last, key).filter(
+        live = keyed_join(everything, last, key).filter(
             (F.col(at) == F.col("__last"))
             | ((F.col("increase") > 0) & (F.col(at) >= F.col("__last") - F.make_dt_interval(mins=F.lit(minutes))))
         )
@@ -114,7 +114,7 @@ def latest_state(
         kept = table.write(batch, newest_per(table.before(batch).unionByName(recorded), key, order, n))
         latest = latest_of(kept, key, order).select(*key, F.col(state_column).alias("latest_state"))
         stats = latency_stats(kept, key, at=order[0], state=state_column, latency=latency)
-        stats.join(latest, key).write.mode("overwrite").parquet(f"{output}/batch={batch}")
+        keyed_join(stats, latest, key).write.mode("overwrite").parquet(f"{output}/batch={batch}")
 
     return _start(samples, work, checkpoint, trigger)
 
@@ -182,7 +182,6 @@ def ingest_landing(
     return _start(files, work, checkpoint, trigger)
 
 
-def appended(spark: SparkSession, output: str, schema=None) -> DataFrame:
-    """Everything a stream has appended so far."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{output}/batch=*")
+def appended(spark: SparkSession, output: str) -> DataFrame:
+    """Everything a stream has appended so far, with the number of its batch."""
+    return spark.read.parquet(output)
