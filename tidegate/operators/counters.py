@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.scale import keyed_join
-
 
 def micros(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
@@ -27,14 +25,14 @@ def counter_increase(
     """Adds ``increase``: growth since the reading before, within one process (equal ``started``) and never negative."""
     place = [at, *(order or [])]
     reading = F.struct(F.col(started).alias("started"), F.col(counter).alias("counter"))
-    cut = df.withColumn("__bucket", _bucket(F.col(at), bucket_minutes))
-    local = cut.withColumn("__before", F.lag(reading).over(Window.partitionBy(*key, "__bucket").orderBy(*place)))
-    lasts = cut.groupBy(*key, "__bucket").agg(F.max_by(reading, F.struct(*place)).alias("__last"))
-    chain = Window.partitionBy(*key).orderBy("__bucket")
-    entries = lasts.select(*key, "__bucket", F.lag("__last").over(chain).alias("__entry"))
-    joined = keyed_join(local, entries, [*key, "__bucket"], "left").select(
-        *df.columns, F.coalesce("__before", "__entry").alias("__before")
-    )
+    # The unit is one struct column: never null itself, it joins with plain equality, so that the rows shuffled for the
+    # window stay where they are for the join.
+    cut = df.withColumn("__unit", F.struct(*key, _bucket(F.col(at), bucket_minutes).alias("__bucket")))
+    local = cut.withColumn("__before", F.lag(reading).over(Window.partitionBy("__unit").orderBy(*place)))
+    lasts = cut.groupBy("__unit").agg(F.max_by(reading, F.struct(*place)).alias("__last"))
+    chain = Window.partitionBy(*[F.col("__unit")[name] for name in key]).orderBy(F.col("__unit.__bucket"))
+    entries = lasts.select("__unit", F.lag("__last").over(chain).alias("__entry"))
+    joined = local.join(entries, "__unit", "left").select(*df.columns, F.coalesce("__before", "__entry").alias("__before"))
     same = F.col("__before.started") == F.col(started)
     growth = F.greatest(F.lit(0), F.col(counter) - F.col("__before.counter"))
     return joined.withColumn("increase", F.when(same, growth).otherwise(0).cast("long")).drop("__before")

@@ -216,8 +216,7 @@ def suite_totals(reports: DataFrame, key: str, document: str = "document") -> Da
         root == "testsuites",
         F.expr(f"from_xml({document}, 'testsuite array<struct<{_xml_fields()}>>').testsuite"),
     ).when(root == "testsuite", F.array(F.expr(f"from_xml({document}, '{_SUITE}')").cast(f"struct<{_xml_fields()}>")))
-    marked = F.expr(f"regexp_count({document}, '<skipped[\\\\s/>]')")
-    suites = reports.select(key, root.alias("root"), marked.alias("marks"), F.explode_outer(parsed).alias("suite"))
+    suites = reports.select(key, root.alias("root"), F.explode_outer(parsed).alias("suite"))
 
     def number(name: str) -> Column:
         text = F.coalesce(F.col(f"suite.{name}"), F.lit("0"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.text import elapsed_millis, strip
@@ -59,9 +59,9 @@ def last_samples(
     """The last ``n`` samples of each backend with their place, 1 for the oldest kept; unconfigured ones never count."""
     recorded = df if state is None else df.filter(F.coalesce(F.col(state) != "NOT_CONFIGURED", F.lit(True)))
     newest = newest_per(recorded, key, order, n, rank="__newest")
-    sizes = newest.groupBy(*key).agg(F.max("__newest").alias("__kept"))
-    placed = keyed_join(newest, sizes, key)
-    return placed.withColumn("place", F.col("__kept") - F.col("__newest") + 1).drop("__kept", "__newest")
+    # At most n rows of a key are left here, already together.
+    kept = F.count(F.lit(1)).over(Window.partitionBy(*key)).cast("int")
+    return newest.withColumn("place", kept - F.col("__newest") + 1).drop("__newest")
 
 
 def latest_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

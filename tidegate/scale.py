@@ -104,11 +104,13 @@ def number_within(df: DataFrame, group: list[str], position: str, name: str, *,
 
     Rows are numbered within stretches of ``width`` positions and shifted by the size of the stretches before.
     """
-    stretch, offset = "__stretch", "__offset"
-    cut = df.withColumn(stretch, F.floor(F.col(position) / width))
-    sizes = cut.groupBy(*group, stretch).agg(F.count(F.lit(1)).alias("__size"))
-    earlier = Window.partitionBy(*group).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, stretch, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias(offset))
-    local = cut.withColumn("__row", F.row_number().over(Window.partitionBy(*group, stretch).orderBy(position)) - 1)
-    joined = keyed_join(local, offsets, [*group, stretch])
-    return joined.withColumn(name, F.col("__row") + F.col(offset)).drop(stretch, offset, "__row")
+    # A struct is never null itself, so window and join can share one shuffle even where a group is null.
+    unit = "__unit"
+    cut = df.withColumn(unit, F.struct(*group, F.floor(F.col(position) / width).alias("__stretch")))
+    sizes = cut.groupBy(unit).agg(F.count(F.lit(1)).alias("__size"))
+    earlier = Window.partitionBy(*[F.col(unit)[key] for key in group]).orderBy(F.col(f"{unit}.__stretch"))
+    before = F.sum("__size").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(unit, F.coalesce(before, F.lit(0)).alias("__offset"))
+    local = cut.withColumn("__row", F.row_number().over(Window.partitionBy(unit).orderBy(position)) - 1)
+    joined = local.join(offsets, unit)
+    return joined.withColumn(name, F.col("__row") + F.col("__offset")).drop(unit, "__offset", "__row")
