@@ -2,8 +2,8 @@
 
 A line (up to LF) may start inside a quoted field. In well-formed data it does exactly when the number of quotes before
 it in the file is odd, so one small sum per file split and one running sum within each split tell where records begin.
-If the data is malformed, everything before the first error still counts right, so the record that holds the first
-error is cut at its true start and its own check reports it.
+If the data is malformed, everything before the first error still counts right, so the line that holds the first error is
+judged in its true state and its own check reports it.
 
 Every split of a file is one window partition, at most spark.sql.files.maxPartitionBytes large: no key can be hot.
 """
@@ -42,76 +42,100 @@ def _units(text: Column) -> Column:
     return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, chunk, text, terminated): whole records of each file, numbered from 1 in file order.
+def _lines(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, splits) with what is needed to know the state in which each line starts.
 
-    A piece is one record, or several when bare CR end records within a line.
+    lines: unit, line, text, quotes, quotes_before. splits: unit, file, split, split_quotes, split_starts, odd, malformed,
+    where the last two describe the whole file: an odd number of quotes, or any quoting error.
     """
+    check_delimiter(delimiter)
     taken = {name.lower() for name in spark.read.format("text").load(path).columns}
     column = next(name for number in range(len(taken) + 1) if (name := f"line{number}") not in taken)
-    lines = spark.read.schema(f"{column} string").option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
+    raw = spark.read.schema(f"{column} string").option("lineSep", "\n").text(path).select(
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")).alias("place"),
         F.monotonically_increasing_id().alias("line"),
         F.col(column).alias("text"),
         _count_of(column, '"').alias("quotes"),
     )
     # One number stands for a split, so that neither sorts nor shuffles carry long file names.
-    keyed = lines.withColumn("unit", F.xxhash64("file", "split")).withColumn("place", F.struct("file", "split"))
+    keyed = raw.withColumn("unit", F.xxhash64("place.file", "place.split"))
     zero = F.lit(0).cast("long")
-    in_split = Window.partitionBy("unit").orderBy("line")
-    running = F.coalesce(F.sum("quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    earlier = Window.partitionBy("unit").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    running = F.coalesce(F.sum("quotes").over(earlier), zero)
+    lines = keyed.select("unit", "line", "text", "quotes").withColumn("quotes_before", running)
+
+    # Whether a line breaks the rules depends on the state it starts in, so each split is summed up for both.
+    def breaks(inside: int) -> Column:
+        return (F.col("quotes") > 0) & (F.array_max(_judged(F.col("text"), delimiter, F.lit(inside))) > 0)
+
+    flagged = keyed.select("unit", "place", "line", "quotes", breaks(0).alias("bad_outside"), breaks(1).alias("bad_inside"))
     even = F.col("quotes_before") % 2 == 0
+    sums = flagged.withColumn("quotes_before", running).groupBy("unit").agg(
+        F.min("place").alias("place"), F.max("place").alias("last_place"), F.sum("quotes").alias("quotes"),
+        F.count_if(even).alias("if_even"), F.count_if(~even).alias("if_odd"),
+        F.count_if(F.when(even, F.col("bad_outside")).otherwise(F.col("bad_inside"))).alias("bad_if_even"),
+        F.count_if(F.when(even, F.col("bad_inside")).otherwise(F.col("bad_outside"))).alias("bad_if_odd"),
+    )
     one_place = F.col("place") == F.col("last_place")
+    place = F.when(one_place, F.col("place")).otherwise(F.raise_error(F.lit("two splits share a number")))
+    by_file = Window.partitionBy("file")
+    before = by_file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    outside = F.col("split_quotes") % 2 == 0
     splits = (
-        keyed.select("unit", "place", "line", "quotes").withColumn("quotes_before", running).groupBy("unit").agg(
-            F.min("place").alias("place"), F.max("place").alias("last_place"), F.sum("quotes").alias("quotes"),
-            F.count_if(even).alias("if_even"), F.count_if(~even).alias("if_odd"),
+        sums.withColumn("place", place).select("*", "place.*")
+        .withColumn("split_quotes", F.coalesce(F.sum("quotes").over(before), zero))
+        .withColumn("starts", F.when(outside, F.col("if_even")).otherwise(F.col("if_odd")))
+        .withColumn("bad", F.when(outside, F.col("bad_if_even")).otherwise(F.col("bad_if_odd")))
+        .select(
+            "unit", "file", "split", "split_quotes", F.coalesce(F.sum("starts").over(before), zero).alias("split_starts"),
+            (F.sum("quotes").over(by_file) % 2 == 1).alias("odd"), (F.sum("bad").over(by_file) > 0).alias("broken"),
         )
-        .withColumn("place", F.when(one_place, F.col("place")).otherwise(F.raise_error(F.lit("two splits share a number"))))
-        .select("unit", "place.*", "quotes", "if_even", "if_odd")
-    )
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("split_quotes", F.coalesce(F.sum("quotes").over(before), zero)).withColumn(
-        "starts", F.when(F.col("split_quotes") % 2 == 0, F.col("if_even")).otherwise(F.col("if_odd"))
-    )
-    splits = splits.select(
-        "unit", "file", "split", "split_quotes", F.coalesce(F.sum("starts").over(before), zero).alias("split_starts")
+        .withColumn("malformed", F.col("odd") | F.col("broken"))
     )
+    return lines, splits
+
+
+def _placed(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Lines with the file they belong to, and whether they start inside quotes."""
     parity = (F.col("quotes_before") + F.col("split_quotes")) % 2
-    placed = (
-        keyed.select("unit", "line", "text", "quotes").withColumn("quotes_before", running)
-        .join(splits, "unit")
-        .withColumn("inside", parity == 1)
-        .withColumn("stays", (parity + F.col("quotes")) % 2 == 1)
-    )
-    begins = F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(in_split.rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("chunk", F.col("split_starts") + begins)
+    return lines.join(splits, "unit").withColumn("inside", parity.cast("int"))
+
+
+def pieces(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """(file, chunk, text): whole records of each file, numbered from 1 in file order.
+
+    A piece is one record, or several when bare CR end records within a line. A malformed file has one row with chunk 0
+    and no text instead: none of its lines are put together, so an unclosed quote gathers nothing.
+    """
+    lines, splits = _lines(spark, path, delimiter)
+    sound = _placed(lines, splits).filter(~F.col("malformed"))
+    continues, stays = F.col("inside") == 1, (F.col("inside") + F.col("quotes")) % 2 == 1
+    so_far = Window.partitionBy("unit").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = sound.withColumn("chunk", F.col("split_starts") + F.sum(1 - F.col("inside")).over(so_far))
     # A record on one line is complete already; only the lines of longer records meet in a shuffle.
-    whole = placed.filter(~F.col("inside") & ~F.col("stays")).select("file", "chunk", "text", F.lit(True).alias("terminated"))
+    whole = numbered.filter(~continues & ~stays).select("file", "chunk", "text")
     joined = (
-        placed.filter(F.col("inside") | F.col("stays"))
+        numbered.filter(continues | stays)
         .groupBy("file", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("split", "line", "text", "stays"))).alias("lines"))
-        .select(
-            "file", "chunk", F.array_join(F.col("lines.text"), "\n").alias("text"),
-            (~F.element_at("lines", -1)["stays"]).alias("terminated"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("split", "line", "text"))).alias("lines"))
+        .select("file", "chunk", F.array_join(F.col("lines.text"), "\n").alias("text"))
     )
-    return whole.unionByName(joined)
+    malformed = splits.filter("malformed").groupBy("file").agg(F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("string").alias("text"))
+    return whole.unionByName(joined).unionByName(malformed)
 
 
-def _judged(text: Column, delimiter: str) -> Column:
-    """One number per segment between quotes: 0 fine, 1 text after a closing quote, 2 a quote within text.
+def _judged(text: Column, delimiter: str, inside: Column) -> Column:
+    """One number per segment of a line between quotes: 0 fine, 1 text after a closing quote, 2 a quote within text.
 
-    Even segments lie outside quoted fields, odd ones inside. An empty even segment between two quotes is an escaped
-    quote; any other even segment must touch its quotes with a delimiter or CR.
+    ``inside`` is 1 when the line starts inside a quoted field. Segments lie outside and inside of quoted fields in turn.
+    An empty outer segment between two quotes is an escaped quote; any other outer segment must touch its quotes with a
+    delimiter or CR. Outer segments never go beyond a line, so a line is judged by itself.
     """
     segments = F.split(text, '"', -1)
     count = F.size(segments)
 
     def judge(segment: Column, index: Column) -> Column:
-        outside, first, last = index % 2 == 0, index == 0, index == count - 1
+        outside, first, last = (index + inside) % 2 == 0, index == 0, index == count - 1
         filled = segment != ""
         after = outside & ~first & filled & ~F.substring(segment, 1, 1).isin(delimiter, "\r")
         stray = outside & ~last & filled & ~F.substring(segment, -1, 1).isin(delimiter, "\r")
@@ -120,46 +144,40 @@ def _judged(text: Column, delimiter: str) -> Column:
     return F.transform(segments, judge)
 
 
-def _with_error(df: DataFrame, delimiter: str) -> DataFrame:
-    """Adds ``error``: kind and offset within the piece of its first quoting error, or null."""
+def require_well_formed(spark: SparkSession, path: str, delimiter: str = ",") -> None:
+    """Raises the first quoting error in file order, with its offset from the start of the file."""
+    lines, splits = _lines(spark, path, delimiter)
+    placed = _placed(lines, splits)
     judged = (
-        df.withColumn("judged", _judged(F.col("text"), delimiter))
+        placed.filter("broken AND quotes > 0")
+        .withColumn("judged", _judged(F.col("text"), delimiter, F.col("inside")))
         .withColumn("at", F.array_position(F.transform("judged", lambda code: code > 0), True).cast("int"))
-        .withColumn("code", F.element_at("judged", F.greatest("at", F.lit(1))))
+        .filter("at > 0")
+        .withColumn("code", F.element_at("judged", F.col("at")))
     )
     after = F.col("code") == 1
     reached = F.array_join(F.slice(F.split("text", '"', -1), 1, F.when(after, F.col("at") - 1).otherwise(F.col("at"))), '"')
-    found = F.struct(
-        F.when(after, AFTER_QUOTE).otherwise(STRAY_QUOTE).alias("kind"),
+    error = F.struct(
+        "file", "split", "line", F.when(after, AFTER_QUOTE).otherwise(STRAY_QUOTE).alias("kind"),
         (_units(reached) + F.when(after, 1).otherwise(0)).cast("long").alias("offset"),
     )
-    open_end = F.struct(F.lit(UNTERMINATED).alias("kind"), F.lit(None).cast("long").alias("offset"))
-    error = F.when(F.col("at") > 0, found).when(~F.col("terminated"), open_end)
-    return judged.withColumn("error", error).drop("judged", "at", "code")
-
-
-def _suspect() -> Column:
-    return F.contains(F.col("text"), F.lit('"')) | ~F.col("terminated")
-
-
-def require_well_formed(spark: SparkSession, path: str, delimiter: str = ",") -> None:
-    """Raises the first quoting error in file order, with its offset from the start of the file."""
-    found = _with_error(pieces(spark, path).filter(_suspect()), delimiter)
-    first = (
-        found.filter("error IS NOT NULL")
-        .agg(F.min_by(F.struct("file", "chunk", "error"), F.struct("file", "chunk")).alias("first"))
-        .first()["first"]
-    )
-    if first is None:
+    unclosed, broken = splits.agg(
+        F.min(F.when(F.col("odd"), F.col("file"))), F.min(F.when(F.col("broken"), F.col("file")))
+    ).first()
+    if unclosed is None and broken is None:
         return
-    if first["error"]["offset"] is None:
+    if broken is None or (unclosed is not None and unclosed < broken):
         raise GateError(UNTERMINATED)
-    earlier = pieces(spark, path).filter((F.col("file") == first["file"]) & (F.col("chunk") < first["chunk"]))
+    first = judged.agg(F.min_by(error, F.struct("file", "split", "line"))).first()[0]
+    split, line = F.col("split"), F.col("line")
+    earlier = placed.filter(F.col("file") == first["file"]).filter(
+        (split < first["split"]) | ((split == first["split"]) & (line < first["line"]))
+    )
     base = earlier.agg(F.coalesce(F.sum(_units(F.col("text")) + 1), F.lit(0))).first()[0]
     # The line reader has dropped a byte order mark, which counts as one character.
     head = file_heads(spark, unquote(first["file"])).first()
     mark = 1 if head is not None and bytes(head["head"]) == UTF8_MARK else 0
-    raise GateError(f"{first['error']['kind']}{base + mark + first['error']['offset']}")
+    raise GateError(f"{first['kind']}{base + mark + first['offset']}")
 
 
 def _cut(text: Column, delimiter: str) -> Column:
@@ -184,20 +202,18 @@ def _cut(text: Column, delimiter: str) -> Column:
 
 
 def _cut_pieces(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """(file, chunk, records); a malformed piece has one record, and that is null."""
-    check_delimiter(delimiter)
+    """(file, chunk, records); a malformed file has one record, and that is null."""
     # The CR of a CRLF belongs to the line end.
     body = F.when(F.col("text").endswith("\r"), F.expr("left(text, char_length(text) - 1)")).otherwise(F.col("text"))
-    wrong = ~F.col("terminated") | (F.array_max(_judged(F.col("text"), delimiter)) > 0)
     malformed = F.array(F.lit(None).cast("array<string>"))
-    checked = F.when(_suspect() & wrong, malformed).otherwise(_cut(body, delimiter))
-    return pieces(spark, path).select("file", "chunk", checked.alias("records"))
+    cut = F.when(F.col("text").isNull(), malformed).otherwise(_cut(body, delimiter))
+    return pieces(spark, path, delimiter).select("file", "chunk", cut.alias("records"))
 
 
 def records(spark: SparkSession, path: str, *, delimiter: str = ",") -> DataFrame:
     """(file, chunk, at, fields): every record with a sortable place in its file, in one pass.
 
-    Fields are null where quoting is malformed: count such rows along with the rest, and let ``require_well_formed``
+    A malformed file has one record without fields: count such rows along with the rest, and let ``require_well_formed``
     name the first place when there are any.
     """
     cut = _cut_pieces(spark, path, delimiter)
