@@ -7,7 +7,7 @@ import pytest
 from tidegate.operators.quality import profile, quality_csv
 from tidegate.results import GateError
 from tidegate.sources.publish import csv_text, write_csv_rfc4180
-from tidegate.sources.strict_csv import read_csv_rfc4180
+from tidegate.sources.strict_csv import pieces, read_csv_rfc4180
 
 
 def parsed(spark, path, **options):
@@ -214,3 +214,10 @@ def test_quality_counts(spark, write, content, metrics):
 def test_bad_gates(spark, value):
     with pytest.raises(GateError, match="^minRows must be a 64-bit integer >= 0$"):
         quality_csv(spark, "nowhere", min_rows=value)
+
+
+def test_a_malformed_file_gathers_nothing(spark, write):
+    lines = "a,b\n" * 500
+    for content in ('"never closed\n' + lines, 'x"y\n' + lines + '"z"\n', lines + 'a,"b" \n' + lines):
+        rows = pieces(spark, write("m/bad.csv", content)).collect()
+        assert [(row["chunk"], row["text"]) for row in rows] == [(0, None)]

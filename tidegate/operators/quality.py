@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.text import is_blank
-from tidegate.results import GateError, GateResult, failed, int64, succeeded, utc_now
+from tidegate.results import GateResult, failed, int64, succeeded, utc_now
 from tidegate.scale import keyed_join
 from tidegate.sources.checks import file_facts, require_utf8
 from tidegate.sources.strict_csv import (

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions.text import elapsed_millis, strip
+from tidegate.functions.text import elapsed_millis
 from tidegate.scale import keyed_join, newest_per, spread_join
 
 # How much of each history is kept or shown.
@@ -146,7 +146,3 @@ def duration_share(df: DataFrame, group: list[str], duration: str, *, spread_by:
     joined = spread_join(df, longest, group, spread_by=spread_by)
     share = F.when(F.col("__longest") <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.sqrt(length / F.col("__longest"))))
     return joined.withColumn("share", F.when(F.col(duration).isNotNull(), share)).drop("__longest")
-
-
-def stripped(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, strip(F.col(column)))

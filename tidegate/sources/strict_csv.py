@@ -66,7 +66,7 @@ def _lines(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, D
 
     # Whether a line breaks the rules depends on the state it starts in, so each split is summed up for both.
     def breaks(inside: int) -> Column:
-        return (F.col("quotes") > 0) & (F.array_max(_judged(F.col("text"), delimiter, F.lit(inside))) > 0)
+        return (F.col("quotes") > 0) & (F.array_max(_judged("text", delimiter, inside)) > 0)
 
     flagged = keyed.select("unit", "place", "line", "quotes", breaks(0).alias("bad_outside"), breaks(1).alias("bad_inside"))
     even = F.col("quotes_before") % 2 == 0
@@ -124,24 +124,26 @@ def pieces(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     return whole.unionByName(joined).unionByName(malformed)
 
 
-def _judged(text: Column, delimiter: str, inside: Column) -> Column:
-    """One number per segment of a line between quotes: 0 fine, 1 text after a closing quote, 2 a quote within text.
+def _literal(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    ``inside`` is 1 when the line starts inside a quoted field. Segments lie outside and inside of quoted fields in turn.
-    An empty outer segment between two quotes is an escaped quote; any other outer segment must touch its quotes with a
-    delimiter or CR. Outer segments never go beyond a line, so a line is judged by itself.
-    """
-    segments = F.split(text, '"', -1)
-    count = F.size(segments)
 
-    def judge(segment: Column, index: Column) -> Column:
-        outside, first, last = (index + inside) % 2 == 0, index == 0, index == count - 1
-        filled = segment != ""
-        after = outside & ~first & filled & ~F.substring(segment, 1, 1).isin(delimiter, "\r")
-        stray = outside & ~last & filled & ~F.substring(segment, -1, 1).isin(delimiter, "\r")
-        return F.when(after, 1).when(stray, 2).otherwise(0)
+def _judged(text: str, delimiter: str, inside: int | str) -> Column:
+    """One number per segment of a line between quotes: 0 fine, 1 text after a closing quote, 2 a quote within text.
 
-    return F.transform(segments, judge)
+    ``inside`` is 1 when the line, which has ``quotes`` of them, starts inside a quoted field. Segments lie outside and
+    inside of quoted fields in turn. An empty outer segment between two quotes is an escaped quote; any other outer
+    segment must touch its quotes with a delimiter or CR. Outer segments never go beyond a line, so a line is judged by
+    itself.
+    """
+    ends = f"({_literal(delimiter)}, {_literal(chr(13))})"
+    outside, filled = f"(i + {inside}) % 2 = 0", "s != ''"
+    return F.expr(f"""
+        transform(split({text}, '"', -1), (s, i) -> CASE
+            WHEN {outside} AND i != 0 AND {filled} AND substring(s, 1, 1) NOT IN {ends} THEN 1
+            WHEN {outside} AND i != quotes AND {filled} AND substring(s, -1, 1) NOT IN {ends} THEN 2
+            ELSE 0 END)""")
 
 
 def require_well_formed(spark: SparkSession, path: str, delimiter: str = ",") -> None:
@@ -150,7 +152,7 @@ def require_well_formed(spark: SparkSession, path: str, delimiter: str = ",") ->
     placed = _placed(lines, splits)
     judged = (
         placed.filter("broken AND quotes > 0")
-        .withColumn("judged", _judged(F.col("text"), delimiter, F.col("inside")))
+        .withColumn("judged", _judged("text", delimiter, "inside"))
         .withColumn("at", F.array_position(F.transform("judged", lambda code: code > 0), True).cast("int"))
         .filter("at > 0")
         .withColumn("code", F.element_at("judged", F.col("at")))
@@ -180,25 +182,21 @@ def require_well_formed(spark: SparkSession, path: str, delimiter: str = ",") ->
     raise GateError(f"{first['kind']}{base + mark + first['offset']}")
 
 
-def _cut(text: Column, delimiter: str) -> Column:
+def _cut(text: str, delimiter: str) -> Column:
     """array<array<string>>: the records of a piece and their fields, quotes removed."""
-    plain = ~F.contains(text, F.lit('"')) & ~F.contains(text, F.lit("\r"))
-    safe = F.replace(text, F.lit(MARK), F.lit(MARK + "a"))
-    segments = F.split(safe, '"', -1)
-    count = F.size(segments)
-
-    def part(segment: Column, index: Column) -> Column:
-        escaped = (segment == "") & (index > 0) & (index < count - 1)
-        ended = F.replace(F.replace(segment, F.lit(delimiter), F.lit(FIELD_END)), F.lit("\r"), F.lit(RECORD_END))
-        return F.when(index % 2 == 1, segment).when(escaped, F.lit('"')).otherwise(ended)
-
-    flat = F.array_join(F.transform(segments, part), "")
-
-    def fields(record: Column) -> Column:
-        return F.transform(F.split(record, FIELD_END, -1), lambda field: F.replace(field, F.lit(MARK + "a"), F.lit(MARK)))
-
-    simple = F.array(F.split(text, r"\Q" + delimiter + r"\E", -1))
-    return F.when(plain, simple).otherwise(F.transform(F.split(flat, RECORD_END, -1), fields))
+    mark, held, field_end, record_end = (_literal(sign) for sign in (MARK, MARK + "a", FIELD_END, RECORD_END))
+    end, cr = _literal(delimiter), _literal("\r")
+    segments = f"""split(replace({text}, {mark}, {held}), '"', -1)"""
+    # Outer segments get their marks; an empty one between two quotes is an escaped quote.
+    flat = f"""array_join(transform({segments}, (s, i) -> CASE
+        WHEN i % 2 = 1 THEN s
+        WHEN s = '' AND i > 0 AND i < char_length({text}) - char_length(replace({text}, '"', '')) THEN '"'
+        ELSE replace(replace(s, {end}, {field_end}), {cr}, {record_end}) END), '')"""
+    fields = f"transform(split(r, {field_end}, -1), f -> replace(f, {held}, {mark}))"
+    plain = _literal(r"\Q" + delimiter + r"\E")
+    return F.expr(f"""
+        CASE WHEN NOT contains({text}, '"') AND NOT contains({text}, {cr}) THEN array(split({text}, {plain}, -1))
+        ELSE transform(split({flat}, {record_end}, -1), r -> {fields}) END""")
 
 
 def _cut_pieces(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
@@ -206,8 +204,8 @@ def _cut_pieces(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     # The CR of a CRLF belongs to the line end.
     body = F.when(F.col("text").endswith("\r"), F.expr("left(text, char_length(text) - 1)")).otherwise(F.col("text"))
     malformed = F.array(F.lit(None).cast("array<string>"))
-    cut = F.when(F.col("text").isNull(), malformed).otherwise(_cut(body, delimiter))
-    return pieces(spark, path, delimiter).select("file", "chunk", cut.alias("records"))
+    cut = F.when(F.col("body").isNull(), malformed).otherwise(_cut("body", delimiter))
+    return pieces(spark, path, delimiter).select("file", "chunk", body.alias("body")).select("file", "chunk", cut.alias("records"))
 
 
 def records(spark: SparkSession, path: str, *, delimiter: str = ",") -> DataFrame:
