@@ -70,9 +70,6 @@ class Counter:
                 first, *rest = pieces_of(text)
                 return self.whole(first) + sum(map(self.spaced, rest))
             counts = [self.spaced(p) if c is None else c for p, c in zip(rest, counts)]
-        elif rest and first and first[-1].isspace():
-            first, *rest = pieces_of(text)
-            return self.whole(first) + sum(map(self.spaced, rest))
         return self.whole(first) + sum(counts)
 
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, with ids of repeated stretches remembered within a worker.
 
-A byte-level pre-tokenizer never joins a character to white space that follows it, so a text may be cut before every
-single space that stands between two other characters; each piece then gets the ids that it has inside the text.
+A byte-level pre-tokenizer joins a space to what follows it, if that isn't white space, and to nothing before it. So a
+text may be cut before every such space; each piece then gets the ids that it has inside the text.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import numpy as np
 KEEP, LONGEST = 400_000, 64
 # Characters of text handled at once, and of new pieces encoded by one call.
 STEP, CALL = 1_000_000, 100_000
-# A single space between two characters that aren't white space by any definition.
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# A space before a character that isn't white space by any definition.
+JOINED_SPACE = re.compile(r" (?=\S)")
 
 ODD = object()
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -45,13 +45,13 @@ def cuts_at_spaces(tok) -> bool:
 
 
 def odd(piece: str) -> bool:
-    """A piece next to which the space isn't a single one."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+    """Whether the text may not be cut before the space in front of this piece."""
+    return not piece or piece[0].isspace()
 
 
 def pieces_of(text: str) -> list[str]:
-    """The text, cut before its lone spaces; every piece but the first has lost that space."""
-    return LONE_SPACE.split(text)
+    """The text, cut wherever it may be; every piece but the first has lost its space."""
+    return JOINED_SPACE.split(text)
 
 
 class Encoder:
@@ -119,7 +119,7 @@ class Encoder:
         return out
 
     def uneven(self, text: str) -> bytes:
-        """A text with other white space than single spaces; only its lone spaces cut it."""
+        """A text with a space before other white space or at its end."""
         first, *rest = pieces_of(text)
         ids = [self.memo.get(p) for p in rest]
         fresh = self.spaced(list({p for p, i in zip(rest, ids) if i is None}))
