@@ -39,3 +39,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed_documents
 
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..scale import scratch_path
+    from .token_files import read_token_files, write_token_files
+
+    target = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), target)
+    return read_token_files(spark, target)
