@@ -49,3 +49,24 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), target)
     return read_token_files(spark, target)
+
+
+@query
+def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..scale import scratch_path
+    from .archive import read_archive, write_archive
+
+    target = scratch_path(spark, "archive")
+    write_archive(table(spark, sf_dir, "pages"), target)
+    return read_archive(spark, target)
+
+
+SQL["op6_content_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> ((3 - i % 4) * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""
