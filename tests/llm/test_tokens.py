@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidegate.llm.token_counts import Counter, token_counts, whole_tokens
@@ -21,9 +22,9 @@ def texts():
 def test_ids_and_counts_are_those_of_the_library(texts):
     tok, mine, counter = tokenizer(PATH), Encoder(PATH), Counter(PATH, whole_tokens(PATH))
     for _ in range(2):  # the second time from memory
-        for text, ids in zip(texts, mine.encode(texts)):
+        for text, ids in zip(texts, mine.encode(pa.array(texts))):
             want = tok.encode(text, add_special_tokens=False).ids
-            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert ids.tolist() == want
             assert counter.count(text) == len(want)
 
 
@@ -32,7 +33,7 @@ def test_another_kind_of_tokenizer_is_used_as_it_is():
     tok, mine = tokenizer(path), Encoder(path)
     assert whole_tokens(path) == frozenset()
     for text in ("Some  words", "", "A<|endoftext|>b"):
-        assert np.frombuffer(mine.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert mine.encode(pa.array([text]))[0].tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_counts_of_a_table(spark, texts):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import materialize
-from .tokens import encoder, rows_of, stretches
+from .tokens import encoder, slices
 
 CAPACITY, END = 2048, 0
 # Pieces packed by one task. Each group leaves about half a sequence unfilled, one part in some thousands.
@@ -33,10 +33,10 @@ def pieces(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column
         tok = encoder(path)
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for part in stretches(rows_of(batch, "id", "text"), 1):
+            for part in slices(batch, "text"):
                 rows = []
-                for (key, _), ids in zip(part, tok.encode([row[1] for row in part])):
-                    data = ids + last
+                for key, ids in zip(part.column("id").to_pylist(), tok.encode(part.column("text"))):
+                    data = ids.tobytes() + last
                     for number, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                         rows.append((key, number, start, length, zlib.crc32(data[4 * start:4 * (start + length)])))
                 names = ["id", "piece", "start", "length", "ids_crc32"]

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scale import materialize
-from .tokens import encoder, rows_of, stretches
+from .tokens import encoder, rows_of, slices
 
 END = 0
 BITS = 20
@@ -157,19 +158,29 @@ def blocks(documents: Iterator[tuple], table: Table, block: int = BLOCK) -> Iter
         yield pack_block(segments, np.concatenate(held), table)
 
 
+def squeezed(ids: np.ndarray, press) -> bytes:
+    """Ids for the way between two steps: 16 bits each where that is enough, then compressed."""
+    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+    return (b"4" if wide else b"2") + press.compress(ids.astype("<u4" if wide else "<u2").tobytes())
+
+
+def restored(data: bytes, press) -> np.ndarray:
+    return np.frombuffer(press.decompress(data[1:]), "<u4" if data[:1] == b"4" else "<u2").astype("<u4")
+
+
 def encoded(docs: DataFrame, path: str, id_column: str, text_column: str, end: int) -> DataFrame:
-    """id, n, ids (u32 bytes, with the end id) of every text."""
+    """id, n, ids (squeezed, with the end id) of every text."""
 
     def run(batches):
-        tok = encoder(path)
-        last = np.array([end], dtype="<u4").tobytes()
+        tok, press = encoder(path), zstandard.ZstdCompressor(level=3)
+        last = np.array([end], dtype="<u4")
         for batch in batches:
-            for part in stretches(rows_of(batch, "id", "text"), 1):
-                ids = [found + last for found in tok.encode([row[1] for row in part])]
+            for part in slices(batch, "text"):
+                ids = [np.concatenate([found, last]) for found in tok.encode(part.column("text"))]
                 yield pa.RecordBatch.from_pydict({
-                    "id": pa.array([row[0] for row in part], pa.int64()),
-                    "n": pa.array([len(data) // 4 for data in ids], pa.int64()),
-                    "ids": pa.array(ids, pa.binary()),
+                    "id": part.column("id"),
+                    "n": pa.array(list(map(len, ids)), pa.int64()),
+                    "ids": pa.array([squeezed(found, press) for found in ids], pa.binary()),
                 })
 
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -180,13 +191,11 @@ def frequencies(found: DataFrame, vocabulary: int) -> np.ndarray:
     """Shared frequencies from the counts of all ids; ``vocabulary`` bounds what reaches the driver."""
 
     def run(batches):
-        counts = np.zeros(vocabulary, np.int64)
+        counts, press = np.zeros(vocabulary, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for data in batch.column("ids"):
-                ids = np.frombuffer(data.as_buffer(), "<u4")
-                counts += np.bincount(ids, minlength=vocabulary) if len(ids) > vocabulary else 0
-                if len(ids) <= vocabulary:
-                    np.add.at(counts, ids, 1)
+            for start in range(0, batch.num_rows, 256):
+                some = [restored(data, press) for data in batch.column("ids").slice(start, 256).to_pylist()]
+                counts += np.bincount(np.concatenate(some), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"token": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
 
@@ -212,8 +221,8 @@ def write_token_files(docs: DataFrame, path: str, target: str, *, id_column: str
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def run(batches):
-        table = Table(f)
-        documents = ((key, np.frombuffer(data, "<u4")) for batch in batches for key, data in rows_of(batch, "id", "ids"))
+        table, press = Table(f), zstandard.ZstdDecompressor()
+        documents = ((key, restored(data, press)) for batch in batches for key, data in rows_of(batch, "id", "ids"))
         for data in blocks(documents, table):
             yield pa.RecordBatch.from_pydict({"block": pa.array([data], pa.binary())})
 

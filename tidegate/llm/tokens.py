@@ -12,15 +12,18 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Pieces remembered by a worker, and the longest of them in characters; other pieces are encoded where they occur.
 KEEP, LONGEST = 400_000, 64
 # Characters of text handled at once, and of new pieces encoded by one call.
 STEP, CALL = 1_000_000, 100_000
+# Bytes of text that are split at once.
+SLICE = 8_000_000
 # A space before a character that isn't white space by any definition.
 JOINED_SPACE = re.compile(r" (?=\S)")
 
-ODD = object()
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -55,12 +58,12 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts; ids come as little-endian unsigned 32-bit bytes."""
+    """Encodes texts; ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
         self.cuts = cuts_at_spaces(self.tok)
-        self.memo: dict[str, object] = {}
+        self.memo: dict[str, bytes] = {}
         size = self.tok.get_vocab_size(with_added_tokens=True)
         special = {i: a.content for i, a in self.tok.get_added_tokens_decoder().items()}
         # A character of a byte-level token stands for one byte; added tokens are literal.
@@ -92,34 +95,37 @@ class Encoder:
             start = end
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; arrow splits the texts and gathers equal pieces, so Python sees each piece once."""
         if not self.cuts:
-            return self.whole(texts)
-        memo = self.memo
-        get = memo.get
-        split = [text.split(" ") for text in texts]
-        heads = self.whole([pieces[0] for pieces in split])
-        found = [list(map(get, pieces)) for pieces in split]
-        new = {p for pieces, ids in zip(split, found) if None in ids for p, i in zip(pieces, ids) if i is None}
-        strange = {p for p in new if odd(p)}
-        fresh: dict[str, object] = self.spaced(list(new - strange))
-        fresh.update(dict.fromkeys(strange, ODD))
-        out = []
-        for number, (pieces, ids) in enumerate(zip(split, found)):
-            if None in ids:
-                ids = [fresh[p] if i is None else i for p, i in zip(pieces, ids)]
-            if ODD in ids:
-                out.append(self.uneven(texts[number]))
-            else:
-                ids[0] = heads[number]
-                out.append(b"".join(ids))
-        room = KEEP - len(memo)
+            return [np.frombuffer(ids, "<u4") for ids in self.whole(texts.to_pylist())]
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        bounds, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        first = bounds[:-1]
+        heads = self.whole([pieces[i] for i in index[first].tolist()])
+        index[first] = len(pieces) + np.arange(len(heads))
+        known = list(map(self.memo.get, pieces))
+        strange = np.array([*map(odd, pieces), *[False] * len(heads)])
+        fresh = self.spaced([p for p, ids in zip(pieces, known) if ids is None and not odd(p)])
+        codes = [fresh.get(p, b"") if ids is None else ids for p, ids in zip(pieces, known)] + heads
+        room = KEEP - len(self.memo)
         if room > 0:
-            memo.update([item for item in fresh.items() if len(item[0]) <= LONGEST][:room])
+            self.memo.update([item for item in fresh.items() if len(item[0]) <= LONGEST][:room])
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(codes), "<u4")
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[index] - ends + counts, counts)]
+        out = np.split(ids, ends[bounds[1:-1] - 1])
+        for number in np.unique(np.searchsorted(bounds, np.flatnonzero(strange[index]), "right") - 1):
+            out[number] = np.frombuffer(self.uneven(texts[number].as_py()), "<u4")
         return out
 
     def uneven(self, text: str) -> bytes:
-        """A text with a space before other white space or at its end."""
+        """Ids of a text with a space before other white space or at its end."""
         first, *rest = pieces_of(text)
         ids = [self.memo.get(p) for p in rest]
         fresh = self.spaced(list({p for p, i in zip(rest, ids) if i is None}))
@@ -146,6 +152,16 @@ def stretches(rows: Iterable[tuple], text: int) -> Iterator[list[tuple]]:
         yield held
 
 
+def slices(batch, text: str) -> Iterator:
+    """An Arrow batch in slices of about SLICE bytes of text, of one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, SLICE + (ends[start - 1] if start else 0))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def rows_of(batch, *columns: str) -> Iterator[tuple]:
     """Rows of an Arrow batch, few at a time, so that Python objects exist for a part of the batch only."""
     for start in range(0, batch.num_rows, 256):
