@@ -84,3 +84,10 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaked_documents
+
+    return leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
