@@ -91,3 +91,10 @@ def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaked_documents
 
     return leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
