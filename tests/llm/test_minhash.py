@@ -82,3 +82,15 @@ def test_components_of_long_chains_and_hubs(spark):
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 1000 for i in range(1000, 1301)} | {1999: 1999, 2000: 1999}
     assert components(links.limit(0)).count() == 0
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    import tidegate.llm.minhash as module
+
+    rows = near_copies(8, 4, 60, words=40)
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], SCHEMA).repartition(5)
+    for few, texts, block in ((4, 7, 16), (1000, 7, 2048)):
+        monkeypatch.setattr(module, "FEW", few)
+        monkeypatch.setattr(module, "TEXTS", texts)
+        monkeypatch.setattr(module, "BLOCK", block)
+        assert sorted(tuple(r) for r in near_duplicates(docs, width=2).collect()) == brute(rows, 2, 80)

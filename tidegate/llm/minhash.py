@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..scale import materialize
 from .components import components
+from .groups import by_group
 from .tokens import rows_of, stretches
 
 WIDTH, PERCENT = 5, 80
@@ -27,7 +28,11 @@ MINIMA = BANDS * ROWS
 PER_LONG = 64 // BITS
 LONGS = MINIMA // PER_LONG
 # Chance that the estimate loses a pair that just reaches the threshold.
-LOST = 1e-7
+LOST = 1e-5
+# Partners that a document tries in a round, rounds, and documents of a bucket that are compared by one task.
+TRIES, ROUNDS, BLOCK = 3, 2, 2048
+# Buckets and components above FEW documents are compared in blocks of documents with their texts.
+FEW, TEXTS = 64, 1024
 KEPT_WORDS = 500_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -189,40 +194,45 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     null id stay, with a null component_id and kept true, unlinked. Repeated rows stay. Rows that share an id but not the
     text are judged by their texts. An empty table gives no rows; other columns are ignored.
 
-    Equal word sequences become one class first. Within a bucket, classes are compared with its smallest one, those that
-    stay apart after that with all others of the bucket that are in another component, so a group of near copies costs
-    a comparison per copy and yet no link between components is missed.
+    Equal word sequences become one class first. Then, in rounds, each class tries the partners in its buckets that look
+    most similar and are in another component yet; large buckets are dealt over tasks, anew in each round. What then
+    still shares a bucket and not a component is compared in full: pair by pair in small buckets, else in blocks of
+    documents, so pairs of a large group never become rows. No candidate between components is left out.
     """
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sketched = materialize(sketches(plain, width), "sketches")
     linked = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
     classes = linked.groupBy("digest").agg(F.min("id").alias("class"))
     own = linked.join(classes, "digest").filter("id = class").dropDuplicates(["digest"])
-    member = own.select("id", "n", *SIGNATURE, F.explode("bands").alias("key")).dropDuplicates(["key", "id"])
-    size = member.groupBy("key").agg(F.count("id").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
-    buckets = materialize(member.join(size, "key").drop("size"), "buckets")
-    ids = buckets.select("id").distinct()
-    texts = materialize(plain.join(ids, "id").distinct(), "texts")
-    nodes = buckets.select("id", "n", *SIGNATURE).distinct()
-
-    stars = buckets.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    near = stars.alias("p").join(nodes.alias("r"), F.col("p.b") == F.col("r.id")).join(nodes.alias("l"), F.col("p.a") == F.col("l.id"))
-    stars = materialize(near.filter(hopeful("l", "r", percent)).select("p.a", "p.b").distinct(), "stars")
-
-    # First each class with its lowest pivot, then with its other pivots, then with whatever shares a bucket.
-    links = materialize(confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, width, percent), "links")
-    found = components(links)
-    apart = materialize(across(stars, found), "pairs")
-    if not apart.isEmpty():
-        links = materialize(links.unionByName(confirmed(apart, texts, width, percent)), "links")
-        found = components(links)
-    apart = materialize(across_buckets(buckets, found, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not apart.isEmpty():
-        links = links.unionByName(confirmed(apart, texts, width, percent))
+    member = own.select("id", F.explode("bands").alias("key"))
+    size = member.groupBy("key").agg(F.count("id").alias("size")).filter("size > 1")
+    buckets = materialize(member.join(size, "key").select("key", "id", "size"), "buckets")
+    nodes = linked.select("id", "n", *SIGNATURE).join(buckets.select("id").distinct(), "id").distinct()
+    nodes = materialize(nodes, "nodes")
+    texts = materialize(plain.join(nodes.select("id").distinct(), "id").distinct(), "texts")
+
+    links, tried, found = None, None, None
+    for turn in range(ROUNDS):
+        buckets = materialize(mixed(buckets, found), "mixed")
+        proposed = materialize(proposals(buckets, nodes, found, tried, percent, turn), "proposals")
+        if proposed.isEmpty():
+            break
+        tried = proposed if tried is None else tried.unionByName(proposed)
+        pairs = proposed.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
+        more = confirmed(pairs, texts, width, percent)
+        links = materialize(more if links is None else links.unionByName(more), "links")
         found = components(links)
+    if found is not None:
+        apart = materialize(with_component(mixed(buckets, found), found), "apart")
+        if not apart.isEmpty():
+            more = rest_links(apart, found, nodes, texts, tried, width, percent)
+            found = components(links.unionByName(more))
 
     classed = sketched.select("id", "digest", "n").join(classes, "digest", "left")
-    joined = classed.join(found.select(F.col("id").alias("class"), "component"), "class", "left")
+    if found is None:
+        joined = classed.withColumn("component", F.col("class"))
+    else:
+        joined = classed.join(found.select(F.col("id").alias("class"), "component"), "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
     return joined.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -230,19 +240,145 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     )
 
 
-def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    one = found.select(F.col("id").alias("a"), F.col("component").alias("x"))
-    other = found.select(F.col("id").alias("b"), F.col("component").alias("y"))
-    known = pairs.join(one, "a", "left").join(other, "b", "left")
-    return known.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-
-
-def across_buckets(buckets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Hopeful pairs (a < b) that share a bucket and not a component."""
-    known = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("pivot")
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rows = materialize(known.join(mixed, "key"), "mixed")
+def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def mixed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    known = with_component(buckets, found)
+    keys = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return buckets.join(keys.select("key"), "key")
+
+
+def proposals(buckets: DataFrame, nodes: DataFrame, found: DataFrame | None, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """(id, partner): for each document the most similar ones of other components in its buckets that it hasn't tried."""
+    least = least_matches(percent)
+    rows = with_component(buckets.join(nodes, "id"), found)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BLOCK)))
+    if tried is None:
+        rows = rows.withColumn("tried", F.array().cast("array<long>"))
+    else:
+        rows = rows.join(tried.groupBy("id").agg(F.collect_set("partner").alias("tried")), "id", "left")
+    columns = ["key", "block", "id", "component", "n", *SIGNATURE, "tried"]
+
+    def best(table: pa.Table) -> pa.RecordBatch:
+        ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
+        signature = [table.column(c).to_numpy().view(np.uint64) for c in SIGNATURE]
+        tries = table.column("tried").to_pylist()
+        out: list[tuple] = []
+        for start in range(0, len(ids), 256):
+            part = slice(start, start + 256)
+            equal = np.full((len(ids[part]), len(ids)), MINIMA, np.int16)
+            for s in signature:
+                other = s[part, None] ^ s[None, :]
+                equal -= np.bitwise_count((other | (other >> np.uint64(1))) & np.uint64(0x5555555555555555))
+            small, large = np.minimum(n[part, None], n[None, :]), np.maximum(n[part, None], n[None, :])
+            equal[(component[part, None] == component[None, :]) | (small * 100 < large * percent) | (equal < least)] = -1
+            for row, done in enumerate(tries[part]):
+                if done:
+                    equal[row, np.isin(ids, done)] = -1
+            partner = equal.argmax(axis=1)
+            matches = equal[np.arange(len(partner)), partner]
+            good = np.flatnonzero(matches >= 0)
+            out += zip(ids[part][good].tolist(), ids[partner[good]].tolist(), matches[good].tolist())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["id", "partner", "matches"])
+
+    together = rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
+    each = together.mapInArrow(by_group(best, ["key", "block"]), "id LONG, partner LONG, matches LONG")
+    # A document has a proposal per bucket at most, so the set is small.
+    top = each.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("matches", "partner")), asc=False), 1, TRIES).alias("top"))
+    return top.select("id", F.explode("top.partner").alias("partner"))
+
+
+def pair_links(apart: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components in buckets of at most FEW documents, pair by pair."""
+    rows = materialize(apart.join(nodes, "id"), "few")
     pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")))
     pairs = pairs.filter(hopeful("l", "r", percent))
-    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    pairs = pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    done = tried.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b"))
+    return confirmed(pairs.join(done, ["a", "b"], "left_anti"), texts, width, percent)
+
+
+def rest_links(apart: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between documents that share a bucket and not a component (key, id, size, component).
+
+    The guests of a large component are the documents outside it that share a bucket with one of its own, the hosts. Guests
+    meet hosts and each other, hosts don't meet. Large buckets without a large component have guests only.
+    """
+    large = found.groupBy("component").agg(F.count("id").alias("hosts")).filter(F.col("hosts") > FEW)
+    present = apart.join(large.select("component"), "component").select("key", F.col("component").alias("group")).distinct()
+    visits = apart.join(present, "key").filter("component <> group").select(F.lit(0).alias("kind"), "group", "id", "component").distinct()
+    others = apart.join(present.select("key").distinct(), "key", "left_anti")
+    crowds = others.filter(F.col("size") > FEW).select(F.lit(1).alias("kind"), F.col("key").alias("group"), "id", "component")
+    guests = materialize(visits.unionByName(crowds), "guests")
+    sizes = guests.groupBy("kind", "group").agg(F.count("id").alias("guests"))
+    sizes = sizes.join(large.select(F.lit(0).alias("kind"), F.col("component").alias("group"), "hosts"), ["kind", "group"], "left")
+    blocks = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / TEXTS).cast("int")
+    sizes = sizes.select("kind", "group", blocks(F.col("guests")).alias("g"), blocks(F.col("hosts")).alias("h"))
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    guest = guests.join(sizes, ["kind", "group"]).withColumn("block", number("g"))
+    own = guest.withColumn("other", each("g")).select("kind", "group", F.lit(0).alias("meet"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "id", "component")
+    met = guest.filter("h > 0").withColumn("other", each("h")).select("kind", "group", F.lit(1).alias("meet"), F.col("other").alias("x"), F.col("block").alias("y"), F.lit(-1).alias("side"), "id", "component")
+    host = found.join(sizes.filter("kind = 0").withColumnRenamed("group", "component"), "component").withColumn("block", number("h"))
+    host = host.withColumn("other", each("g")).select("kind", F.col("component").alias("group"), F.lit(1).alias("meet"), F.col("block").alias("x"), F.col("other").alias("y"), F.lit(-2).alias("side"), "id", "component")
+    group = ["kind", "group", "meet", "x", "y"]
+    rows = own.unionByName(met).unionByName(host).join(nodes, "id").join(texts, "id")
+    dealt = rows.select(*group, "side", "id", "component", "n", *SIGNATURE, "text").repartition(*group).sortWithinPartitions(*group)
+    found_links = dealt.mapInArrow(by_group(lambda table: block_links(table, width, percent), group), "a LONG, b LONG")
+    few = pair_links(others.filter(F.col("size") <= FEW), nodes, texts, tried, width, percent)
+    return materialize(found_links.unionByName(few), "rest")
+
+
+def block_links(table: pa.Table, width: int, percent: int) -> pa.RecordBatch:
+    """Links that join components of one pair of blocks. Set sizes are compared by hashes; a link counts if the words agree."""
+    ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
+    signature = [table.column(c).to_numpy().view(np.uint64) for c in SIGNATURE]
+    side, texts = table.column("side").to_numpy(), table.column("text")
+    meet, x, y = (table.column(c)[0].as_py() for c in ("meet", "x", "y"))
+    left, right = (-1, -2) if meet else (x, y)
+    memo, sets, least = WordHashes(), {}, least_matches(percent)
+    root = {c: c for c in component.tolist()}
+    out: list[tuple] = []
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def hashes(i: int) -> np.ndarray:
+        if i not in sets:
+            words = words_of(texts[i].as_py())
+            sets[i] = shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), width)
+        return sets[i]
+
+    others = np.flatnonzero(side == right)
+    for i in np.flatnonzero(side == left).tolist():
+        some = others if left != right else others[others > i]
+        mine = top(component[i])
+        apart = np.array([top(c) != mine for c in component[some].tolist()], bool)
+        equal = np.full(len(some), MINIMA, np.int16)
+        for s in signature:
+            other = s[i] ^ s[some]
+            equal -= np.bitwise_count((other | (other >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        small, large = np.minimum(n[i], n[some]), np.maximum(n[i], n[some])
+        some = some[apart & (equal >= least) & (small * 100 >= large * percent)]
+        if not len(some):
+            continue
+        own = hashes(i)
+        every = [hashes(j) for j in some.tolist()]
+        flat, starts = np.concatenate(every), np.cumsum([0, *map(len, every[:-1])])
+        common = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, starts)
+        sizes = np.array([len(e) for e in every]) + len(own) - common
+        for j in some[100 * common >= percent * sizes].tolist():
+            if top(component[i]) == top(component[j]):
+                continue
+            if similar(shingle_set(words_of(texts[i].as_py()), width), shingle_set(words_of(texts[j].as_py()), width), percent):
+                root[top(component[i])] = top(component[j])
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])

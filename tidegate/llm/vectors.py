@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..scale import materialize
 from .components import components
+from .groups import by_group
 
 COSINE = 0.9
 # Wanted recall at the threshold itself of the tables and of the count; closer pairs have more.
@@ -32,6 +33,7 @@ SORTED_REACH = 4.0
 # Vectors in a cell if all were random, and in a block of a cell that holds more.
 CELL, BLOCK = 32, 2048
 STRIP = 256
+GROUP = ["size", "table", "key", "low", "high"]
 ROWS = "id LONG, size INT, digest BINARY, vector BINARY"
 
 
@@ -164,28 +166,7 @@ def count_cells(dealt: DataFrame, tables: int, cosine: float) -> DataFrame:
                            low, high, number, cosine, least)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["id", "links", "root"])
 
-    def run(batches):
-        group = ["size", "table", "key", "low", "high"]
-        held, last = [], None
-        for batch in batches:
-            values = np.stack([batch.column(name).to_numpy() for name in group], 1)
-            starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(1)]) if len(values) else []
-            for start, stop in zip(starts, [*starts[1:], len(values)]):
-                mark = tuple(values[start])
-                if held and mark != last:
-                    yield from some(held)
-                    held = []
-                last = mark
-                held.append(batch.slice(start, stop - start))
-        if held:
-            yield from some(held)
-
-    def some(held):
-        table = pa.Table.from_batches(held)
-        if len(table) > 1:
-            yield answer(table)
-
-    return dealt.mapInArrow(run, "id LONG, links LONG, root LONG")
+    return dealt.mapInArrow(by_group(answer, GROUP), "id LONG, links LONG, root LONG")
 
 
 def near_vectors(table: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE,
@@ -212,8 +193,7 @@ def near_vectors(table: DataFrame, *, id_column: str = "vec_id", vector_column:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner"))
-    group = ["size", "table", "key", "low", "high"]
-    sorted_rows = dealt.select(*group, "id", "weight", "vector", "keys", "block").repartition(*group).sortWithinPartitions(*group)
+    sorted_rows = dealt.select(*GROUP, "id", "weight", "vector", "keys", "block").repartition(*GROUP).sortWithinPartitions(*GROUP)
     found = materialize(count_cells(sorted_rows, tables, cosine), "found")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
