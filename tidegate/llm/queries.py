@@ -105,3 +105,11 @@ def op9_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
     from .quality_pu import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import cross_entropy_difference
+
+    wanted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), wanted)
