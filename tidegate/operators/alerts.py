@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.states import pool_exhausted
-from tidegate.operators.runs import LIVE_LIMIT
 
 # Levels in order, targets, and the texts of the rules.
 LEVELS = ["FAILED", "WARNING"]
@@ -32,17 +31,6 @@ def _alert(rule: int, key, level, title, detail, target, dag_id=None, position=N
     ]
 
 
-def _listed(df: DataFrame, name: Column, order: list[Column]) -> DataFrame:
-    """One row (names): the first LIVE_LIMIT names in order, one per line; the live view shows no more."""
-    shown = df.orderBy(*order).limit(LIVE_LIMIT).select(name.alias("name"), F.struct(*order_names(order)).alias("place"))
-    lines = F.array_sort(F.collect_list(F.struct("place", "name")))
-    return shown.agg(F.array_join(F.transform(lines, lambda row: row["name"]), "\n").alias("names"))
-
-
-def order_names(order: list[Column]) -> list[Column]:
-    return [column.alias(f"o{index}") for index, column in enumerate(order)]
-
-
 def backend_alerts(backends: DataFrame) -> DataFrame:
     """From (key, name, state, summary, position): one alert per backend that is down, unauthorized or degraded."""
     state = F.col("state")
@@ -59,11 +47,9 @@ def backend_alerts(backends: DataFrame) -> DataFrame:
 
 
 def import_error_alert(errors: DataFrame) -> DataFrame:
-    """From (filename, position): one alert for all files that cannot be parsed."""
-    counts = errors.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"))
-    names = _listed(errors, F.col("filename"), [F.col("position")]).withColumn("one", F.lit(1))
-    return counts.join(names, "one").filter("n > 0").select(
-        *_alert(1, "import-errors", "FAILED", F.format_string(IMPORT_ERRORS, "n"), F.col("names"), MONITOR)
+    """From (filename, position): one alert for all files that cannot be parsed; ``alert_names`` lists them."""
+    return errors.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(
+        *_alert(1, "import-errors", "FAILED", F.format_string(IMPORT_ERRORS, "n"), None, MONITOR)
     )
 
 
@@ -84,16 +70,12 @@ def waiting_for_retry(tasks: DataFrame) -> DataFrame:
 
 
 def retry_alert(tasks: DataFrame) -> DataFrame:
-    """From (dag_id, task_id, state, position): one alert for all tasks that wait for a retry."""
-    retrying = waiting_for_retry(tasks)
-    counts = retrying.agg(
-        F.count(F.lit(1)).alias("n"), F.min("dag_id").alias("first"), F.max("dag_id").alias("last"), F.lit(1).alias("one")
-    )
-    names = _listed(retrying, F.format_string(TASK_NAME, "dag_id", "task_id"), [F.col("position")]).withColumn("one", F.lit(1))
+    """From (dag_id, task_id, state, position): one alert for all tasks that wait for a retry; ``alert_names`` lists them."""
+    counts = waiting_for_retry(tasks).agg(F.count(F.lit(1)).alias("n"), F.min("dag_id").alias("first"), F.max("dag_id").alias("last"))
     single = F.col("first") == F.col("last")
-    return counts.join(names, "one").filter("n > 0").select(
+    return counts.filter("n > 0").select(
         *_alert(
-            3, "retries", "WARNING", F.format_string(RETRIES, "n"), F.col("names"),
+            3, "retries", "WARNING", F.format_string(RETRIES, "n"), None,
             F.when(single, PIPELINE).otherwise(MONITOR), F.when(single, F.col("first")),
         )
     )
@@ -109,6 +91,17 @@ def rejection_alert(rejections: DataFrame) -> DataFrame:
     )
 
 
+def alert_names(errors: DataFrame | None = None, tasks: DataFrame | None = None) -> DataFrame:
+    """(key, position, name): what the alerts about files and tasks are about, a row per name, as many as there are."""
+    listed = []
+    if errors is not None:
+        listed.append(errors.select(F.lit("import-errors").alias("key"), F.col("position").cast("long"), F.col("filename").alias("name")))
+    if tasks is not None:
+        name = F.format_string(TASK_NAME, "dag_id", "task_id")
+        listed.append(waiting_for_retry(tasks).select(F.lit("retries").alias("key"), F.col("position").cast("long"), name.alias("name")))
+    return reduce(lambda a, b: a.unionByName(b), listed)
+
+
 def alerts(
     backends: DataFrame | None = None, errors: DataFrame | None = None, pools: DataFrame | None = None,
     tasks: DataFrame | None = None, rejections: DataFrame | None = None, *, ranked: bool = False,

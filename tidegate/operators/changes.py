@@ -38,7 +38,8 @@ def upsert_latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def merge_early(loaded: DataFrame, early: DataFrame, order: list[str], n: int) -> DataFrame:
     """The newest ``n`` of what was loaded and of the early arrivals that it does not contain."""
-    fresh = early.withColumn("__digest", row_digest(early))
-    known = loaded.select(row_digest(loaded).alias("__digest")).groupBy("__digest").agg(F.lit(1).alias("__one"))
+    fresh = early.select(*loaded.columns)
+    fresh = fresh.withColumn("__digest", row_digest(fresh, nulls=True))
+    known = loaded.select(row_digest(loaded, nulls=True).alias("__digest")).groupBy("__digest").agg(F.lit(1).alias("__one"))
     added = fresh.join(known, "__digest", "left_anti").select(*loaded.columns)
     return keep_newest(loaded.unionByName(added), order, n)

@@ -29,11 +29,15 @@ def digest_of(fields: Column) -> Column:
     return F.unhex(F.sha2(F.array_join(framed, ""), 256))
 
 
-def row_digest(df: DataFrame) -> Column:
-    """32 bytes that identify a row by the exact text of its fields, however wide the row is."""
+def row_digest(df: DataFrame, *, nulls: bool = False) -> Column:
+    """32 bytes that identify a row by the exact text of its fields, however wide the row is.
+
+    A null counts as the empty text, as in a file; with ``nulls`` it is a value of its own.
+    """
     framed = []
-    for text in cell_texts(df):
-        framed += [F.octet_length(text).cast("string"), F.lit(":"), text]
+    for name, text in zip(df.columns, cell_texts(df)):
+        size = F.octet_length(text).cast("string")
+        framed += [F.when(F.col(f"`{name}`").isNull(), "-").otherwise(size) if nulls else size, F.lit(":"), text]
     return F.unhex(F.sha2(F.concat(*framed), 256))
 
 
@@ -191,43 +195,51 @@ def quality_csv(
 
 
 def floor_gate(measured: DataFrame, floors: DataFrame, key: str, value: str = "executed") -> DataFrame:
-    """(key, floor, value, ok, message): each floor against the sum measured for its group; a missing group fails."""
-    sums = measured.groupBy(key).agg(F.sum(value).cast("long").alias(value))
+    """(key, floor, value, ok, message): each floor against the sum measured for its group; a missing group fails, and so
+    does one with a ``problem``, if ``measured`` has that column."""
+    problem = F.min("problem") if "problem" in measured.columns else F.lit(None).cast("string")
+    sums = measured.groupBy(key).agg(F.sum(value).cast("long").alias(value), problem.alias("__problem"))
     joined = keyed_join(floors.select(key, "floor"), sums, [key], "left")
-    ok = F.coalesce(F.col(value) >= F.col("floor"), F.lit(False))
+    ok = F.coalesce(F.col(value) >= F.col("floor"), F.lit(False)) & F.col("__problem").isNull()
     missing = F.concat(F.col(key), F.lit(": no reports"))
     below = F.concat(
         F.col(key), F.lit(" executed "), F.col(value).cast("string"), F.lit(" tests, expected at least "),
         F.col("floor").cast("string"),
     )
-    return joined.withColumn("ok", ok).withColumn("message", F.when(F.col(value).isNull(), missing).when(~ok, below))
+    wrong = F.concat(F.col(key), F.lit(": "), F.col("__problem"))
+    message = F.when(F.col("__problem").isNotNull(), wrong).when(F.col(value).isNull(), missing).when(~ok, below)
+    return joined.withColumn("ok", ok).withColumn("message", message).drop("__problem")
 
 
 _SUITE = "_tests string, _skipped string, testcase array<struct<skipped string, _name string>>"
 
 
 def suite_totals(reports: DataFrame, key: str, document: str = "document") -> DataFrame:
-    """(key, executed, skipped, problem) per test report: a `testsuite` or a `testsuites` of them.
+    """(key, executed, skipped, problem) per group of test reports: a `testsuite` or a `testsuites` of them each.
 
-    Both the attribute and the marked cases may report the same skipped tests, so the larger counts.
+    Both the attribute and the marked cases may report the same skipped tests, so the larger counts. A report that cannot
+    be parsed, another root, and counts that are no integers or negative are a problem of their group.
     """
     root = F.regexp_extract(document, r"(?s)\A\s*(?:<\?.*?\?>|<!--.*?-->|\s)*<([A-Za-z]+)", 1)
     parsed = F.when(
         root == "testsuites",
         F.expr(f"from_xml({document}, 'testsuite array<struct<{_xml_fields()}>>').testsuite"),
     ).when(root == "testsuite", F.array(F.expr(f"from_xml({document}, '{_SUITE}')").cast(f"struct<{_xml_fields()}>")))
-    suites = reports.select(key, root.alias("root"), F.explode_outer(parsed).alias("suite"))
+    broken = F.coalesce(F.expr(f"from_xml({document}, '_corrupt_record string, _name string')._corrupt_record IS NOT NULL"), F.lit(True))
+    suites = reports.select(key, root.alias("root"), broken.alias("broken"), F.explode_outer(parsed).alias("suite"))
 
     def number(name: str) -> Column:
         text = F.coalesce(F.col(f"suite.{name}"), F.lit("0"))
-        return F.when(text.rlike(r"\A\s*\+?[0-9]+\s*\z"), F.trim(text).try_cast("long"))
+        return F.when(text.rlike(r"\A\s*[+-]?[0-9]+\s*\z"), F.trim(text).try_cast("long"))
 
     cases = F.size(F.filter(F.coalesce("suite.testcase", F.array().cast("array<struct<skipped:string,_name:string>>")),
                             lambda case: case["skipped"].isNotNull())).cast("long")
     tests, skipped = number("_tests"), F.greatest(number("_skipped"), cases)
     problem = (
-        F.when(~F.col("root").isin("testsuite", "testsuites"), F.concat(F.lit("unexpected root element <"), "root", F.lit(">")))
+        F.when(F.col("broken") | F.col("root").isNull(), "cannot parse")
+        .when(~F.col("root").isin("testsuite", "testsuites"), F.concat(F.lit("unexpected root element <"), "root", F.lit(">")))
         .when(tests.isNull(), "non-integer tests").when(number("_skipped").isNull(), "non-integer skipped")
+        .when((tests < 0) | (number("_skipped") < 0), "negative count")
     )
     return suites.groupBy(key).agg(
         F.coalesce(F.sum(tests - skipped), zero()).alias("executed"),

@@ -11,7 +11,7 @@ from tidegate.functions.text import elapsed_millis
 from tidegate.scale import keyed_join, newest_per, spread_join
 
 # How much of each history is kept or shown.
-RIBBON, RECENT, SAMPLES, ACTIVITY_KEEP, KEEP_PER_PROFILE, LIVE_LIMIT = 10, 8, 120, 500, 200, 100
+RIBBON, RECENT, SAMPLES, ACTIVITY_KEEP, KEEP_PER_PROFILE = 10, 8, 120, 500, 200
 KEEP_DAYS = 14
 
 

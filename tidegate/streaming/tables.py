@@ -182,6 +182,13 @@ def ingest_landing(
     return _start(files, work, checkpoint, trigger)
 
 
+def newest(spark: SparkSession, output: str, key: list[str]) -> DataFrame:
+    """The last version of each key among the batches, without their number."""
+    found = appended(spark, output)
+    last = found.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return keyed_join(found, last, [*key, "batch"]).drop("batch")
+
+
 def appended(spark: SparkSession, output: str) -> DataFrame:
     """Everything a stream has appended so far, with the number of its batch."""
     return spark.read.parquet(output)
