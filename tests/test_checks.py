@@ -1,9 +1,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegate.results import GateError
-from tidegate.sources.checks import checksums, file_checksum, first_bad_bytes
+from tidegate.sources.checks import checksums, file_checksum, file_heads, first_bad_bytes
 from tidegate.sources.readers import file_inventory, raw_lines, storage_footprint
 
 BYTES = bytes((i * 31) & 0xFF for i in range(256 * 1024 + 7))
@@ -27,10 +28,20 @@ def test_checksum(spark, write):
 def test_large_files_are_hashed_in_pieces(spark, write, tmp_path):
     write("many/a b.bin", BYTES)
     write("many/deep/small.bin", b"x")
-    rows = {row["path"].rsplit("/", 1)[1]: (row["bytes"], row["sha256"]) for row in checksums(spark, str(tmp_path / "many"), 10).collect()}
+    rows = {row["path"].rsplit("/", 1)[1]: (row["bytes"], row["sha256"]) for row in checksums(spark, str(tmp_path / "many")).collect()}
     assert rows == {"a b.bin": (len(BYTES), hashlib.sha256(BYTES).hexdigest()), "small.bin": (1, hashlib.sha256(b"x").hexdigest())}
 
 
+def test_many_files_are_spread(spark, write, tmp_path):
+    for i in range(60):
+        write(f"spread/{i}.txt", b"\xef\xbb\xbfx" if i % 2 else b"xyz")
+    heads = file_heads(spark, str(tmp_path / "spread"))
+    assert sum(bytes(row["head"]) == b"\xef\xbb\xbf" for row in heads.collect()) == 30
+    for df in (heads, checksums(spark, str(tmp_path / "spread"))):
+        tasks = df.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+        assert tasks.count() > 5
+
+
 def test_inventory(spark, write, tmp_path):
     write("inv/b.txt", "12345")
     write("inv/a/c.txt", "1")

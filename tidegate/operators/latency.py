@@ -10,8 +10,15 @@ from tidegate.scale import keyed_join
 
 
 def _bin(value: Column) -> Column:
-    """A bin that grows with the value, about 1% wide, so that one bin holds a small part of any group."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 64)).cast("long")
+    """A bin about 1% wide at any scale, in the order of the values: it has the sign, the power of two and 64 steps within.
+
+    Zero has a bin of its own and values that are no number, which Spark sorts last, another.
+    """
+    size = F.floor((F.log2(F.abs(value)) + 1100) * 64).cast("long")
+    return (
+        F.when(F.isnan(value), F.lit(1 << 20)).when(F.abs(value) == float("inf"), F.signum(value).cast("long") * (1 << 19))
+        .when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * size)
+    )
 
 
 def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.operators import quality as gates
 from tidegate.plans.registry import query, table
 from tidegate.scale import scratch_path
-from tidegate.sources.checks import checksums, file_heads, undecodable
+from tidegate.results import GateError
+from tidegate.sources.checks import checksums, file_heads, first_bad_bytes, undecodable
 from tidegate.sources.publish import (
-    convert_and_verify, csv_to_parquet, log_result, publish, read_results, row_count, write_csv_rfc4180, write_lines,
+    complete_count, convert_and_verify, csv_to_parquet, log_result, publish, read_results, row_count, write_csv_rfc4180, write_dataset, write_lines,
 )
 from tidegate.sources.options import allow_charset
 from tidegate.sources.readers import file_inventory, raw_lines, read_csv_strict, read_dataset, storage_footprint
 from tidegate.sources.strict_csv import read_csv_rfc4180, records, rectangular
 
-COUNTED_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+# The given tables and how many columns they have.
+WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
+          "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
+COUNTED_TABLES = list(WIDTHS)
 CSV_WRITE = {"header": "true", "quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false",
              "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": ""}
 
@@ -213,7 +217,7 @@ def row_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" UNION ALL ".join(
     f"SELECT '{name}' AS name, count(*) AS \"rows\", CAST({width} AS BIGINT) AS \"columns\" FROM {name}"
-    for name, width in [("customer", 5), ("orders", 6), ("lineitem", 11), ("events", 6), ("documents", 5), ("part", 6)]))
+    for name, width in WIDTHS.items()))
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(name: str) -> DataFrame:
         df = table(spark, sf_dir, name)
@@ -221,8 +225,7 @@ def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns")
         )
 
-    names = ["customer", "orders", "lineitem", "events", "documents", "part"]
-    return reduce(lambda a, b: a.unionByName(b), map(one, names))
+    return reduce(lambda a, b: a.unionByName(b), map(one, WIDTHS))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -230,25 +233,68 @@ def doc_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+def nation_files(spark: SparkSession, sf_dir: str, *, broken: bool = False) -> str:
+    """A folder with a file for each nation: its suppliers' names, one in a line, in their order.
+
+    With ``broken``, files of even nations begin with a character cut short.
+    """
+    path = scratch_path(spark, "nations")
+    suppliers = table(spark, sf_dir, "supplier")
+    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) == 1
+    cut = F.when(F.lit(broken) & (F.col("s_nationkey") % 2 == 0) & F.col("first"), F.lit(b"ab\xe2\x82")).otherwise(F.lit(b""))
+    lines = suppliers.withColumn("first", first).select(
+        F.concat(cut, F.col("s_name").cast("binary")).cast("string").alias("line"), F.col("s_nationkey").alias("nation"), "s_suppkey"
+    )
+    sorted_lines = lines.repartition("nation").sortWithinPartitions("nation", "s_suppkey").drop("s_suppkey")
+    sorted_lines.write.partitionBy("nation").text(path)
+    return path
+
+
+def nation_of(path: Column) -> Column:
+    return F.regexp_extract(path, "/nation=([0-9]+)/", 1).cast("long").alias("nation")
+
+
+NATION_SQL = """(SELECT s_nationkey AS nation, string_agg(s_name || chr(10), '' ORDER BY s_suppkey) AS content FROM supplier GROUP BY s_nationkey)"""
+
+
+@query(f"SELECT nation, strlen(content) AS bytes, sha256(content) AS sha256 FROM {NATION_SQL}")
 def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checksums(spark, sf_dir).withColumn("name", F.element_at(F.split("path", "/"), -1)).select("name", "bytes", "sha256")
+    return checksums(spark, nation_files(spark, sf_dir)).filter(F.col("path").contains("/part-")).select(nation_of(F.col("path")), "bytes", "sha256")
 
 
-@query()
+@query(f"SELECT nation, strlen(content) AS length FROM {NATION_SQL}")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_inventory(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return file_inventory(spark, nation_files(spark, sf_dir)).select(nation_of(F.col("path")), "length")
 
 
-@query()
+@query(f"SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM {NATION_SQL}")
 def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage_footprint(file_inventory(spark, sf_dir))
+    return storage_footprint(file_inventory(spark, nation_files(spark, sf_dir)))
 
 
-@query()
+@query(f"SELECT nation, hex(encode(left(content, 4))) AS head FROM {NATION_SQL}")
 def first_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = file_heads(spark, sf_dir, 4)
-    return heads.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.hex("head").alias("head"))
+    heads = file_heads(spark, nation_files(spark, sf_dir), 4)
+    return heads.select(nation_of(F.col("path")), F.hex("head").alias("head"))
+
+
+@query(f"SELECT nation, CAST(2 AS BIGINT) AS \"offset\" FROM {NATION_SQL} WHERE nation % 2 = 0")
+def first_bad_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = first_bad_bytes(spark, nation_files(spark, sf_dir, broken=True))
+    return found.select(nation_of(F.col("path")), "offset")
+
+
+@query("""SELECT count(*) AS "rows", (SELECT count(*) FROM customer) AS expected, false AS skipped FROM customer""")
+def write_and_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, path, other = table(spark, sf_dir, "customer"), scratch_path(spark, "written"), scratch_path(spark, "copied")
+    done = publish(customers, path, "error", "json")
+    try:
+        publish(customers.limit(1), path, "errorifexists", "json")
+        raise ValueError("a second write replaced the first")
+    except GateError:
+        write_dataset(read_dataset(spark, "json", path, schema=customers.schema), "json", other)
+    rows = complete_count(read_dataset(spark, "json", other, schema=customers.schema))
+    return customers.agg(F.lit(rows).alias("rows"), F.count(F.lit(1)).alias("expected")).withColumn("skipped", F.lit(done["skipped"]))
 
 
 @query("""SELECT CAST(sum(1 + length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS lines,
@@ -261,10 +307,13 @@ def raw_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT lang, count(*) FILTER (regexp_matches(text, '[\\x{C0}-\\x{FF}]')) AS bad FROM documents GROUP BY lang""")
+@query("SELECT lang, count(*) FILTER (doc_id % 3 = 0) AS bad, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY lang")
 def undecodable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latin = F.encode(F.regexp_replace("text", "[^\\x{00}-\\x{7F}\\x{C0}-\\x{FF}]", ""), "ISO-8859-1")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(undecodable(latin, "UTF-8")).alias("bad"))
+    # Every third text gets a lead byte without what must follow it.
+    value = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 3 == 0, F.lit(b"\xe2\x82")).otherwise(F.lit(b"")))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.count_if(undecodable(value, "UTF-8")).alias("bad"), F.sum(F.octet_length("text")).cast("long").alias("bytes")
+    )
 
 
 @query(quality_sql("documents", ["text", "lang", "source"]))
@@ -286,13 +335,17 @@ def strict_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT count(*) AS offenders FROM (SELECT 1 AS one) WHERE (SELECT count(DISTINCT o_orderstatus = 'P') FROM orders) > 1")
+@query("""
+    WITH numbered AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS record, CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 2 END AS width FROM orders),
+    first AS (SELECT width AS expected FROM numbered WHERE record = 1)
+    SELECT record AS record_no, CAST(width AS INTEGER) AS width, CAST(expected AS INTEGER) AS expected FROM numbered, first
+    WHERE width <> expected ORDER BY record LIMIT 1""")
 def ragged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ragged")
     line = F.concat_ws(",", F.col("o_orderkey"), F.col("o_orderpriority"), F.when(F.col("o_orderstatus") == "P", "extra"))
-    write_lines(table(spark, sf_dir, "orders").select(line.alias("line")), path)
-    found = rectangular(read_csv_rfc4180(spark, path))
-    return found.agg((F.count(F.lit(1)) > 0).cast("long").alias("offenders"))
+    # One file, so that records are numbered as the orders are.
+    write_lines(table(spark, sf_dir, "orders").orderBy("o_orderkey").select(line.alias("line")).coalesce(1), path)
+    return rectangular(read_csv_rfc4180(spark, path)).select("record_no", "width", "expected")
 
 
 @query("SELECT c_name AS value FROM customer UNION ALL SELECT s_name FROM supplier")

@@ -18,9 +18,11 @@ from tidegate.sources.paths import file_system, hadoop_path
 from tidegate.sources.readers import file_inventory, raw_lines
 
 UTF8_MARK = b"\xef\xbb\xbf"
-# Files up to this size are hashed by one native expression; larger ones are streamed in pieces of PIECE bytes.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
+# Bytes read at once, and files per task when they are dealt out.
 PIECE = 8 * 1024 * 1024
+FILES_PER_TASK = 4
+# Schemes whose files executors read in pieces; of other stores Spark gives a file as one value, up to 2 GiB.
+STREAMED = ["file", "hdfs", "gs", "s3", "abfs", "abfss"]
 
 
 def open_bytes(path: str, compression: str | None):
@@ -79,6 +81,12 @@ def require_decodable(
         )
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files over tasks, a few each: a given number of partitions isn't merged again by adaptive execution."""
+    tasks = max(1, -(-files.count() // FILES_PER_TASK))
+    return files.repartition(tasks, "path")
+
+
 def _first_bytes(count: int):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
@@ -100,8 +108,7 @@ def _first_bytes(count: int):
 def file_heads(spark: SparkSession, path: str | list[str], count: int = 3) -> DataFrame:
     """(path, head): the first decompressed bytes of each data file, read on the executors."""
     files = spark.read.format("binaryFile").load(path).select("path")
-    spread = files.repartition("path")
-    return spread.mapInPandas(_first_bytes(count), "path string, head binary")
+    return _dealt(files).mapInPandas(_first_bytes(count), "path string, head binary")
 
 
 def require_no_bom(spark: SparkSession, path: str | list[str], charset: str, label: str = "input") -> None:
@@ -142,8 +149,7 @@ def _first_bad_offset(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def first_bad_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(path, offset) of the first byte of each file that is not valid UTF-8; files without one are left out."""
     files = spark.read.format("binaryFile").load(path).select("path")
-    spread = files.repartition("path")
-    return spread.mapInPandas(_first_bad_offset, "path string, offset long").filter("offset IS NOT NULL")
+    return _dealt(files).mapInPandas(_first_bad_offset, "path string, offset long").filter("offset IS NOT NULL")
 
 
 def require_utf8(spark: SparkSession, path: str) -> None:
@@ -168,19 +174,14 @@ def _hash_in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(sha256=digests)
 
 
-def checksums(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(path, bytes, sha256) per file, lower-case hex; large files never become one row's content."""
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) per file, lower-case hex. The scheme decides how a file is read, its size doesn't."""
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = scan.filter(F.col("length") <= whole_file_bytes).select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
-    large = (
-        scan.select("path", F.col("length").alias("bytes"))
-        .filter(F.col("bytes") > whole_file_bytes)
-        .repartition("path")
-        .mapInPandas(_hash_in_pieces, "path string, bytes long, sha256 string")
-    )
-    return small.unionByName(large)
+    streamed = F.lower(F.substring_index("path", ":", 1)).isin(STREAMED)
+    listed = scan.select("path", F.col("length").alias("bytes")).filter(streamed)
+    pieces = _dealt(listed).mapInPandas(_hash_in_pieces, "path string, bytes long, sha256 string")
+    whole = scan.filter(~streamed).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return pieces.unionByName(whole)
 
 
 def file_facts(spark: SparkSession, path: str) -> dict:

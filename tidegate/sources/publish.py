@@ -64,6 +64,9 @@ def publish(
         observed.write.format(fmt).mode("error").options(**(options or {})).save(staged)
         if there:
             move(path, old)
+        elif exists(spark, path):
+            # A rename would put the staged folder into the one that has appeared.
+            raise GateError(f"Output appeared while it was written: {path}")
         try:
             move(staged, path)
         except Exception:
