@@ -105,10 +105,10 @@ def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "delta")
     stream = tables.rolling_rejections(
-        readings(event_stream(spark, sf_dir)), f"{base}/out", f"{base}/state", f"{base}/progress", key=["event_type"]
+        readings(event_stream(spark, sf_dir)), f"{base}/out", f"{base}/state", f"{base}/progress", key=["event_type"], order=["event_id"]
     )
     stream.awaitTermination()
-    return tables.appended(spark, f"{base}/out").select("event_type", "event_id", "increase", "rolling")
+    return tables.newest(spark, f"{base}/out", ["event_type", "event_id"]).select("event_type", "event_id", "increase", "rolling")
 
 
 @query(f"""

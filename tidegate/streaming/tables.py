@@ -70,34 +70,40 @@ def _append(df: DataFrame, output: str, batch: int) -> None:
 
 def rolling_rejections(
     readings: DataFrame, output: str, state: str, checkpoint: str, *, key: list[str], at: str = "ts",
-    started: str = "started_at", counter: str = "rejected", minutes: int = 10, trigger: dict | None = None,
+    started: str = "started_at", counter: str = "rejected", minutes: int = 10, delay_minutes: int = 10,
+    order: list[str] | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Appends each reading with its increase and the increases of the last minutes.
 
-    State is the last reading of each key and its increases that still count. A reading not newer than the last one of
-    its key in an earlier batch is late and is dropped.
+    A reading may be late by ``delay_minutes`` against the newest of its key; then it takes its place by (at, order), and
+    later readings that it changes are appended once more: the newest version of a reading holds (see newest). Older ones
+    are dropped. State is what a late reading can still touch: those of the delay and of the minutes before it.
     """
-    spark, columns = readings.sparkSession, readings.columns
-    schema = readings.select("*", F.lit(0).cast("long").alias("increase")).schema
-    table = StateTable(spark, state, schema)
+    columns, place = readings.columns, F.struct(at, *(order or []))
+    numbers = [F.lit(0).cast("long").alias(name) for name in ("increase", "rolling")]
+    table = StateTable(readings.sparkSession, state, readings.select("*", *numbers).schema)
+
+    def back(count: int):
+        return F.make_dt_interval(mins=F.lit(count))
 
     def work(batch_df: DataFrame, batch: int) -> None:
         kept = table.before(batch)
-        newest = kept.groupBy(*key).agg(F.max(at).alias("__seen"))
-        fresh = keyed_join(batch_df, newest, key, "left").filter(F.col("__seen").isNull() | (F.col(at) > F.col("__seen")))
-        fresh = fresh.select(*columns, F.lit(None).cast("long").alias("__known"))
-        before = kept.select(*columns, F.col("increase").alias("__known"))
-        grown = counter_increase(before.unionByName(fresh), key, at, counter, started=started)
-        grown = grown.withColumn("increase", F.coalesce("__known", "increase"))
-        summed = rolling_sum(grown, key, at, "increase", minutes=minutes)
-        _append(summed.filter("__known IS NULL").drop("__known"), output, batch)
-        everything = grown.select(*columns, "increase")
-        last = everything.groupBy(*key).agg(F.max(at).alias("__last"))
-        live = keyed_join(everything, last, key).filter(
-            (F.col(at) == F.col("__last"))
-            | ((F.col("increase") > 0) & (F.col(at) >= F.col("__last") - F.make_dt_interval(mins=F.lit(minutes))))
-        )
-        table.write(batch, live.select(*columns, "increase"))
+        seen = kept.groupBy(*key).agg(F.max(at).alias("__seen"))
+        fresh = keyed_join(batch_df, seen, key, "left").filter(F.col("__seen").isNull() | (F.col(at) >= F.col("__seen") - back(delay_minutes)))
+        nothing = F.lit(None).cast("long")
+        rows = kept.select(*columns, F.col("increase").alias("__old"), F.col("rolling").alias("__sum"))
+        rows = rows.unionByName(fresh.select(*columns, nothing.alias("__old"), nothing.alias("__sum")))
+        first = rows.groupBy(*key).agg(F.min(place).alias("__first"), F.max(at).alias("__last"))
+        grown = keyed_join(counter_increase(rows, key, at, counter, started=started, order=order), first, key)
+        # The first reading kept has lost the one before it.
+        settled = (place == F.col("__first")) & F.col("__old").isNotNull()
+        grown = grown.withColumn("increase", F.when(settled, F.col("__old")).otherwise(F.col("increase")))
+        summed = keyed_join(rolling_sum(grown, key, at, "increase", minutes=minutes), seen, key, "left")
+        final = F.col("__sum").isNotNull() & (F.col(at) < F.col("__seen") - back(delay_minutes))
+        summed = summed.withColumn("rolling", F.when(final, F.col("__sum")).otherwise(F.col("rolling")))
+        changed = F.col("__old").isNull() | (F.col("__old") != F.col("increase")) | (F.col("__sum") != F.col("rolling"))
+        _append(summed.filter(changed).select(*columns, "increase", "rolling"), output, batch)
+        table.write(batch, summed.filter(F.col(at) >= F.col("__last") - back(delay_minutes + minutes)).select(*columns, "increase", "rolling"))
 
     return _start(readings, work, checkpoint, trigger)
 
@@ -135,14 +141,23 @@ def alert_changes(
     return _start(stream, work, checkpoint, trigger)
 
 
+# Classes of Spark's errors about malformed records and undecodable text.
+DATA_ERRORS = ("MALFORMED_RECORD", "MALFORMED_CSV_RECORD", "MALFORMED_CHARACTER_CODING", "CSV_HEADER", "CANNOT_PARSE", "TextParsingException")
+
+
+def of_data(error: Exception) -> bool:
+    """Whether an error comes from the bytes of a file, so that running again can't help."""
+    return isinstance(error, GateError) or any(name in str(error) for name in DATA_ERRORS)
+
+
 def ingest_landing(
     spark: SparkSession, landing: str, output: str, quarantine: str, checkpoint: str, *, schema: str,
     encoding: str | None = None, files_per_batch: int = 1000, trigger: dict | None = None, **csv,
 ) -> StreamingQuery:
     """New CSV files become Parquet, each once; a file that breaks the contract is listed in ``quarantine`` instead.
 
-    The files of a batch are checked and converted together. Only when that fails is the batch halved, again and again,
-    until the bad files stand alone.
+    The files of a batch are checked and converted together. Only when the data is at fault is the batch halved, again and
+    again, until the bad files stand alone; any other error fails the batch, which then runs again.
     """
     files = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
@@ -159,6 +174,8 @@ def ingest_landing(
             complete_count(parsed(paths))
             return []
         except JOB_ERRORS as error:
+            if not of_data(error):
+                raise
             if len(paths) == 1:
                 return [(paths[0], str(error) if isinstance(error, GateError) else "malformed records")]
         half = len(paths) // 2
@@ -172,7 +189,9 @@ def ingest_landing(
             require_decodable(spark, paths, options["encoding"])
             parsed(paths).write.mode("overwrite").parquet(target)
             return
-        except JOB_ERRORS:
+        except JOB_ERRORS as error:
+            if not of_data(error):
+                raise
             bad = broken(paths)
         spark.createDataFrame(bad, "path string, problem string").write.mode("overwrite").json(f"{quarantine}/batch={batch}")
         fine = [path for path in paths if path not in {name for name, _ in bad}]
