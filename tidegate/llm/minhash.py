@@ -31,6 +31,8 @@ LONGS = MINIMA // PER_LONG
 LOST = 1e-5
 # Partners that a document tries in a round, rounds, and documents of a bucket that are compared by one task.
 TRIES, ROUNDS, BLOCK = 3, 2, 2048
+# Rows of buckets for a task.
+TASK = 16_384
 # Buckets and components above FEW documents are compared in blocks of documents with their texts.
 FEW, TEXTS = 64, 1024
 KEPT_WORDS = 500_000
@@ -209,7 +211,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     buckets = materialize(member.join(size, "key").select("key", "id", "size"), "buckets")
     nodes = linked.select("id", "n", *SIGNATURE).join(buckets.select("id").distinct(), "id").distinct()
     nodes = materialize(nodes, "nodes")
-    texts = materialize(plain.join(nodes.select("id").distinct(), "id").distinct(), "texts")
+    # Merged at every size, so that the plan that is tried on little data is the one that runs on much.
+    texts = materialize(plain.join(nodes.select("id").distinct().hint("merge"), "id").distinct(), "texts")
 
     links, tried, found = None, None, None
     for turn in range(ROUNDS):
@@ -286,7 +289,8 @@ def proposals(buckets: DataFrame, nodes: DataFrame, found: DataFrame | None, tri
             out += zip(ids[part][good].tolist(), ids[partner[good]].tolist(), matches[good].tolist())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["id", "partner", "matches"])
 
-    together = rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
+    tasks = max(1, buckets.count() // TASK)
+    together = rows.select(*columns).repartition(tasks, "key", "block").sortWithinPartitions("key", "block")
     each = together.mapInArrow(by_group(best, ["key", "block"]), "id LONG, partner LONG, matches LONG")
     # A document has a proposal per bucket at most, so the set is small.
     top = each.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("matches", "partner")), asc=False), 1, TRIES).alias("top"))
