@@ -69,7 +69,7 @@ def test_counters(table, rows):
 
 
 def test_numbers(table, rows):
-    got = {row["id"]: row["n"] for row in number_within(table, ["key"], "id", "n", width=100).collect()}
+    got = {row["id"]: row["n"] for row in number_within(table, ["key"], "id", "n").collect()}
     want = {row[1]: i for group in by_key(rows).values() for i, row in enumerate(sorted(group, key=lambda r: r[1]))}
     assert got == want
 

@@ -127,7 +127,7 @@ def test_windowed_quality(spark, tmp_path):
     source.add([(at(i), " " if i % 2 else "x", None if i % 3 else "y") for i in range(60)])
     source.add([(at(200), "x", "y")])
     out = run(windows.windowed_quality(source.stream(), ["a", "b"]), tmp_path, "quality").collect()
-    assert [tuple(row) for row in out] == [(T0, 60, 70, 20)]
+    assert [tuple(row) for row in out] == [(T0, 60, 70, 20, 56)]
 
 
 def test_alert_changes(spark, tmp_path):

@@ -30,6 +30,13 @@ def emitted(stream: DataFrame, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(output)
 
 
+def updated(stream: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """The newest row of each key when everything there has been read, open windows included."""
+    spark, base = stream.sparkSession, scratch_path(stream.sparkSession, name)
+    tables.keep_updates(stream, f"{base}/out", f"{base}/progress").awaitTermination()
+    return tables.newest(spark, f"{base}/out", key)
+
+
 def plain(*names: str) -> list:
     """Timestamps as they are stored in the tables, without a zone."""
     return [F.col(name).cast("timestamp_ntz").alias(name) for name in names]
@@ -41,22 +48,20 @@ CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
 @query(f"""
     SELECT *, {SHARE_SQL} FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start,
-        time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS window_end, {MIX_SQL} FROM events GROUP BY 1, 2)
-    WHERE window_end <= {CLOSED}""")
+        time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS window_end, {MIX_SQL} FROM events GROUP BY 1, 2)""")
 def stream_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir).withColumn("state", event_state(F.col("event_type")))
-    out = emitted(windows.windowed_mix(events), "mix")
+    out = updated(windows.windowed_mix(events), "mix", ["window_start", "window_end"])
     return out.select(*plain("window_start", "window_end"), "success", "failed", "running", "waiting", "success_share")
 
 
 @query(f"""
     SELECT *, {SHARE_SQL} FROM (SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, {MIX_SQL} FROM (
         SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start FROM events
-        UNION ALL SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE FROM events) GROUP BY 1, 2)
-    WHERE window_end <= {CLOSED}""")
+        UNION ALL SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE FROM events) GROUP BY 1, 2)""")
 def stream_mix_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir).withColumn("state", event_state(F.col("event_type")))
-    out = emitted(windows.windowed_mix(events, slide="5 minutes"), "sliding")
+    out = updated(windows.windowed_mix(events, slide="5 minutes"), "sliding", ["window_start", "window_end"])
     return out.select(*plain("window_start", "window_end"), "success", "failed", "running", "waiting", "success_share")
 
 
@@ -90,7 +95,9 @@ def stream_match_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     SELECT date_trunc('hour', ts) AS window_start, count(*) AS "rows",
            CAST(sum(CAST(event_type = 'view' AS BIGINT) + CAST(event_id % 3 = 0 AS BIGINT)) AS BIGINT) AS blank_cells,
-           count(*) FILTER (event_type = 'view' AND event_id % 3 = 0) AS blank_rows
+           count(*) FILTER (event_type = 'view' AND event_id % 3 = 0) AS blank_rows,
+           count(*) - count(DISTINCT (CASE WHEN event_type = 'view' THEN ' ' ELSE event_type END,
+               CASE WHEN event_id % 3 = 0 THEN '' ELSE coalesce(CAST(props AS VARCHAR), '') END)) AS duplicate_rows
     FROM events GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= {CLOSED}""")
 def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir).select(
@@ -98,7 +105,7 @@ def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("props")).alias("props"),
     )
     out = emitted(windows.windowed_quality(events, ["kind", "props"]), "quality")
-    return out.select(*plain("window_start"), "rows", "blank_cells", "blank_rows")
+    return out.select(*plain("window_start"), "rows", "blank_cells", "blank_rows", "duplicate_rows")
 
 
 @query(ROLLING_SQL)

@@ -99,14 +99,20 @@ def newest_per(df: DataFrame, key: list[str], order: list[str], n: int, *, rank:
     return kept.withColumnRenamed(number, rank) if rank else kept.drop(number)
 
 
-def number_within(df: DataFrame, group: list[str], position: str, name: str, *, width: int = 100_000) -> DataFrame:
+def number_within(df: DataFrame, group: list[str], position: str, name: str, *, stretches: int = 100) -> DataFrame:
     """0-based row number within a group by a unique whole-number position, without one task per group.
 
-    Rows are numbered within stretches of ``width`` positions and shifted by the size of the stretches before.
+    A group is cut where about equal shares of its rows lie, however its positions are spread; rows are numbered within a
+    stretch and shifted by the sizes of the stretches before. Cuts are approximate, so they are stored: each use must
+    see the same ones.
     """
+    shares = [number / stretches for number in range(1, stretches)]
+    cuts = df.groupBy(*group).agg(F.percentile_approx(position, shares, 1000).alias("__cuts"))
+    cuts = materialize(cuts, "cuts")
+    before = F.size(F.filter("__cuts", lambda cut: cut < F.col(position)))
     # A struct is never null itself, so window and join can share one shuffle even where a group is null.
     unit = "__unit"
-    cut = df.withColumn(unit, F.struct(*group, F.floor(F.col(position) / width).alias("__stretch")))
+    cut = keyed_join(df, cuts, group).withColumn(unit, F.struct(*group, before.alias("__stretch"))).drop("__cuts")
     sizes = cut.groupBy(unit).agg(F.count(F.lit(1)).alias("__size"))
     earlier = Window.partitionBy(*[F.col(unit)[key] for key in group]).orderBy(F.col(f"{unit}.__stretch"))
     before = F.sum("__size").over(earlier.rowsBetween(Window.unboundedPreceding, -1))

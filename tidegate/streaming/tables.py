@@ -201,6 +201,12 @@ def ingest_landing(
     return _start(files, work, checkpoint, trigger)
 
 
+def keep_updates(stream: DataFrame, output: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Appends what a batch has changed in an aggregation, also in windows that are still open (see newest)."""
+    writer = stream.writeStream.outputMode("update").foreachBatch(lambda df, batch: _append(df, output, batch))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def newest(spark: SparkSession, output: str, key: list[str]) -> DataFrame:
     """The last version of each key among the batches, without their number."""
     found = appended(spark, output)

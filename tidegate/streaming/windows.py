@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.states import run_tone
 from tidegate.functions.text import is_blank
 from tidegate.operators.mix import mix_columns, share
-from tidegate.operators.quality import cell_texts
+from tidegate.operators.quality import cell_texts, row_digest
 from tidegate.scale import SALTS
 
 
@@ -32,14 +32,21 @@ def windowed_mix(
 def windowed_quality(
     rows: DataFrame, cells: list[str], *, at: str = "ts", delay: str = "10 minutes", width: str = "1 hour"
 ) -> DataFrame:
-    """(window_start, rows, blank_cells, blank_rows) of the given columns per window."""
-    blanks = [is_blank(text).cast("long") for text in cell_texts(rows.select(*cells))]
+    """(window_start, rows, blank_cells, blank_rows, duplicate_rows) of the given columns per window.
+
+    Copies are combined by their digest first; state holds one entry per different row of an open window.
+    """
+    given = rows.select(*cells)
+    blanks = [is_blank(text).cast("long") for text in cell_texts(given)]
     total = sum(blanks[1:], blanks[0])
-    counted = rows.withWatermark(at, delay).groupBy(F.window(at, width)).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(total).alias("blank_cells"),
-        F.count_if(total == len(blanks)).alias("blank_rows"),
+    judged = rows.withWatermark(at, delay).select(at, row_digest(given).alias("__digest"), total.alias("__blanks"))
+    copies = judged.groupBy(F.window(at, width), "__digest").agg(F.count(F.lit(1)).alias("n"), F.max("__blanks").alias("blanks"))
+    counted = copies.groupBy(F.window(F.window_time("window"), width).alias("whole")).agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("blanks")).alias("blank_cells"),
+        F.sum(F.when(F.col("blanks") == len(blanks), F.col("n")).otherwise(0)).cast("long").alias("blank_rows"),
+        F.sum(F.col("n") - 1).alias("duplicate_rows"),
     )
-    return counted.select(F.col("window.start").alias("window_start"), "rows", "blank_cells", "blank_rows")
+    return counted.select(F.col("whole.start").alias("window_start"), "rows", "blank_cells", "blank_rows", "duplicate_rows")
 
 
 def dedupe_ends(
