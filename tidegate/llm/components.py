@@ -22,6 +22,15 @@ def _small(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node without an edge of its own: then the components are found."""
+    total, nodes = edges.agg(F.count("a"), F.countDistinct("a")).first()
+    if total != nodes:
+        return False
+    heads = edges.select(F.col("b").alias("a")).distinct()
+    return edges.join(heads, "a", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every node of the links (a, b) the smallest node that it reaches.
 
@@ -29,12 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     or split by adaptive execution (joins); each round is written to the shared folder. No links, no rows.
     """
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges, seen = materialize(down, "links"), None
-    while True:
-        state = tuple(edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            break
-        seen = state
+    edges = materialize(down, "links")
+    while not _stars(edges):
         edges = materialize(_small(_large(edges)), "links")
     roots = edges.select(F.col("b").alias("a"), "b").distinct()
     return edges.unionByName(roots).select(F.col("a").alias("id"), F.col("b").alias("component"))
