@@ -151,7 +151,8 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, *, id_column: s
     plain = docs.select(F.col(id_column), F.col(id_column).cast("long").alias("__id"), text)
     words = learn_vocabulary(plain.select("text"), vocabulary, classes)
     ids = wanted.select(F.col(wanted.columns[0]).cast("long").alias("__id")).filter("__id IS NOT NULL").distinct()
-    marked = plain.select("__id", "text").join(ids.withColumn("wanted", F.lit(True)), "__id", "left")
+    # Merged at every size, so that the plan that is tried on little data is the one that runs on much.
+    marked = plain.select("__id", "text").join(ids.withColumn("wanted", F.lit(True)).hint("merge"), "__id", "left")
     cells, wanted_cells, wanted_words = cell_counts(marked.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted")), words)
     models = [Model.of(c, n, words.classes) for c, n in ((wanted_cells, wanted_words), (cells, words.counts))]
 
