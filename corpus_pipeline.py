@@ -34,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id. Rows that share that
     id stay once for each text; rows with a null id stay."""
     kept = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rest = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    # Merged at every size, so that the plan that is tried on little data is the one that runs on much.
+    rest = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
     repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         several = rest.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
