@@ -134,6 +134,12 @@ def test_ranges(spark):
     df = spark.createDataFrame(rows, f"version string, ranges {ranges.RANGES}, expected boolean")
     judged = df.withColumn("got", ranges.in_ranges(maps.release(F.col("version")), F.col("ranges")))
     assert judged.filter("got <> expected").collect() == []
+    numbered = [(f"K{number}", spans) for number, spans in enumerate(kinds)]
+    every = spark.createDataFrame([("gh", "pkg", version) for version in versions], "ecosystem string, name string, version string")
+    known = spark.createDataFrame([(name, "gh", "PKG", ["13"], spans) for name, spans in numbered],
+                                  f"id string, ecosystem string, name string, versions array<string>, ranges {ranges.RANGES}")
+    found = sorted((row["version"], row["advisory"]) for row in ranges.match_ranges(every, known).collect())
+    assert found == sorted((v, name) for v in versions for name, spans in numbered if v == "13" or plainly(v, spans))
     items = spark.createDataFrame([("gh", "Act/Checkout", "9.2"), ("gh", "act/checkout", "6"), ("mvn", "act/checkout", "9.2")],
                                   "ecosystem string, name string, version string")
     advisories = spark.createDataFrame([("A1", "gh", "act/CHECKOUT", ["v6"], [MIDDLE]), ("A2", "gh", "other", None, [EARLY])],

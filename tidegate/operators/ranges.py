@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidegate.functions.maps import release
 from tidegate.scale import spread_join
 
+# Leading numbers of a span from which it counts as open.
+MANY = 64
 RANGES = "array<array<struct<introduced:string,fixed:string,last_affected:string>>>"
 
 
@@ -33,11 +35,37 @@ def in_ranges(current: Column, ranges: Column) -> Column:
     return F.coalesce(F.exists(ranges, affected), F.lit(False))
 
 
+def leading(version: Column) -> Column:
+    """The first number of a release; -1 where there is none."""
+    return F.coalesce(F.try_element_at(release(version), F.lit(1)), F.lit(-1)).cast("decimal(38,0)")
+
+
+def span_buckets(ranges: Column, listed: Column) -> Column:
+    """The leading numbers that an advisory may affect, or null if they are open or many.
+
+    A span reaches from its lowest event to its highest, and on without end if its highest introduces something.
+    """
+    def reach(span: Column) -> Column:
+        events = F.transform(span, lambda e: F.struct(
+            release(F.coalesce(e["introduced"], e["fixed"], e["last_affected"])).alias("at"), e["introduced"].isNotNull().alias("opens")))
+        top = F.array_max(F.transform(events, lambda e: e["at"]))
+        low = F.array_min(F.transform(events, lambda e: e["at"]))
+        first = lambda at: F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(-1)).cast("decimal(38,0)")
+        ended = ~F.exists(events, lambda e: e["opens"] & (e["at"] == top)) & (first(top) - first(low) < MANY)
+        numbers = F.transform(F.sequence(F.lit(0), (first(top) - first(low)).cast("int")), lambda step: (first(low) + step).cast("decimal(38,0)"))
+        return F.when(F.size(span) == 0, F.array().cast("array<decimal(38,0)>")).when(ended, numbers)
+
+    reaches = F.transform(F.coalesce(ranges, F.array().cast(RANGES)), reach)
+    named = F.transform(listed, leading)
+    return F.when(~F.exists(reaches, lambda numbers: numbers.isNull()), F.array_distinct(F.concat(F.flatten(reaches), named)))
+
+
 def match_ranges(items: DataFrame, advisories: DataFrame) -> DataFrame:
     """(item columns..., advisory) for every item (ecosystem, name, version) and advisory that affects it.
 
-    ``advisories`` has (id, ecosystem, name, versions array<string>, ranges). The join is on ecosystem and lower-case
-    name; the ranges are tested on the joined pairs.
+    ``advisories`` has (id, ecosystem, name, versions array<string>, ranges). Advisories with an end are joined by
+    ecosystem, lower-case name and the leading release numbers that they may affect, so that the releases of a busy
+    package don't meet all its advisories; those without one by ecosystem and name. The ranges are tested on the pairs.
     """
     probe = items.withColumn("__name", F.lower("name"))
     rules = advisories.select(
@@ -45,7 +73,9 @@ def match_ranges(items: DataFrame, advisories: DataFrame) -> DataFrame:
         F.transform(F.coalesce("versions", F.array().cast("array<string>")), lambda v: F.regexp_replace(v, r"\Av+", ""))
         .alias("__listed"),
         F.col("ranges").cast(RANGES).alias("__ranges"),
-    )
-    pairs = spread_join(probe, rules, ["ecosystem", "__name"])
+    ).withColumn("__buckets", span_buckets(F.col("__ranges"), F.col("__listed")))
+    ended = rules.filter("__buckets IS NOT NULL").withColumn("__bucket", F.explode("__buckets")).drop("__buckets")
+    pairs = spread_join(probe.withColumn("__bucket", leading(F.col("version"))), ended, ["ecosystem", "__name", "__bucket"]).drop("__bucket")
+    pairs = pairs.unionByName(spread_join(probe, rules.filter("__buckets IS NULL").drop("__buckets"), ["ecosystem", "__name"]))
     hit = F.array_contains("__listed", F.col("version")) | in_ranges(release(F.col("version")), F.col("__ranges"))
     return pairs.filter(hit).select(*items.columns, "advisory")
