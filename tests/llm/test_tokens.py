@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest

@@ -327,10 +327,15 @@ def rest_links(apart: DataFrame, found: DataFrame, nodes: DataFrame, texts: Data
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     guest = guests.join(sizes, ["kind", "group"]).withColumn("block", number("g"))
-    own = guest.withColumn("other", each("g")).select("kind", "group", F.lit(0).alias("meet"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "id", "component")
-    met = guest.filter("h > 0").withColumn("other", each("h")).select("kind", "group", F.lit(1).alias("meet"), F.col("other").alias("x"), F.col("block").alias("y"), F.lit(-1).alias("side"), "id", "component")
-    host = found.join(sizes.filter("kind = 0").withColumnRenamed("group", "component"), "component").withColumn("block", number("h"))
-    host = host.withColumn("other", each("g")).select("kind", F.col("component").alias("group"), F.lit(1).alias("meet"), F.col("block").alias("x"), F.col("other").alias("y"), F.lit(-2).alias("side"), "id", "component")
+    def meeting(rows: DataFrame, meet: int, x: Column, y: Column, side: Column) -> DataFrame:
+        return rows.select("kind", "group", F.lit(meet).alias("meet"), x.alias("x"), y.alias("y"), side.alias("side"), "id", "component")
+
+    block, other = F.col("block"), F.col("other")
+    own = meeting(guest.withColumn("other", each("g")), 0, F.least(block, other), F.greatest(block, other), block)
+    met = meeting(guest.filter("h > 0").withColumn("other", each("h")), 1, other, block, F.lit(-1))
+    hosts = found.join(sizes.filter("kind = 0").withColumnRenamed("group", "component"), "component")
+    hosts = hosts.withColumn("group", F.col("component")).withColumn("block", number("h")).withColumn("other", each("g"))
+    host = meeting(hosts, 1, block, other, F.lit(-2))
     group = ["kind", "group", "meet", "x", "y"]
     rows = own.unionByName(met).unionByName(host).join(nodes, "id").join(texts, "id")
     dealt = rows.select(*group, "side", "id", "component", "n", *SIGNATURE, "text").repartition(*group).sortWithinPartitions(*group)

@@ -148,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = features(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "mark", "x"])
+                rows = pa.array([row.tobytes() for row in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), rows], names=["id", "mark", "x"])
 
     found = texts_of(docs, marked, id_column, text_column).select("id", "mark", "text").mapInArrow(run, "id LONG, mark INT, x BINARY").toPandas()
     found = found.sort_values(["mark", "id", "x"])

@@ -201,7 +201,8 @@ def near_vectors(table: DataFrame, *, id_column: str = "vec_id", vector_column:
     classed = rows.select("id", "digest").join(classes, "digest", "left")
     classed = classed.join(links.withColumnRenamed("id", "class"), "class", "left").join(joined.withColumnRenamed("id", "class"), "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
+    others = F.coalesce(F.col("weight") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     return classed.select(
-        F.col("id").alias(id_column), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(F.col("weight") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        F.col("id").alias(id_column), F.when(F.col("id").isNull(), 0).otherwise(others).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
