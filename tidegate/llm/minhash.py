@@ -35,7 +35,7 @@ TRIES, ROUNDS, BLOCK = 3, 2, 2048
 TASK = 16_384
 # Buckets and components above FEW documents are compared in blocks of documents with their texts.
 FEW, TEXTS = 64, 1024
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(20_240).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -152,12 +152,12 @@ def stretches(rows: Iterable[tuple], text: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def slices(batch, text: str) -> Iterator:
-    """An Arrow batch in slices of about SLICE bytes of text, of one row at least."""
+def slices(batch, text: str, size: int = SLICE) -> Iterator:
+    """An Arrow batch in slices of about ``size`` bytes of text, of one row at least."""
     ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, SLICE + (ends[start - 1] if start else 0))))
+        stop = max(start + 1, int(np.searchsorted(ends, size + (ends[start - 1] if start else 0))))
         yield batch.slice(start, stop - start)
         start = stop
 
