@@ -75,3 +75,36 @@ def test_wanted_kind_scores_lower_and_empty_tables(spark):
     assert max(got[k] for k in range(41, 80, 2)) < min(got[k] for k in range(40, 80, 2))
     assert cross_entropy_difference(docs.limit(0), ids).count() == 0
     assert cross_entropy_difference(docs, ids.limit(0)).count() == 80
+
+
+def test_all_words_and_pairs_have_counts_of_their_own(spark, monkeypatch):
+    import tidegate.llm.lm_score as module
+
+    chance = random.Random(3)
+    rare = [f"rare{i}" for i in range(2000)]
+    rows = [(i, " ".join(chance.sample(rare, 30))) for i in range(300)] + [(900, "x" * 100 + " " + "y" * 100), (901, "y" * 100 + " " + "x" * 100), (902, None)]
+    # More frequent words than the classes that models once had, so that the pairs of rare ones were lost.
+    rows += [(1000 + i, " ".join(f"often{j}" for j in range(i % 7, 1200))) for i in range(25)]
+    wanted = {*range(0, 300, 3), 900}
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], SCHEMA).repartition(4)
+    ids = spark.createDataFrame([(k,) for k in wanted], "doc_id LONG")
+    split = [(key, (text or "").split()) for key, text in rows]
+    size = len({w for _, words in split for w in words}) + 1
+    loss = {}
+    for name in "tb":
+        mine = [words for key, words in split if name == "b" or key in wanted]
+        one = Counter(w for words in mine for w in words)
+        pairs = Counter(p for words in mine for p in zip([None, *words], words))
+        before = Counter(h for words in mine for h in [None, *words][:len(words)])
+        total = sum(one.values()) + ADDED * size
+        for key, words in split:
+            each = [math.log((pairs[h, w] + UNIGRAMS * (one[w] + ADDED) / total) / (before[h] + UNIGRAMS)) for h, w in zip([None, *words], words)]
+            loss[key, name] = -sum(each) / max(1, len(words))
+    for block in (2_000, 32_000_000):
+        monkeypatch.setattr(module, "BLOCK", block, raising=False)
+        monkeypatch.setattr(module, "SLICE", 1_000, raising=False)
+        got = cross_entropy_difference(docs, ids).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert math.isclose(r.target_loss, loss[r.doc_id, "t"], rel_tol=1e-9), r
+            assert math.isclose(r.background_loss, loss[r.doc_id, "b"], rel_tol=1e-9), r

@@ -1,8 +1,8 @@
 """Documents scored by cross-entropy difference: loss under a model of wanted text less loss under one of all text.
 
-Both models are class bigrams with the same vocabulary and smoothing. The most frequent words of the corpus are classes
-of their own, all others share one; within it a word has its share of the unigrams. So a model has a fixed number of
-cells, whatever the corpus, while its counts come from every document.
+Both models are word bigrams with the same vocabulary and smoothing. Every word and every pair of words that occurs has
+counts of its own, kept in tables. Tasks count blocks of whole texts; what a block counted is summed over all blocks and
+goes back to it, so a frequent pair has a row for each block only and no more than a block's counts meet in a task.
 """
 
 from __future__ import annotations
@@ -12,19 +12,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scale import materialize
-from .rows import computed
-from .tokens import rows_of, stretches
+from .rows import SLICE
+from .tokens import rows_of, slices, stretches
 
-# Words with an id, characters of the longest of them, and words that are classes of their own.
-VOCABULARY, LONGEST, CLASSES = 65_536, 64, 1024
+# Bytes of text in a block, of one row at least.
+BLOCK = 32_000_000
 # Weight of unigrams against a history's counts, and what is added to each word's count.
 UNIGRAMS, ADDED = 50.0, 0.1
-UNKNOWN = 0
+# Kinds of counted keys: words with pairs of their own, words that share theirs, histories, pairs.
+OWN, SHARED, HISTORY, PAIR = range(4)
+# Keys are 64-bit hashes; these stand for the start of a text, words outside a given vocabulary, words that share pairs.
+START, UNKNOWN, REST = np.arange(3, dtype=np.uint64)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+CELLS = "block LONG, kind INT, key LONG, n LONG, t LONG"
+# Characters of the longest word of a vocabulary whose size is given.
+LONGEST = 64
 
 
 def words_of(text: str) -> list[str]:
@@ -58,85 +68,161 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Ids from 1 by falling count; 0 for all other words. Class of a word: its id less 1, or ``classes`` for the rest."""
-
-    ids: dict[str, int]
-    counts: np.ndarray
-    classes: int
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, number of words of each text)."""
-        get, split = self.ids.get, [words_of(text) for text in texts]
-        sizes = np.array([len(words) for words in split], np.int64)
-        flat = np.fromiter((get(w, UNKNOWN) for words in split for w in words), np.int64, int(sizes.sum()))
-        return flat, sizes
-
-    def cells(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """History and class of each word; the row of histories after the last class is the start of a text."""
-        kind = np.where((ids > 0) & (ids <= self.classes), ids - 1, self.classes)
-        history = np.concatenate([[0], kind[:-1]]) if len(kind) else kind
-        first = (np.cumsum(sizes) - sizes)[sizes > 0]
-        history[first] = self.classes + 1
-        return history * (self.classes + 1) + kind
-
-
-def learn_vocabulary(docs: DataFrame, size: int, classes: int) -> Vocabulary:
-    found = materialize(word_counts(docs), "words")
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = found.filter("word IS NOT NULL").orderBy(F.col("n").desc(), "word").limit(size).collect()
-    counts = np.array([0, *[r.n for r in rows]], np.int64)
-    counts[UNKNOWN] = total - counts.sum()
-    return Vocabulary({r.word: i for i, r in enumerate(rows, 1)}, counts, min(classes, len(rows)))
-
-
-def cell_counts(marked: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells of all texts, cells of the wanted ones, words of the wanted ones). A task sums before it sends, and no more
-    than the cells and the vocabulary reach the driver."""
-    cells, words = (vocabulary.classes + 2) * (vocabulary.classes + 1), len(vocabulary.counts)
+    """A vocabulary of a given size: whether each of its words has pairs of its own."""
+
+    words: dict[str, bool]
+
+    @property
+    def sharing(self) -> int:
+        """Words that share their pairs, with the unknown one."""
+        return 1 + sum(not own for own in self.words.values())
+
+
+def learn_vocabulary(docs: DataFrame, size: int | None, classes: int | None) -> Vocabulary | None:
+    """The ``size`` most frequent words, ``classes`` of them with pairs of their own; nothing if neither is given."""
+    if size is None and classes is None:
+        return None
+    found = word_counts(docs).filter("word IS NOT NULL").orderBy(F.col("n").desc(), "word")
+    rows = (found if size is None else found.limit(size)).collect()
+    return Vocabulary({r.word: classes is None or i < classes for i, r in enumerate(rows)})
+
+
+def blocks_of(marked: DataFrame) -> DataFrame:
+    """The rows with the number of their block; a block is a run of rows of one task."""
 
     def run(batches):
-        total = np.zeros(2 * cells + words, np.int64)
+        number, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in stretches(rows_of(batch, "text", "wanted"), 0):
-                wanted = np.array([w for _, w in part], bool)
-                ids, sizes = vocabulary.of([text for text, _ in part])
-                places, mine = vocabulary.cells(ids, sizes), np.repeat(wanted, sizes)
-                total[:cells] += np.bincount(places, minlength=cells)
-                total[cells:2 * cells] += np.bincount(places[mine], minlength=cells)
-                total[2 * cells:] += np.bincount(ids[mine], minlength=words)
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 100_000):
-            some = used[at:at + 100_000]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
-
-    rows = marked.mapInArrow(run, "cell LONG, n LONG").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = materialize(rows, "cells").toPandas()
-    total = np.zeros(2 * cells + words, np.int64)
-    total[rows["cell"]] = rows["n"]
-    return total[:cells], total[cells:2 * cells], total[2 * cells:]
+            for part in slices(batch, "text", SLICE):
+                if size >= BLOCK:
+                    number, size = number + 1, 0
+                size += pc.sum(pc.binary_length(part.column("text"))).as_py()
+                block = pa.array(np.full(part.num_rows, number, np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, block], names=[*part.schema.names, "block"])
+
+    return marked.mapInArrow(run, T.StructType([*marked.schema.fields, T.StructField("block", T.LongType())]))
+
+
+class Numbers(dict):
+    """Numbers from 0 for words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class Texts:
+    """The words of a block's texts, and the keys that they are counted under."""
+
+    def __init__(self, vocabulary: Vocabulary | None):
+        self.vocabulary, self.numbers = vocabulary, Numbers()
+        self.parts, self.counts, self.marks = [np.zeros(0, np.int32)], [], []
+
+    def add(self, text: str, wanted: bool) -> None:
+        words = words_of(text)
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.counts.append(len(words))
+        self.marks.append(wanted)
+
+    def keys(self, words_only: bool = False) -> dict[int, np.ndarray]:
+        """By kind, the keys that are counted: one for each word, except that words are either OWN or SHARED."""
+        flat = np.concatenate(self.parts)
+        self.parts = [flat]
+        self.sizes, wanted = np.array(self.counts, np.int64), np.array(self.marks, bool)
+        self.mine = np.repeat(wanted, self.sizes)
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, map(str.encode, self.numbers)), np.uint64, len(self.numbers))
+        row, self.own = word, np.ones(len(flat), bool)
+        if self.vocabulary is not None:
+            known = [self.vocabulary.words.get(w) for w in self.numbers]
+            row = np.where(np.array([k is True for k in known], bool), word, REST)
+            word = np.where(np.array([k is None for k in known], bool), UNKNOWN, word)
+            self.own = (row != REST)[flat]
+        keys = word[flat]
+        found = {OWN: keys[self.own], SHARED: keys[~self.own]}
+        if not words_only:
+            after = row[flat]
+            before = np.concatenate([[START], after[:-1]]) if len(after) else after
+            before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = START
+            pair = (before ^ (before >> np.uint64(29))) * _PRIME + after
+            found |= {HISTORY: before, PAIR: (pair ^ (pair >> np.uint64(32))) * _PRIME}
+        return found
+
+    def mine_of(self, kind: int) -> np.ndarray:
+        return self.mine[self.own] if kind == OWN else self.mine[~self.own] if kind == SHARED else self.mine
+
+
+def counted(keys: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, their number, their number in wanted texts)."""
+    distinct, n = np.unique(keys, return_counts=True)
+    some, m = np.unique(keys[mine], return_counts=True)
+    t = np.zeros(len(distinct), np.int64)
+    t[np.searchsorted(distinct, some)] = m
+    return distinct, n.astype(np.int64), t
+
+
+def cells(blocks: DataFrame, vocabulary: Vocabulary | None, words_only: bool = False) -> DataFrame:
+    """Counts of each block, in all and in wanted texts. A block that is read in two parts may give a key twice."""
+
+    def run(batches):
+        block, texts = None, Texts(vocabulary)
+        for batch in batches:
+            for key, text, wanted in rows_of(batch, "block", "text", "wanted"):
+                if key != block:
+                    yield from flushed(block, texts)
+                    block, texts = key, Texts(vocabulary)
+                texts.add(text, wanted)
+        yield from flushed(block, texts)
+
+    def flushed(block, texts):
+        for kind, keys in texts.keys(words_only).items():
+            distinct, n, t = counted(keys, texts.mine_of(kind))
+            for at in range(0, len(distinct), 100_000):
+                part = [column[at:at + 100_000] for column in (distinct.view(np.int64), n, t)]
+                size = len(part[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, block, np.int64)), pa.array(np.full(size, kind, np.int32)), *map(pa.array, part)],
+                    names=["block", "kind", "key", "n", "t"],
+                )
+
+    return blocks.select("block", "text", "wanted").mapInArrow(run, CELLS)
+
+
+def answers(counts: DataFrame) -> DataFrame:
+    """For each block the sums over all blocks, where they aren't what the block has counted itself."""
+    whole = Window.partitionBy("kind", "key")
+    summed = counts.withColumn("all_n", F.sum("n").over(whole)).withColumn("all_t", F.sum("t").over(whole))
+    changed = summed.filter("all_n <> n OR all_t <> t")
+    return changed.select("block", "kind", "key", F.col("all_n").alias("n"), F.col("all_t").alias("t"))
 
 
 @dataclass
 class Model:
-    """Losses by cell, and what a word of the shared class adds by its id."""
+    """Sums over all words of all texts: their number with what is added to each, and the share of the sharing ones."""
 
-    cell: np.ndarray
-    word: np.ndarray
+    total: float
+    shared: float
 
-    @classmethod
-    def of(cls, cells: np.ndarray, counts: np.ndarray, classes: int) -> Model:
-        one = (counts + ADDED) / (counts + ADDED).sum()
-        shared = np.r_[0, np.arange(classes + 1, len(counts))]
-        kinds = np.r_[one[1:classes + 1], one[shared].sum()]
-        table = cells.reshape(classes + 2, classes + 1).astype(float)
-        chance = (table + UNIGRAMS * kinds) / (table.sum(axis=1, keepdims=True) + UNIGRAMS)
-        word = np.zeros(len(counts))
-        word[shared] = -np.log(one[shared] / kinds[-1])
-        return cls((-np.log(chance)).ravel().astype(np.float32), word.astype(np.float32))
+    def losses(self, word: np.ndarray, own: np.ndarray, history: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        one = (word + ADDED) / self.total
+        kind = np.where(own, one, self.shared)
+        return -np.log((pair + UNIGRAMS * kind) / (history + UNIGRAMS)) - np.log(one / kind)
+
+
+def learn_models(blocks: DataFrame, vocabulary: Vocabulary | None) -> list[Model]:
+    """The models of wanted and of all texts."""
+    words = cells(blocks, vocabulary, words_only=True).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    sums = {r.kind: r for r in words.groupBy("kind").agg(F.count("key").alias("words"), F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
+    sharing = 1 if vocabulary is None else vocabulary.sharing
+    models = []
+    for name in ("t", "n"):
+        own, shared = (sums[kind][name] if kind in sums else 0 for kind in (OWN, SHARED))
+        total = own + shared + ADDED * (sharing + (sums[OWN]["words"] if OWN in sums else 0))
+        models.append(Model(total, (shared + ADDED * sharing) / total))
+    return models
 
 
 def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-                             vocabulary: int = VOCABULARY, classes: int = CLASSES) -> DataFrame:
+                             vocabulary: int | None = None, classes: int | None = None) -> DataFrame:
     """Per row: its id, n_words, target_loss and background_loss (nats a word), score (their difference; lower: more like
     the wanted documents, whose ids are the first column of ``wanted``).
 
@@ -144,33 +230,51 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, *, id_column: s
     Null ids aren't wanted; repeated rows and ids count and stay. An empty table gives no rows; without wanted documents
     the target model is the even one. Other columns are ignored.
 
-    The whole corpus is counted twice, for the vocabulary and for the cells, and scored once. Texts are shuffled once, to
-    mark the wanted ones; counts are summed in the tasks. What is sent to tasks is bounded by the parameters.
+    All words and pairs have counts of their own. A caller may ask for a smaller model: only the ``vocabulary`` most
+    frequent words, or pairs for the ``classes`` most frequent ones only. Such words have to fit into memory and into
+    LONGEST characters; all others count as one.
+
+    Texts are shuffled to mark the wanted ones, written in blocks, and shuffled by block to meet their counts. Keys are
+    64-bit hashes: among a billion distinct pairs, some two share a count with a chance of 3 %.
     """
     text = F.coalesce(F.col(text_column), F.lit("")).alias("text")
-    plain = docs.select(F.col(id_column), F.col(id_column).cast("long").alias("__id"), text)
-    words = learn_vocabulary(plain.select("text"), vocabulary, classes)
+    plain = docs.select(F.col(id_column).alias("id"), F.col(id_column).cast("long").alias("__id"), text)
+    known = learn_vocabulary(plain.select("text"), vocabulary, classes)
     ids = wanted.select(F.col(wanted.columns[0]).cast("long").alias("__id")).filter("__id IS NOT NULL").distinct()
     # Merged at every size, so that the plan that is tried on little data is the one that runs on much.
-    marked = plain.select("__id", "text").join(ids.withColumn("wanted", F.lit(True)).hint("merge"), "__id", "left")
-    cells, wanted_cells, wanted_words = cell_counts(marked.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted")), words)
-    models = [Model.of(c, n, words.classes) for c, n in ((wanted_cells, wanted_words), (cells, words.counts))]
-
-    def start():
-        def make(texts):
-            ids, sizes = words.of(texts)
-            places, full = words.cells(ids, sizes), sizes > 0
-            first = (np.cumsum(sizes) - sizes)[full]
-            losses = []
-            for model in models:
-                loss = np.zeros(len(texts))
-                if len(ids):
-                    loss[full] = np.add.reduceat((model.cell[places] + model.word[ids]).astype(float), first) / sizes[full]
-                losses.append(pa.array(loss))
-            return [pa.array(sizes), *losses]
-
-        return make
+    marked = plain.join(ids.withColumn("wanted", F.lit(True)).hint("merge"), "__id", "left")
+    blocks = materialize(blocks_of(marked.select("id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))), "blocks")
+    target, background = learn_models(blocks, known)
+
+    def score(rows: pa.Table, sums: pa.Table) -> pa.Table:
+        texts = Texts(known)
+        for batch in rows.to_batches():
+            for text, wanted in rows_of(batch, "text", "wanted"):
+                texts.add(text, wanted)
+        kinds, keys, *totals = (sums.column(name).to_numpy() for name in ("kind", "key", "n", "t"))
+        keys, found = keys.view(np.uint64), {}
+        for kind, own in texts.keys().items():
+            distinct, *counts = counted(own, texts.mine_of(kind))
+            some = kinds == kind
+            places = np.searchsorted(distinct, keys[some])
+            for mine, total in zip(counts, totals):
+                mine[places] = total[some]
+            places = np.searchsorted(distinct, own)
+            found[kind] = [column[places] for column in counts]
+        full = texts.sizes > 0
+        first, losses = (np.cumsum(texts.sizes) - texts.sizes)[full], []
+        for side, model in ((1, target), (0, background)):
+            word = np.zeros(len(texts.own), np.int64)
+            word[texts.own], word[~texts.own] = found[OWN][side], found[SHARED][side]
+            loss = np.zeros(len(full))
+            if len(word):
+                each = model.losses(word, texts.own, found[HISTORY][side], found[PAIR][side])
+                loss[full] = np.add.reduceat(each, first) / texts.sizes[full]
+            losses.append(loss)
+        columns = [rows.column("id"), pa.array(texts.sizes), *map(pa.array, losses)]
+        return pa.Table.from_arrays(columns, names=["id", "n_words", "target_loss", "background_loss"])
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType())]
-    scored = computed(plain.drop("__id"), "text", fields, start)
-    return scored.select(id_column, "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    together = blocks.groupBy("block").cogroup(answers(cells(blocks, known)).groupBy("block"))
+    scored = together.applyInArrow(score, T.StructType([blocks.schema["id"], *fields]))
+    return scored.select(F.col("id").alias(id_column), "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
