@@ -94,3 +94,20 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(module, "TEXTS", texts)
         monkeypatch.setattr(module, "BLOCK", block)
         assert sorted(tuple(r) for r in near_duplicates(docs, width=2).collect()) == brute(rows, 2, 80)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    chance = random.Random(9)
+    word = lambda: "".join(chance.choices("abcdefgh", k=5))
+    one, other = [word() for _ in range(80)], [word() for _ in range(80)]
+    near = lambda words: " ".join([*words[:-1], word()])
+    rows = [(3, " ".join(one)), (7, near(one)), (7, " ".join(other)), (9, near(other)), (11, "some words"), (11, "Other  words"), (12, "other words"), (7, " ".join(other).upper())]
+    docs = spark.createDataFrame([(k, t, i, "x") for i, (k, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 7, False), (11, 11, True), (11, 11, True), (12, 11, False)]
+    # Of near copies with one id, one is kept.
+    twins = spark.createDataFrame([(5, " ".join(one), 1, "x"), (5, near(one), 1, "x"), (6, near(one), 1, "x"), (None, " ".join(one), 1, "x"), (None, near(one), 1, "x")], SCHEMA)
+    got = near_duplicates(twins).collect()
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None)
+    assert got == [(5, 5, False), (5, 5, True), (6, 5, False)]

@@ -63,3 +63,11 @@ def test_odd_rows_pass(spark):
         assert step(spark, docs, number).columns == docs.columns
     for number in range(5):
         assert step(spark, docs.limit(0), number).count() == 0
+
+
+def test_a_clean_text_survives_a_near_copy_with_its_id(spark):
+    one, other = [f"one{i}" for i in range(80)], [f"other{i}" for i in range(80)]
+    rows = [(3, " ".join(one), 1), (7, " ".join([*one[:-1], "x"]), 2), (7, " ".join(other), 3), (9, " ".join([*other[:-1], "x"]), 4)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, score INT")
+    kept = {r.score for r in step(spark, docs, 2).collect()}
+    assert {1, 3} <= kept and 4 not in kept

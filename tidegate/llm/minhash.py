@@ -133,6 +133,20 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCH)
 
 
+def worded(docs: DataFrame) -> DataFrame:
+    """id, digest and words of the texts that have any, with a space between words: equal digests have equal texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in stretches(rows_of(batch, "id", "text"), 1):
+                full = [(key, b" ".join(words)) for key, text in part if (words := words_of(text))]
+                columns = [[key for key, _ in full], [hashlib.sha256(text).digest() for _, text in full], [text.decode() for _, text in full]]
+                kinds = [pa.int64(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "digest", "text"])
+
+    return docs.mapInArrow(run, "id LONG, digest BINARY, text STRING")
+
+
 def least_matches(percent: int, minima_count: int = MINIMA, bits: int = BITS, lost: float = LOST) -> int:
     """The number of equal b-bit minima below which a pair at the threshold falls with a chance of at most ``lost``."""
     p, chance = percent / 100, 0.5 ** bits
@@ -189,14 +203,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
                     percent: int = PERCENT) -> DataFrame:
-    """Per row: its id, n_shingles, component_id (smallest id reachable by links), kept (the id is its component's).
+    """Per row: its id, n_shingles, component_id (smallest id reachable by links), kept (the id is its component's, and of
+    the texts with that id in the component it has the one with the smallest digest).
 
     Two documents are linked if 100 * common >= percent * all shingles of ``width`` words; those with fewer words have
     their whole sequence as one shingle. Texts that are null or without words have no shingles and no links. Rows with a
     null id stay, with a null component_id and kept true, unlinked. Repeated rows stay. Rows that share an id but not the
     text are judged by their texts. An empty table gives no rows; other columns are ignored.
 
-    Equal word sequences become one class first. Then, in rounds, each class tries the partners in its buckets that look
+    Equal word sequences become one class first, with a number that stands for it from then on. Then, in rounds, each class tries the partners in its buckets that look
     most similar and are in another component yet; large buckets are dealt over tasks, anew in each round. What then
     still shares a bucket and not a component is compared in full: pair by pair in small buckets, else in blocks of
     documents, so pairs of a large group never become rows. No candidate between components is left out.
@@ -204,15 +219,18 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sketched = materialize(sketches(plain, width), "sketches")
     linked = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
-    classes = linked.groupBy("digest").agg(F.min("id").alias("class"))
-    own = linked.join(classes, "digest").filter("id = class").dropDuplicates(["digest"])
+    classes = linked.groupBy("digest").agg(F.min("id").alias("class")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    own = linked.join(classes, "digest").filter("id = class").dropDuplicates(["digest"]).drop("id").withColumnRenamed("node", "id")
     member = own.select("id", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("id").alias("size")).filter("size > 1")
     buckets = materialize(member.join(size, "key").select("key", "id", "size"), "buckets")
-    nodes = linked.select("id", "n", *SIGNATURE).join(buckets.select("id").distinct(), "id").distinct()
+    nodes = own.select("id", "class", "digest", "n", *SIGNATURE).join(buckets.select("id").distinct(), "id")
     nodes = materialize(nodes, "nodes")
     # Merged at every size, so that the plan that is tried on little data is the one that runs on much.
-    texts = materialize(plain.join(nodes.select("id").distinct().hint("merge"), "id").distinct(), "texts")
+    first = nodes.select(F.col("class").alias("id"), "digest", F.col("id").alias("node")).hint("merge")
+    texts = worded(plain.filter("id IS NOT NULL")).join(first, ["id", "digest"]).select(F.col("node").alias("id"), "text").distinct()
+    texts, nodes = materialize(texts, "texts"), nodes.drop("class", "digest")
 
     links, tried, found = None, None, None
     for turn in range(ROUNDS):
@@ -231,15 +249,18 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
             more = rest_links(apart, found, nodes, texts, tried, width, percent)
             found = components(links.unionByName(more))
 
-    classed = sketched.select("id", "digest", "n").join(classes, "digest", "left")
-    if found is None:
-        joined = classed.withColumn("component", F.col("class"))
-    else:
-        joined = classed.join(found.select(F.col("id").alias("class"), "component"), "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
+    labels = classes
+    if found is not None:
+        labels = classes.join(found.withColumnRenamed("id", "node"), "node", "left")
+    labels = labels.withColumn("component", F.coalesce("component", "node") if found is not None else F.col("node"))
+    heads = labels.groupBy("component").agg(F.min(F.struct("class", "digest")).alias("head"))
+    labels = labels.join(heads, "component").select("digest", "head")
+    joined = sketched.select("id", "digest", "n").join(labels, "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("head.class", "id"))
+    kept = (F.col("id") == F.col("head.class")) & (F.col("digest") == F.col("head.digest"))
     return joined.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.when(F.col("id").isNotNull(), kept), F.lit(True)).alias("kept"),
     )
 
 
