@@ -111,3 +111,15 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
     got = sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None)
     assert got == [(5, 5, False), (5, 5, True), (6, 5, False)]
+
+
+@pytest.mark.parametrize("few", [1, 64])
+def test_pairs_are_found_though_nothing_was_proposed(spark, monkeypatch, few):
+    import tidegate.llm.minhash as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "proposals", lambda *_: spark.createDataFrame([], "id LONG, partner LONG"))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "other words")]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], SCHEMA)
+    assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == brute(rows, 5, 80)

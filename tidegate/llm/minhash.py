@@ -243,11 +243,14 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         more = confirmed(pairs, texts, width, percent)
         links = materialize(more if links is None else links.unionByName(more), "links")
         found = components(links)
-    if found is not None:
-        apart = materialize(with_component(mixed(buckets, found), found), "apart")
-        if not apart.isEmpty():
-            more = rest_links(apart, found, nodes, texts, tried, width, percent)
-            found = components(links.unionByName(more))
+    apart = materialize(with_component(mixed(buckets, found), found), "apart")
+    if not apart.isEmpty():
+        # Without any proposal, every class is a component and nothing was tried.
+        empty = lambda schema: docs.sparkSession.createDataFrame([], schema)
+        before = empty("id LONG, component LONG") if found is None else found
+        done = empty("id LONG, partner LONG") if tried is None else tried
+        more = rest_links(apart, before, nodes, texts, done, width, percent)
+        found = components(more if links is None else links.unionByName(more))
 
     labels = classes
     if found is not None:
