@@ -112,3 +112,40 @@ def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     wanted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
     return cross_entropy_difference(table(spark, sf_dir, "documents"), wanted)
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import MEASURES, quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
+def _quality_rules_sql() -> str:
+    from .quality_rules import BASE, BULLETS, CUTS, MEASURES, RULES, STOP_WORDS
+
+    def either(function: str, line: str, marks: tuple[str, ...]) -> str:
+        return " OR ".join(f"{function}({line}, '{mark}')" for mark in marks)
+
+    stops = ", ".join(f"'{word}'" for word in STOP_WORDS)
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    base, all_rules = (" AND ".join(rule.holds() for rule in rules) for rules in (BASE, [*BASE, *RULES]))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+      list_filter(string_split(text, chr(10)), lambda v: trim(v, {space}) <> '') AS l FROM d),
+p AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+c AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) FROM k WHERE n > 1) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  CAST(len(list_filter(w, lambda v: lower(v) IN ({stops}))) AS BIGINT) AS n_stop_words,
+  CAST(len(list_filter(w, lambda v: regexp_matches(v, '\\p{{L}}'))) AS BIGINT) AS n_letter_words,
+  CAST(len(list_filter(l, lambda v: {either('starts_with', f'ltrim(v, {space})', BULLETS)})) AS BIGINT) AS n_bullet_lines,
+  CAST(len(list_filter(l, lambda v: {either('ends_with', f'rtrim(v, {space})', CUTS)})) AS BIGINT) AS n_cut_lines
+  FROM t LEFT JOIN c USING (r))
+SELECT doc_id, {', '.join(MEASURES)}, NOT ({base}) AS base_failed, {all_rules} AS kept FROM m"""
+
+
+SQL["op12_quality_rules"] = _quality_rules_sql()
