@@ -149,3 +149,61 @@ SELECT doc_id, {', '.join(MEASURES)}, NOT ({base}) AS base_failed, {all_rules} A
 
 
 SQL["op12_quality_rules"] = _quality_rules_sql()
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, every_conversation, repair_conversations, repair_digests
+
+    conversations = table(spark, sf_dir, "conversations")
+    return every_conversation(conversations, repair_digests(repair_conversations(damaged(conversations))))
+
+
+# crc32 bit by bit; the grammar as a machine whose states hold their cheapest audit (each row's edits after up to two
+# insertions), one row of each conversation per round.
+SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(key)),
+    lambda j: CASE WHEN j % 8 = 0 THEN ascii(substr(key, (j // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT)),
+    lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END::BIGINT)), 4294967295::BIGINT) % 20 AS share FROM k),
+f AS (SELECT conv_id, turn, CASE share WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE share WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE share WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE share <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM f),
+g AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS c,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+ins(q, r, letters) AS (VALUES ('', '', ''), ('', 'u', 'I'), ('', 'a', 'II'), ('s', 's', ''), ('s', 'u', 'I'), ('s', 'a', 'II'),
+  ('u', 'u', ''), ('u', 'a', 'I'), ('a', 'a', ''), ('a', 'u', 'I')),
+step(q, r) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+walk(conv_id, i, q, best) AS (
+  SELECT conv_id, 0::BIGINT, '', {'cost': 0::BIGINT, 'audit': ''} FROM stats
+  UNION ALL
+  SELECT conv_id, i, q, min(best) FROM (
+    SELECT w.conv_id, g.i, ins.r AS q, {'cost': w.best.cost + 3 * length(ins.letters) + 4, 'audit': w.best.audit || ins.letters || 'D'} AS best
+    FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1 JOIN ins ON ins.q = w.q
+    UNION ALL
+    SELECT w.conv_id, g.i, step.r, {'cost': w.best.cost + 3 * length(ins.letters) + CASE WHEN g.c = step.r THEN 0 ELSE 3 END
+        + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'audit': w.best.audit || ins.letters || CASE WHEN g.c = step.r THEN 'K' ELSE 'R' END}
+    FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1 JOIN ins ON ins.q = w.q JOIN step ON step.q = ins.r
+    WHERE fault IN ('', 'truncated') AND (g.c = step.r OR step.r <> 's'))
+  GROUP BY conv_id, i, q),
+ends AS (SELECT w.conv_id, min({'cost': w.best.cost + 3 * length(ins.letters), 'audit': w.best.audit || ins.letters}) AS best
+  FROM walk w JOIN stats s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = s.n JOIN ins ON ins.q = w.q AND ins.r IN ('', 'a') GROUP BY w.conv_id),
+letters AS (SELECT conv_id, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS pos FROM ends),
+edits AS (SELECT conv_id, pos, audit[pos] AS e, count(*) FILTER (audit[pos] <> 'I') OVER w AS i, count(*) FILTER (audit[pos] <> 'D') OVER w AS place
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+kept AS (SELECT e.*, g.role, g.text, g.c, max(CASE WHEN place = 1 AND e = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS kind
+  FROM edits e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i),
+made AS (SELECT conv_id, string_agg(CASE e WHEN 'K' THEN role WHEN 'D' THEN NULL ELSE CASE WHEN (place - kind) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+    || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS body FROM kept WHERE e <> 'D' GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(ends.best.cost, 0) AS cost, coalesce(ends.best.audit, '') AS audit,
+  sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN made ON made.conv_id IS NOT DISTINCT FROM a.conv_id"""
