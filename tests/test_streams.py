@@ -148,6 +148,12 @@ def test_landing(spark, tmp_path, write, files_per_batch):
     write("landing/a.csv", "id,name\n1,a\n2,b\n")
     write("landing/b.csv", b"id,name\n3,caf\xe9\n")
     write("landing/c.csv", "id,name\nx,y\n")
+    write("landing/wide + %20.csv", "id,name,more\n5,e,f\n")
+    write("landing/other.csv", "id,title\n6,g\n")
+    write("landing/ragged.csv", "id,name\n7,h\n8\n")
+    write("landing/MALFORMED_RECORD ok.csv", "ID,Name\n9,i\n")
+    write("landing/empty.csv", "")
+    write("landing/quote.csv", 'id,name\n10,"j"k\n')
     base = str(tmp_path / "work")
 
     def ingest():
@@ -161,7 +167,10 @@ def test_landing(spark, tmp_path, write, files_per_batch):
     ingest()
     ingest()
     rows = tables.appended(spark, base + "/out").orderBy("id").collect()
-    assert [(row["id"], row["name"]) for row in rows] == [(1, "a"), (2, "b"), (4, "d\nd")]
+    assert [(row["id"], row["name"]) for row in rows] == [(1, "a"), (2, "b"), (4, "d\nd"), (9, "i")]
     bad = {os.path.basename(row["path"]): row["problem"] for row in spark.read.json(base + "/bad").collect()}
-    assert set(bad) == {"b.csv", "c.csv"}
+    assert set(bad) == {"b.csv", "c.csv", "wide + %20.csv", "other.csv", "ragged.csv", "quote.csv"}
+    assert bad["wide + %20.csv"] == "the header has 3 column(s), the schema has 2"
+    listed = spark.read.json(base + "/bad-manifest").collect()
+    assert len(listed) == 9 and sum(row["problem"] is not None for row in listed) == 6
     assert bad["b.csv"].startswith("input is not valid UTF-8") and "x" not in json.dumps(bad["c.csv"])

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from tidegate.results import GateError, GateResult, failed, succeeded, utc_now
 from tidegate.sources.options import charset as canonical_charset
-from tidegate.sources.paths import file_system, hadoop_path
+from tidegate.sources.paths import file_system, hadoop_path, plain_path
 from tidegate.sources.readers import file_inventory, raw_lines
 
 UTF8_MARK = b"\xef\xbb\xbf"
 # Bytes read at once, and files per task when they are dealt out.
 PIECE = 8 * 1024 * 1024
 FILES_PER_TASK = 4
+# Bytes of a file's head read at once.
+HEAD = 64 * 1024
 # Schemes whose files executors read in pieces; of other stores Spark gives a file as one value, up to 2 GiB.
 STREAMED = ["file", "hdfs", "gs", "s3", "abfs", "abfss"]
 
@@ -81,6 +83,66 @@ def require_decodable(
         )
 
 
+def undecodable_files(spark: SparkSession, paths: list[str], charset: str) -> dict[str, str]:
+    """The problem of each of the given files that has lines not valid in its charset, or a foreign byte order mark."""
+    named = {plain_path(path): path for path in paths}
+    with _charset_conf(spark):
+        bad = raw_lines(spark, paths).filter(undecodable(F.col("bytes"), charset)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+        found = {named[plain_path(row["file"])]: f"{row['lines']} line(s) cannot be decoded" for row in bad.collect()}
+    if charset != "UTF-8":
+        marked = file_heads(spark, paths).filter(F.col("head") == F.lit(UTF8_MARK))
+        found |= {named[plain_path(row["path"])]: "the file starts with the UTF-8 byte order mark" for row in marked.collect()}
+    return {path: f"input is not valid {charset}: {problem}" for path, problem in found.items()}
+
+
+def _first_record(stream, charset: str, delimiter: str, escape: str) -> list[str] | None:
+    """The cells of the first line of a CSV stream that isn't empty; None when there is none, or when it never ends."""
+    import codecs
+    import csv
+    import io
+
+    kind = "utf-8-sig" if charset == "UTF-8" else charset
+    decoder, text = codecs.getincrementaldecoder(kind)("replace"), ""
+    form = {"delimiter": delimiter, "strict": True, **({} if escape == '"' else {"escapechar": escape, "doublequote": False})}
+    while True:
+        piece = stream.read(HEAD)
+        text += decoder.decode(piece, final=not piece)
+        lines = list(io.StringIO(text, newline=""))
+        try:
+            for cells in csv.reader(lines if not piece else lines[:-1], **form):
+                if cells:
+                    return cells
+        except csv.Error:
+            if not piece:
+                return None
+        if not piece:
+            return None
+
+
+def header_problems(spark: SparkSession, path: str | list[str], names: list[str], options: dict[str, str]) -> DataFrame:
+    """(path, problem) of each CSV file whose header isn't ``names``; a file without a line has no header to judge."""
+    exact = spark.conf.get("spark.sql.caseSensitive", "false") == "true"
+    want = names if exact else [name.lower() for name in names]
+    charset, delimiter, escape = options["encoding"], options["delimiter"], options["escape"]
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = []
+            for path in batch["path"]:
+                with open_bytes(path, "detect") as stream:
+                    cells = _first_record(stream, charset, delimiter, escape)
+                if cells is None:
+                    continue
+                if len(cells) != len(want):
+                    bad.append((path, f"the header has {len(cells)} column(s), the schema has {len(want)}"))
+                elif (cells if exact else [cell.lower() for cell in cells]) != want:
+                    bad.append((path, "the header doesn't name the columns of the schema"))
+            yield pd.DataFrame(bad, columns=["path", "problem"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return _dealt(files).mapInPandas(judge, "path string, problem string")
+
+
 def _dealt(files: DataFrame) -> DataFrame:
     """Files over tasks, a few each: a given number of partitions isn't merged again by adaptive execution."""
     tasks = max(1, -(-files.count() // FILES_PER_TASK))

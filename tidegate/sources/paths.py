@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +67,8 @@ def require_inside(spark: SparkSession, root: str, label: str, value: str) -> No
     base, target = _location(spark, root), _location(spark, value)
     if not _within(target, base) or target[1] == base[1]:
         raise GateError(f"{label} must be inside the configured data root")
+
+
+def plain_path(path: str) -> str:
+    """A file's path in the form of listings: not escaped, one slash after the scheme."""
+    return re.sub(r"^([A-Za-z0-9]+):/+", r"\1:/", unquote(path))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidegate.operators.changes import snapshot_diff
 from tidegate.operators.counters import counter_increase, rolling_sum
@@ -19,10 +20,8 @@ from tidegate.operators.runs import SAMPLES, latest_of
 from tidegate.results import JOB_ERRORS, GateError
 from tidegate.scale import keyed_join, newest_per
 from tidegate.sources.options import csv_options
-from tidegate.sources.checks import require_decodable
-from tidegate.sources.paths import delete, exists, file_system, hadoop_path
-from tidegate.sources.publish import complete_count
-from tidegate.sources.readers import read_dataset, require_data_files
+from tidegate.sources.checks import header_problems, undecodable_files
+from tidegate.sources.paths import delete, exists, file_system, hadoop_path, plain_path
 
 
 class StateTable:
@@ -141,13 +140,34 @@ def alert_changes(
     return _start(stream, work, checkpoint, trigger)
 
 
-# Classes of Spark's errors about malformed records and undecodable text.
-DATA_ERRORS = ("MALFORMED_RECORD", "MALFORMED_CSV_RECORD", "MALFORMED_CHARACTER_CODING", "CSV_HEADER", "CANNOT_PARSE", "TextParsingException")
+# Conditions and exception classes of Spark and its CSV parser for records, headers and bytes that break the
+# format. Running again can't help against these.
+DATA_CONDITIONS = {
+    "MALFORMED_RECORD_IN_PARSING", "MALFORMED_CSV_RECORD", "MALFORMED_CHARACTER_CODING", "CANNOT_PARSE_DECIMAL", "INVALID_UTF8_STRING",
+}
+DATA_CLASSES = {"BadRecordException", "TextParsingException", "MalformedInputException", "CharConversionException"}
 
 
-def of_data(error: Exception) -> bool:
+def causes(error: BaseException | None):
+    """(class name, condition) of a Java error and of all that caused it; the condition is None where there is none."""
+    java = getattr(error, "_origin", None) or getattr(error, "java_exception", None)
+    seen = 0
+    while java is not None and seen < 50:
+        condition = None
+        if java.getClass().getName().startswith("org.apache.spark"):
+            try:
+                condition = java.getCondition()
+            except Exception:  # not one of Spark's classes that have conditions
+                condition = None
+        yield java.getClass().getSimpleName(), condition
+        java, seen = java.getCause(), seen + 1
+
+
+def of_data(error: BaseException) -> bool:
     """Whether an error comes from the bytes of a file, so that running again can't help."""
-    return isinstance(error, GateError) or any(name in str(error) for name in DATA_ERRORS)
+    if isinstance(error, GateError):
+        return True
+    return any(name in DATA_CLASSES or (condition or "").split(".")[0] in DATA_CONDITIONS for name, condition in causes(error))
 
 
 def ingest_landing(
@@ -156,47 +176,77 @@ def ingest_landing(
 ) -> StreamingQuery:
     """New CSV files become Parquet, each once; a file that breaks the contract is listed in ``quarantine`` instead.
 
-    The files of a batch are checked and converted together. Only when the data is at fault is the batch halved, again and
-    again, until the bad files stand alone; any other error fails the batch, which then runs again.
+    A batch has one folder and a manifest: its files, each with its problem or none. First heads and bytes are judged by
+    file, then the files that are left are parsed and written in one pass that keeps malformed records apart. Only if there
+    were any, the files without one are written again. A batch that runs again replaces its folder and its manifest; a
+    reader can hold the rows against the manifest.
     """
     files = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("maxFilesPerTrigger", files_per_batch).load(landing).select("path")
     )
     options = csv_options(spark, encoding=encoding, **csv)
-
-    def parsed(paths: list[str]) -> DataFrame:
-        return require_data_files(read_dataset(spark, "csv", paths, options, schema))
-
-    def broken(paths: list[str]) -> list[tuple[str, str]]:
+    wanted = spark.createDataFrame([], schema).schema
+    taken = {field.name.lower() for field in wanted}
+    corrupt = next(name for number in range(len(taken) + 1) if (name := f"malformed{number}") not in taken)
+    strict = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "enforceSchema": "true"}
+
+    def unfit(paths: list[str]) -> dict[str, str]:
+        """Files whose head or bytes break the contract."""
+        bad = {}
+        if options["header"] == "true":
+            heads = header_problems(spark, paths, [field.name for field in wanted], options)
+            bad = {row["path"]: row["problem"] for row in heads.collect()}
+        return bad | undecodable_files(spark, paths, options["encoding"])
+
+    def write(paths: list[str], target: str) -> list[str]:
+        """Writes the records that are whole and answers the files that have others."""
+        rows = spark.read.format("csv").options(**strict).schema(StructType([*wanted.fields, StructField(corrupt, StringType())])).load(paths)
+        broken = F.when(F.col(corrupt).isNotNull(), F.col("_metadata.file_path"))
+        seen = Observation()
+        observed = rows.select("*", broken.alias("__broken")).observe(seen, F.collect_set("__broken").alias("files"))
+        observed.filter("__broken IS NULL").select([f"`{field.name}`" for field in wanted]).write.mode("overwrite").parquet(target)
+        return list(seen.get["files"] or [])
+
+    def ingest(paths: list[str], target: str) -> dict[str, str]:
+        """Writes the sound files of a batch; answers the others with their problems."""
+        bad = unfit(paths)
+        fine = [path for path in paths if path not in bad]
+        if not fine:
+            return bad
+        by_file = {plain_path(path): path for path in fine}
+        found = {by_file[plain_path(path)]: "malformed records" for path in write(fine, target)}
+        rest = [path for path in fine if path not in found]
+        if found and rest:
+            write(rest, target)
+        elif found:
+            delete(spark, target)
+        return bad | found
+
+    def alone(paths: list[str], target: str) -> dict[str, str]:
+        """As ``ingest``; when the parser itself breaks on a file, the files are tried in halves until it stands alone."""
         try:
-            require_decodable(spark, paths, options["encoding"])
-            complete_count(parsed(paths))
-            return []
+            return ingest(paths, target)
         except JOB_ERRORS as error:
             if not of_data(error):
                 raise
             if len(paths) == 1:
-                return [(paths[0], str(error) if isinstance(error, GateError) else "malformed records")]
+                return {paths[0]: "malformed records"}
         half = len(paths) // 2
-        return broken(paths[:half]) + broken(paths[half:])
+        trial = f"{target}-trial"
+        bad = alone(paths[:half], trial) | alone(paths[half:], trial)
+        delete(spark, trial)
+        rest = [path for path in paths if path not in bad]
+        return bad | (ingest(rest, target) if rest else {})
 
     def work(batch_df: DataFrame, batch: int) -> None:
         # At most files_per_batch names.
         paths = [row["path"] for row in batch_df.collect()]
-        target = f"{output}/batch={batch}"
-        try:
-            require_decodable(spark, paths, options["encoding"])
-            parsed(paths).write.mode("overwrite").parquet(target)
-            return
-        except JOB_ERRORS as error:
-            if not of_data(error):
-                raise
-            bad = broken(paths)
-        spark.createDataFrame(bad, "path string, problem string").write.mode("overwrite").json(f"{quarantine}/batch={batch}")
-        fine = [path for path in paths if path not in {name for name, _ in bad}]
-        if fine:
-            parsed(fine).write.mode("overwrite").parquet(target)
+        bad = alone(paths, f"{output}/batch={batch}")
+        listed = [(path, bad.get(path)) for path in paths]
+        spark.createDataFrame(listed, "path string, problem string").write.mode("overwrite").json(f"{quarantine}-manifest/batch={batch}")
+        if bad:
+            spark.createDataFrame(list(bad.items()), "path string, problem string").write.mode("overwrite").json(f"{quarantine}/batch={batch}")
 
     return _start(files, work, checkpoint, trigger)
 
