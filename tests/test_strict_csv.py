@@ -1,13 +1,17 @@
 import csv
 import hashlib
+import os
 import random
 
 import pytest
 
+from tidegate.functions.sql import register_strict_csv
 from tidegate.operators.quality import profile, quality_csv
 from tidegate.results import GateError
+from tidegate.sources.checks import first_bad_bytes
 from tidegate.sources.publish import csv_text, write_csv_rfc4180
-from tidegate.sources.strict_csv import pieces, read_csv_rfc4180
+from tidegate.sources.splits import split_lines
+from tidegate.sources.strict_csv import pieces, pieces_of, read_csv_rfc4180, split_states
 
 
 def parsed(spark, path, **options):
@@ -16,39 +20,6 @@ def parsed(spark, path, **options):
     return [list(row["fields"]) for row in rows]
 
 
-def reference_parse(text, delimiter=","):
-    """A plain character machine, independent of the column expressions, for small fixtures."""
-    text = text[1:] if text.startswith("﻿") else text
-    rows, row, field, i = [], [], "", 0
-    quoted = False
-    started = False
-    while i < len(text):
-        c = text[i]
-        started = True
-        if c == '"' and field == "" and not quoted:
-            quoted = True
-            i += 1
-            while not (text[i] == '"' and text[i + 1 : i + 2] != '"'):
-                if text[i] == '"':
-                    i += 1
-                field += text[i]
-                i += 1
-        elif c == delimiter:
-            row.append(field)
-            field, quoted = "", False
-        elif c in "\r\n":
-            if text[i : i + 2] == "\r\n":
-                i += 1
-            rows.append(row + [field])
-            row, field, quoted, started = [], "", False, False
-        else:
-            field += c
-        i += 1
-    if started:
-        rows.append(row + [field])
-    return rows
-
-
 RECORDS = [
     ("a,b\n1,2\n", [["a", "b"], ["1", "2"]]),
     ("﻿id,note\r\n1,\"line one\nline two\"\r\n2,\"say \"\"hi\"\", then go\"\r\n",
@@ -69,7 +40,6 @@ RECORDS = [
 
 def test_records(spark, write):
     for number, (content, expected) in enumerate(RECORDS):
-        assert reference_parse(content) == expected
         folder = write(f"all/{number:02d}.csv", content)
     rows = read_csv_rfc4180(spark, folder.rsplit("/", 1)[0]).orderBy("file", "record_no").collect()
     for number, (_, expected) in enumerate(RECORDS):
@@ -112,8 +82,8 @@ def test_generated_files_over_many_splits(spark, write, tmp_path):
     path = tmp_path / "gen.csv"
     with open(path, "w", newline="", encoding="utf-8") as out:
         csv.writer(out, lineterminator="\n").writerows(rows)
-    text = path.read_bytes().decode("utf-8")
-    assert reference_parse(text) == rows
+    with open(path, newline="", encoding="utf-8") as given:
+        assert list(csv.reader(given)) == rows
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:
@@ -167,6 +137,64 @@ def test_ragged(spark, write, content, header, message):
             gate(spark, write("r.csv", content), header=header)
 
 
+def test_states_of_splits(spark, write):
+    """Quotes, records and errors chain over splits that start inside and outside of quotes; both joins give the same."""
+    content = "".join(f'{i},"line {i}\n{"x" * (i % 97)}""\r{i}"\r' + ("\n" if i % 2 else "") for i in range(3000))
+    path = write("s/a.csv", content)
+    write("s/b.csv", content + '7,"open\n' + content)
+    write("s/c.csv", "é😀" + content + 'a,é😀b\nx"\n' + content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        states = split_states(spark, path.rsplit("/", 1)[0])
+        assert states.filter("inside = 1").count() > 10 and states.count() > 60
+        odd = {row["file"][-5:]: (row["odd"], row["malformed"]) for row in states.collect()}
+        assert odd["a.csv"] == (False, False) and odd["b.csv"][1] and odd["c.csv"][1]
+        sent, sorted_ = (pieces_of(spark, path.rsplit("/", 1)[0], states, sent).collect() for sent in (10**6, 1))
+        assert sorted(sent) == sorted(sorted_)
+        mine = sorted((row["chunk"], row["text"].rstrip("\r")) for row in sent if row["file"].endswith("a.csv"))
+        assert mine == [(i + 1, f'{i},"line {i}\n{"x" * (i % 97)}""\r{i}"') for i in range(3000)]
+        with pytest.raises(GateError, match=f"Unexpected quote at CSV offset {3 + len(content) + 8}$"):
+            read_csv_rfc4180(spark, path.replace("a.csv", "c.csv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_bad_byte_over_splits(spark, write):
+    good = "".join(f"line {i} é😀\n" for i in range(2000)).encode()
+    cases = {"a": good + b"ab\xe4\n" + good, "b": b"\xef\xbb\xbf" + good + b"x\xff", "c": good, "d": b"\x80\n" + good, "e x+%": good + b"\xed\xa0\x80\n\xff"}
+    for name, content in cases.items():
+        path = write(f"bytes/{name}.txt", content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        folder = path.rsplit("/", 1)[0]
+        assert split_lines(spark, folder).rdd.getNumPartitions() > 20
+        found = {os.path.basename(row["path"])[:-4]: row["offset"] for row in first_bad_bytes(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {}
+    for name, content in cases.items():
+        try:
+            content.decode()
+        except UnicodeDecodeError as error:
+            want[name] = error.start
+    assert found == want and len(want) == 4
+
+
+def test_from_sql(spark, write):
+    one = write("sql/one.csv", 'id;name\n1;"a\nb"\n2;c\n')
+    register_strict_csv(spark, {"one": one, "it's": write("sql/two.csv", 'x;"y""z"\n'), "bad": write("sql/bad.csv", 'x;"y"z\n')}, delimiter=";")
+    rows = spark.sql("SELECT record_no, fields[1] AS name FROM strict_csv('one') WHERE record_no > 1 ORDER BY 1").collect()
+    assert [tuple(row) for row in rows] == [(2, "a\nb"), (3, "c")]
+    joined = spark.sql("SELECT a.fields FROM strict_csv('it''s') a JOIN strict_csv('one') b ON a.record_no = b.record_no").collect()
+    assert [row["fields"] for row in joined] == [["x", 'y"z']]
+    with pytest.raises(Exception, match="Unexpected character after closing CSV quote at offset 5"):
+        spark.sql("SELECT * FROM strict_csv('bad')").collect()
+    with pytest.raises(Exception, match="no strict CSV source"):
+        spark.sql("SELECT * FROM strict_csv('other')").collect()
+
+
 def test_invalid_utf8_offset(spark, write):
     with pytest.raises(GateError, match="is not valid UTF-8 at byte offset 9$"):
         profile(spark, write("l.csv", b"id,n\n1,ok\xe9\n"))

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 from tidegate.functions.states import TONES
 from tidegate.functions.text import BLANK_PATTERN, BYTE_UNITS, STRIP_PATTERN
+from tidegate.sources.strict_csv import checked_records
 
 
 def _literal(text: str) -> str:
@@ -40,3 +41,21 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     for name, definition in definitions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{definition}")
     return list(definitions)
+
+
+def register_strict_csv(spark: SparkSession, sources: dict[str, str], *, delimiter: str = ",") -> None:
+    """Creates the table function strict_csv(source): (file, record_no, fields) of the strict CSV files of a named path.
+
+    The files of each path are summed up once, here; a query then cuts their records. A quoting error is raised by the
+    query that reads them, and so is a name that isn't among ``sources``.
+    """
+    parts = []
+    for number, (name, path) in enumerate(sources.items()):
+        view = f"strict_csv_source_{number}"
+        checked_records(spark, path, delimiter=delimiter).createOrReplaceTempView(view)
+        parts.append(f"SELECT file, record_no, fields FROM {view} WHERE source = {_literal(name)}")
+    known = ", ".join(map(_literal, sources)) or "NULL"
+    unknown = "CAST(raise_error(concat('no strict CSV source ', source)) AS STRING)"
+    parts.append(f"SELECT {unknown}, CAST(NULL AS BIGINT), CAST(NULL AS ARRAY<STRING>) WHERE source IS NULL OR source NOT IN ({known})")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION strict_csv(source STRING)
+        RETURNS TABLE(file STRING, record_no BIGINT, fields ARRAY<STRING>) RETURN {" UNION ALL ".join(parts)}""")

@@ -17,6 +17,7 @@ from tidegate.sources.publish import (
 )
 from tidegate.sources.options import allow_charset
 from tidegate.sources.readers import file_inventory, raw_lines, read_csv_strict, read_dataset, storage_footprint
+from tidegate.functions.sql import register_strict_csv
 from tidegate.sources.strict_csv import read_csv_rfc4180, records, rectangular
 
 # The given tables and how many columns they have.
@@ -389,3 +390,17 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_results(spark, log).select("jobName", "status", F.col("metrics")["rows"].alias("rows"))
 
 
+
+
+@query("""
+    SELECT c.c_mktsegment AS segment, count(*) AS customers, sum(length(c.c_name))::BIGINT AS letters, min(n.n_name) AS first_nation
+    FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1""")
+def strict_csv_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "strict-sql")
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", F.concat("c_name", F.lit(' "\n"')).alias("c_name"))
+    write_csv_rfc4180(customers, f"{base}/customer")
+    write_csv_rfc4180(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), f"{base}/nation")
+    register_strict_csv(spark, {"customer": f"{base}/customer", "nation": f"{base}/nation"})
+    return spark.sql("""
+        SELECT c.fields[1] AS segment, count(*) AS customers, sum(char_length(c.fields[2]) - 4) AS letters, min(n.fields[1]) AS first_nation
+        FROM strict_csv('customer') c JOIN strict_csv('nation') n ON c.fields[0] = n.fields[0] GROUP BY 1""")

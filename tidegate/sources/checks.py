@@ -9,13 +9,15 @@ from contextlib import contextmanager
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.results import GateError, GateResult, failed, succeeded, utc_now
 from tidegate.sources.options import charset as canonical_charset
 from tidegate.sources.paths import file_system, hadoop_path, plain_path
 from tidegate.sources.readers import file_inventory, raw_lines
+from tidegate.sources.splits import split_files, split_lines, split_runs
 
 UTF8_MARK = b"\xef\xbb\xbf"
 # Bytes read at once, and files per task when they are dealt out.
@@ -95,6 +97,11 @@ def undecodable_files(spark: SparkSession, paths: list[str], charset: str) -> di
     return {path: f"input is not valid {charset}: {problem}" for path, problem in found.items()}
 
 
+def _one_form(path: str | Column) -> Column:
+    """A path with one slash after its scheme, as listings write it; file metadata write three."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", F.lit("$1:/"))
+
+
 def _first_record(stream, charset: str, delimiter: str, escape: str) -> list[str] | None:
     """The cells of the first line of a CSV stream that isn't empty; None when there is none, or when it never ends."""
     import codecs
@@ -186,32 +193,49 @@ def require_no_bom(spark: SparkSession, path: str | list[str], charset: str, lab
         )
 
 
-def _first_bad_offset(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import codecs
+def _bad_in_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """number, split, length, offset of each split: its bytes and the place of the first that breaks UTF-8.
+
+    A line end is no part of any longer character, so lines are judged by themselves.
+    """
+    place, length, offset = None, 0, None
+
+    def row():
+        columns = [*place, length, offset]
+        return pa.RecordBatch.from_arrays([pa.array([value], pa.int64()) for value in columns], names=["number", "split", "length", "offset"])
 
     for batch in batches:
-        offsets = []
-        for path in batch["path"]:
-            decoder, seen, bad = codecs.getincrementaldecoder("utf-8")("strict"), 0, None
-            with open_bytes(path, "detect") as stream:
-                while bad is None:
-                    piece = stream.read(PIECE)
-                    waiting = len(decoder.getstate()[0])
-                    try:
-                        decoder.decode(piece, final=not piece)
-                    except UnicodeDecodeError as error:
-                        bad = seen - waiting + error.start
-                    seen += len(piece)
-                    if not piece:
-                        break
-            offsets.append(bad)
-        yield pd.DataFrame({"path": batch["path"], "offset": pd.array(offsets, dtype="Int64")})
+        for found, rows in split_runs(batch):
+            if found != place:
+                if place is not None:
+                    yield row()
+                place, length, offset = found, 0, None
+            text = b"\n".join([*rows.column("line").to_pylist(), b""])
+            if offset is None:
+                try:
+                    text.decode("utf-8")
+                except UnicodeDecodeError as error:
+                    offset = length + error.start
+            length += len(text)
+    if place is not None:
+        yield row()
 
 
 def first_bad_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset) of the first byte of each file that is not valid UTF-8; files without one are left out."""
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return _dealt(files).mapInPandas(_first_bad_offset, "path string, offset long").filter("offset IS NOT NULL")
+    """(path, offset) of the first byte of each file that is not valid UTF-8; files without one are left out.
+
+    Splits are judged apart; their lengths, summed in order, give the place in the file.
+    """
+    found = split_lines(spark, path).mapInArrow(_bad_in_splits, "number LONG, split LONG, length LONG, offset LONG")
+    before = Window.partitionBy("number").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)) + F.col("offset"))
+    first = placed.groupBy("number").agg(F.min("offset").alias("offset")).filter("offset IS NOT NULL")
+    named = first.join(split_files(spark, path), "number")
+    # The line reader has dropped a byte order mark.
+    marks = file_heads(spark, path).select(_one_form("path").alias("form"), (F.col("head") == F.lit(UTF8_MARK)).alias("marked"))
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    known = named.select(_one_form(plain).alias("form"), "offset").join(marks, "form", "left")
+    return known.select(F.col("form").alias("path"), (F.col("offset") + F.when(F.col("marked"), 3).otherwise(0)).alias("offset"))
 
 
 def require_utf8(spark: SparkSession, path: str) -> None:
