@@ -12,14 +12,37 @@ from tidegate.plans.history import (
 )
 from tidegate.plans.registry import query, table
 from tidegate.scale import scratch_path
-from tidegate.streaming import tables, windows
-
-
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    # The table is a file or a folder of files; a path pattern matches both.
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+from tidegate.streaming import machines, tables, windows
+
+
+# Parts in which a table arrives, files of a part, and by how much the late third of the rows before a cut comes later.
+ARRIVALS, FILES, LATE = 3, 4, "9 minutes"
+_ARRIVED: dict[tuple, str] = {}
+
+
+def event_stream(spark: SparkSession, sf_dir: str, *, closing: bool = False) -> DataFrame:
+    """The events in the order of their times, but for some late ones, over several micro-batches.
+
+    With ``closing``, a last part moves the watermark past the end of the table: one row of each type, a day later, with an
+    id below 0. Its windows and runs stay open, so it adds no row to a result.
+    """
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = (spark.sparkContext.applicationId, sf_dir, closing)
+    if key not in _ARRIVED:
+        folder = scratch_path(spark, "arrivals")
+        low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+        shown = F.unix_micros(F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr(f"INTERVAL {LATE}")).otherwise(F.col("ts")))
+        part = F.least(F.lit(ARRIVALS - 1), F.floor((shown - low) * ARRIVALS / ((high or 0) - (low or 0) + 1))).cast("int")
+        for number in range(ARRIVALS):
+            events.filter(F.coalesce(part, F.lit(0)) == number).repartition(FILES).write.mode("append").parquet(folder)
+        if closing:
+            last = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+            rows = last.select("ts", F.posexplode(F.array(F.lit("view"), F.lit("click"))).alias("n", "event_type"))
+            rows = rows.withColumn("event_id", (-10 - F.col("n")).cast("long"))
+            rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                          for f in events.schema.fields]).write.mode("append").parquet(folder)
+        _ARRIVED[key] = folder
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(_ARRIVED[key])
 
 
 def emitted(stream: DataFrame, name: str) -> DataFrame:
@@ -43,7 +66,6 @@ def plain(*names: str) -> list:
 
 
 SHARE_SQL = """CASE WHEN success + failed = 0 THEN -1.0 ELSE success / CAST(success + failed AS DOUBLE) END AS success_share"""
-CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
 
 @query(f"""
@@ -80,32 +102,62 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(epoch_us(e.ts) // 1000 - epoch_us(b.ts) // 1000 AS BIGINT) AS duration_ms
     FROM events b LEFT JOIN events e ON e.event_id = b.event_id + 1 AND e.event_type = 'click'
          AND e.ts >= b.ts AND e.ts <= b.ts + INTERVAL 5 MINUTE
-    WHERE b.event_type = 'view' AND b.ts < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+    WHERE b.event_type = 'view'""")
 def stream_match_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_stream(spark, sf_dir)
+    events = event_stream(spark, sf_dir, closing=True)
     begins = events.filter(F.col("event_type") == "view").select(F.col("event_id").alias("run_id"), "ts")
-    ends = event_stream(spark, sf_dir).filter(F.col("event_type") == "click").select((F.col("event_id") - 1).alias("run_id"), "ts")
+    ends = event_stream(spark, sf_dir, closing=True).filter(F.col("event_type") == "click").select((F.col("event_id") - 1).alias("run_id"), "ts")
     matched = emitted(windows.match_runs(begins, ends, timeout="5 minutes"), "matched")
-    # Begins of the last two hours may still wait for an end.
-    latest = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    settled = matched.select("run_id", *plain("started_at", "ended_at"), "duration_ms")
-    return settled.filter(F.col("started_at") < F.lit(latest).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS"))
+    return matched.select("run_id", *plain("started_at", "ended_at"), "duration_ms")
 
 
-@query(f"""
+@query("""
+    WITH b AS (SELECT event_id, min(ts) AS at FROM events WHERE event_type = 'view' GROUP BY 1),
+    e AS (SELECT event_id, min(ts) AS at FROM events WHERE event_type = 'click' GROUP BY 1),
+    m AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS mark FROM events)
+    SELECT CAST(b.event_id AS VARCHAR) AS run, CASE WHEN e.at <= b.at + INTERVAL 5 MINUTE THEN 'finished' WHEN e.at IS NOT NULL THEN 'late'
+        WHEN (epoch_us(b.at) + 300000000) // 1000 + 1 <= mark THEN 'unfinished' ELSE 'running' END AS status,
+        b.at AS started_at, e.at AS ended_at, CAST(epoch_us(e.at) // 1000 - epoch_us(b.at) // 1000 AS BIGINT) AS duration_ms
+    FROM m, b LEFT JOIN e ON e.event_id = b.event_id + 1 AND e.at >= b.at""")
+def stream_run_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, number = F.col("event_type"), F.col("event_id")
+    events = event_stream(spark, sf_dir).select(
+        F.when(kind == "view", number).otherwise(number - 1).alias("run_id"), F.when(kind == "view", "begin").when(kind == "click", "end").alias("kind"), "ts")
+    lives = emitted(machines.run_lives(events, timeout_minutes=5), "lives")
+    last = lives.groupBy("run").agg(F.max("version").alias("version"))
+    return lives.join(last, ["run", "version"]).select("run", "status", *plain("started_at", "ended_at"), "duration_ms")
+
+
+@query("""
     SELECT date_trunc('hour', ts) AS window_start, count(*) AS "rows",
            CAST(sum(CAST(event_type = 'view' AS BIGINT) + CAST(event_id % 3 = 0 AS BIGINT)) AS BIGINT) AS blank_cells,
            count(*) FILTER (event_type = 'view' AND event_id % 3 = 0) AS blank_rows,
            count(*) - count(DISTINCT (CASE WHEN event_type = 'view' THEN ' ' ELSE event_type END,
                CASE WHEN event_id % 3 = 0 THEN '' ELSE coalesce(CAST(props AS VARCHAR), '') END)) AS duplicate_rows
-    FROM events GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= {CLOSED}""")
+    FROM events GROUP BY 1""")
 def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_stream(spark, sf_dir).select(
+    out = emitted(windows.windowed_quality(cells_of(event_stream(spark, sf_dir, closing=True)), ["kind", "props"]), "quality")
+    return out.select(*plain("window_start"), "rows", "blank_cells", "blank_rows", "duplicate_rows")
+
+
+@query("""
+    WITH c AS (SELECT ts, event_type = 'view' AS a, event_id % 3 = 0 AS b, CASE WHEN event_type = 'view' THEN ' ' ELSE event_type END AS kind,
+        CASE WHEN event_id % 3 = 0 THEN '' ELSE coalesce(CAST(props AS VARCHAR), '') END AS props FROM events),
+    d AS (SELECT *, ts - lag(ts) OVER (PARTITION BY kind, props ORDER BY ts) <= INTERVAL 1 HOUR AS follows FROM c)
+    SELECT date_trunc('hour', ts) AS window_start, count(*) AS "rows", CAST(sum(CAST(a AS BIGINT) + CAST(b AS BIGINT)) AS BIGINT) AS blank_cells,
+        count(*) FILTER (a AND b) AS blank_rows, count(*) FILTER (follows) AS duplicate_rows
+    FROM d GROUP BY 1""")
+def stream_quality_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = cells_of(event_stream(spark, sf_dir, closing=True))
+    out = emitted(machines.quality_across_windows(events, ["kind", "props"]), "across")
+    return out.select(*plain("window_start"), "rows", "blank_cells", "blank_rows", "duplicate_rows")
+
+
+def cells_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "ts", F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("kind"),
         F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("props")).alias("props"),
     )
-    out = emitted(windows.windowed_quality(events, ["kind", "props"]), "quality")
-    return out.select(*plain("window_start"), "rows", "blank_cells", "blank_rows", "duplicate_rows")
 
 
 @query(ROLLING_SQL)
@@ -137,9 +189,13 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT 'import-errors' AS key, 'FAILED' AS level, (SELECT count(*) FROM events WHERE event_type = 'error') || ' 个 DAG 文件无法解析' AS title,
-        CAST(NULL AS VARCHAR) AS detail,
-        'MONITOR' AS target, CAST(NULL AS VARCHAR) AS dag_id, 'insert' AS change, true AS changed""")
+    WITH b AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events),
+    p AS (SELECT CAST(least(2, floor((epoch_us(ts) + CASE WHEN event_id % 3 = 0 THEN 540000000 ELSE 0 END - low) * 3 / (high - low + 1))) AS INTEGER) AS batch,
+        count(*) FILTER (event_type = 'error') AS n FROM events, b GROUP BY 1),
+    l AS (SELECT *, lag(n) OVER (ORDER BY batch) AS before FROM p WHERE n > 0)
+    SELECT batch, 'import-errors' AS key, 'FAILED' AS level, n || ' 个 DAG 文件无法解析' AS title, CAST(NULL AS VARCHAR) AS detail, 'MONITOR' AS target,
+        CAST(NULL AS VARCHAR) AS dag_id, CASE WHEN before IS NULL THEN 'insert' ELSE 'update' END AS change, true AS changed
+    FROM l WHERE before IS NULL OR before <> n""")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "alerts")
 
@@ -151,7 +207,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = tables.alert_changes(event_stream(spark, sf_dir), fired, f"{base}/out", f"{base}/state", f"{base}/progress")
     stream.awaitTermination()
-    return tables.newest(spark, f"{base}/out", ["key"])
+    return tables.appended(spark, f"{base}/out")
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
