@@ -114,7 +114,7 @@ def stream_match_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH b AS (SELECT event_id, min(ts) AS at FROM events WHERE event_type = 'view' GROUP BY 1),
     e AS (SELECT event_id, min(ts) AS at FROM events WHERE event_type = 'click' GROUP BY 1),
-    m AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS mark FROM events)
+    m AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS mark FROM events WHERE event_type IN ('view', 'click'))
     SELECT CAST(b.event_id AS VARCHAR) AS run, CASE WHEN e.at <= b.at + INTERVAL 5 MINUTE THEN 'finished' WHEN e.at IS NOT NULL THEN 'late'
         WHEN (epoch_us(b.at) + 300000000) // 1000 + 1 <= mark THEN 'unfinished' ELSE 'running' END AS status,
         b.at AS started_at, e.at AS ended_at, CAST(epoch_us(e.at) // 1000 - epoch_us(b.at) // 1000 AS BIGINT) AS duration_ms
