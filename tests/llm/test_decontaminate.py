@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidegate.llm.decontaminate import budget, codes, gram_hashes, leaked_documents, normal, windows
+from tidegate.llm.decontaminate import Index, budget, codes, gram_hashes, leaked_documents, normal, windows
 
 SCHEMA = "doc_id LONG, text STRING, found STRING, more INT"
 
@@ -19,16 +19,16 @@ def fewest_edits(window, text):
     return best
 
 
-def brute(docs, items, q=12, window=64, edits=4, stride=8):
+def brute(docs, items, q=12, window=64, edits=4):
     out = []
     for key, text in docs:
         found = {}
         for item, passage in items:
             x = normal(passage)
-            if len(x) < q:
+            if not x:
                 continue
             size = min(window, len(x))
-            n = min(fewest_edits(x[s:s + size], normal(text or "")) for s in windows(len(x), window, stride))
+            n = min(fewest_edits(x[s:s + size], normal(text or "")) for s in range(windows(len(x), window)))
             if n <= budget(size, q, window, edits):
                 found[item] = n
         out.append((key, bool(found), len(found), min(found.values(), default=None), sorted(found)))
@@ -57,11 +57,30 @@ def test_documents_against_full_alignment(spark):
     bench = spark.createDataFrame([*items, (None, "x" * 80), (30, None), items[0]], "item_id LONG, text STRING")
     want = brute(docs, items)
     assert 15 < sum(r[1] for r in want) < 36
+    assert any(r[0] == 3 and r[1] for r in want)
     for size in (1_000_000, 100):
         got = sorted(leaked_documents(table, bench, size=size).collect())
         assert [tuple(r) for r in got] == want
 
 
+def test_no_window_is_lost_within_its_edits():
+    """Passages of exactly one window from any place of an item, with as many edits as are allowed."""
+    chance = random.Random(8)
+    item = "".join(chance.choices("abcdefghij klmnop", k=400)).strip()
+    item = normal(item)
+    index = Index([1, 2], [codes(item), codes("elevenchars")], 12, 64, 4)
+    for edits in range(5):
+        for start in range(0, len(item) - 64, 7):
+            passage = list(item[start:start + 64])
+            for at in chance.sample(range(64), edits):
+                passage[at] = chance.choice("QXYZ").lower() if chance.random() < 0.7 else ""
+            text = "zz " * 9 + "".join(passage) + " yy" * 9
+            want = min(fewest_edits(item[s:s + 64], normal(text)) for s in range(max(0, start - 5), min(start + 6, len(item) - 63)))
+            found = index.search([text])[0]
+            assert want > 4 or found == {0: found[0]} and found[0] <= want, (edits, start)
+    assert index.search(["so elevenchars it is", "eleven chars", "x" * 300_000 + " elevenchars"]) == [{1: 0}, {}, {1: 0}]
+
+
 def test_empty_tables_null_and_repeated_ids(spark):
     table = spark.createDataFrame([(None, "a" * 100, "x", 1), (1, "b", "x", 1), (1, "b", "x", 1)], SCHEMA)
     bench = spark.createDataFrame([(1, "a" * 70)], "item_id LONG, text STRING")

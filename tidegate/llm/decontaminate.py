@@ -2,7 +2,9 @@
 
 A window of a benchmark item that occurs in a document with at most k edits shares at least
 window + 1 - q * (k + 1) of its q-grams with the place, all within k + 1 neighbouring diagonals. So shared q-grams are
-counted in diagonal bands that overlap by k; a window whose count in a band is large enough is aligned with that place.
+counted in diagonal bands that overlap by k; in a band with enough of them, the window at every start of the item is
+counted, and one whose count is large enough is aligned with that place. The count also tells how many edits there are at
+least, so windows that can't be better than the best one so far aren't aligned.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import types as T
 from ..scale import materialize
 from .rows import computed, unused
 
-Q, WINDOW, EDITS, STRIDE = 12, 64, 4, 8
+Q, WINDOW, EDITS = 12, 64, 4
 BAND = 16
+# Windows of an item that are aligned in one go.
+ROUND = 8
 # Characters of benchmark text whose index a task holds at once, and slots of its first filter.
 SLICE = 1_000_000
 SLOTS = 22
@@ -68,22 +72,20 @@ def budget(length: int, q: int, window: int, edits: int) -> int:
     return allowed
 
 
-def windows(length: int, window: int, stride: int) -> list[int]:
-    """Starts of an item's windows: every ``stride`` characters, and the last one."""
-    last = max(0, length - window)
-    return sorted({*range(0, last + 1, stride), last})
+def windows(length: int, window: int) -> int:
+    """How many windows an item has: one at each start."""
+    return max(0, length - window) + 1
 
 
 @dataclass
 class Index:
-    """Q-grams and windows of some items. Items shorter than a q-gram have no windows."""
+    """Q-grams and windows of some items. Items shorter than a q-gram have no windows; they are looked up whole."""
 
     ids: list
     texts: list[np.ndarray]
     q: int
     window: int
     edits: int
-    stride: int
 
     def __post_init__(self):
         hashes = [gram_hashes(x, self.q) for x in self.texts]
@@ -97,9 +99,11 @@ class Index:
         self.length = np.array([min(len(x), self.window) for x in self.texts], np.int64)
         self.allowed = np.array([budget(n, self.q, self.window, self.edits) for n in self.length.tolist()], np.int64)
         self.least = self.length + 1 - self.q * (self.allowed + 1)
-        starts = [windows(len(x), self.window, self.stride) if len(x) >= self.q else [] for x in self.texts]
-        self.first = np.cumsum([0, *map(len, starts)])
-        self.start = np.array([s for some in starts for s in some], np.int64)
+        self.starts = np.array([windows(len(x), self.window) if len(x) >= self.q else 0 for x in self.texts], np.int64)
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for number, x in enumerate(self.texts):
+            if 0 < len(x) < self.q:
+                self.short.setdefault(len(x), {}).setdefault(int(gram_hashes(x, len(x))[0]), []).append(number)
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, item, place in the item) of every shared q-gram."""
@@ -109,8 +113,8 @@ class Index:
         source = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         return np.repeat(at, count), self.item[source], self.place[source]
 
-    def regions(self, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, start of a window, band) where enough q-grams are shared."""
+    def regions(self, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start of a window, band, fewest edits that its count allows) where enough q-grams are shared."""
         diagonal = at - place + (1 << 30)
         band = diagonal // BAND
         below = diagonal % BAND < self.edits
@@ -123,13 +127,15 @@ class Index:
         flat = np.sort(rank << 32 | place[keep])
         kinds = kinds[full]
         item = kinds >> 36
-        each = self.first[item + 1] - self.first[item]
+        each = self.starts[item]
         group = np.repeat(np.arange(len(kinds)), each)
-        start = self.start[np.repeat(self.first[item] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        start = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         low = np.searchsorted(flat, group << 32 | start)
-        high = np.searchsorted(flat, group << 32 | (start + self.length[item[group]] - self.q + 1))
-        good = high - low >= self.least[item[group]]
-        return item[group[good]], start[good], (kinds & (1 << 36) - 1)[group[good]] - (1 << 30) // BAND
+        count = np.searchsorted(flat, group << 32 | (start + self.length[item[group]] - self.q + 1)) - low
+        good = count >= self.least[item[group]]
+        item, count = item[group[good]], count[good]
+        fewest = -(-(self.length[item] - self.q + 1 - count).clip(0) // self.q)
+        return item, start[good], (kinds & (1 << 36) - 1)[group[good]] - (1 << 30) // BAND, fewest
 
     def align(self, x: np.ndarray, item: np.ndarray, start: np.ndarray, band: np.ndarray) -> np.ndarray:
         """Fewest edits that turn each window into a part of ``x`` near its band."""
@@ -154,15 +160,30 @@ class Index:
 
     def matches(self, x: np.ndarray, hits) -> dict[int, int]:
         """Edits of the best window of every item that occurs in ``x``."""
-        item, start, band = self.regions(*hits)
-        found: dict[int, int] = {}
-        for first in range(0, len(item), 4096):
-            part = slice(first, first + 4096)
-            edits = self.align(x, item[part], start[part], band[part])
-            good = edits <= self.allowed[item[part]]
-            for number, n in zip(item[part][good].tolist(), edits[good].tolist()):
-                found[number] = min(n, found.get(number, n))
-        return found
+        item, start, band, fewest = self.regions(*hits)
+        order = np.lexsort((start, fewest, item))
+        item, start, band, fewest = item[order], start[order], band[order], fewest[order]
+        best = np.full(len(self.texts), 1 << 20)
+        while len(item):
+            # The most promising windows of each item first.
+            heads = np.r_[0, np.flatnonzero(item[1:] != item[:-1]) + 1]
+            now = np.arange(len(item)) - np.repeat(heads, np.diff(np.r_[heads, len(item)])) < ROUND
+            for part in np.array_split(np.flatnonzero(now), max(1, now.sum() // 4096)):
+                np.minimum.at(best, item[part], self.align(x, item[part], start[part], band[part]))
+            left = ~now & (fewest < best[item])
+            item, start, band, fewest = item[left], start[left], band[left], fewest[left]
+        return {int(number): int(best[number]) for number in np.flatnonzero(best <= self.allowed)}
+
+    def whole(self, joined: np.ndarray, starts: np.ndarray) -> list[set[int]]:
+        """The items shorter than a q-gram that each text holds."""
+        out: list[set[int]] = [set() for _ in range(len(starts) - 1)]
+        for size, known in self.short.items():
+            hashes = gram_hashes(joined, size)
+            for at in np.flatnonzero(np.isin(hashes, np.array(list(known), np.uint64))).tolist():
+                number = int(np.searchsorted(starts, at, "right")) - 1
+                if number < len(out):
+                    out[number].update(i for i in known[int(hashes[at])] if (joined[at:at + size] == self.texts[i]).all())
+        return out
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
         """``matches`` of each text; all texts are hashed together, apart from each other by characters that never match."""
@@ -177,33 +198,35 @@ class Index:
             mine = slice(bounds[number], bounds[number + 1])
             few = bounds[number + 1] - bounds[number] < (self.least.min() if len(self.least) else 1)
             out.append({} if few else self.matches(x, (at[mine] - starts[number], item[mine], place[mine])))
+        for found, more in zip(out, self.whole(joined, starts) if self.short else []):
+            found.update(dict.fromkeys(more, 0))
         return out
 
 
-def indexes(benchmark: DataFrame, id_column: str, text_column: str, q: int, window: int, edits: int, stride: int, size: int = SLICE) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, id_column: str, text_column: str, q: int, window: int, edits: int, size: int = SLICE) -> Iterator[Index]:
     """Indexes of at most ``size`` characters, or of one item; the driver holds one at a time."""
     ids, texts, held = [], [], 0
     rows = benchmark.select(F.col(id_column).cast("long"), F.col(text_column)).filter(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
     for key, text in rows.distinct().toLocalIterator():
         x = codes(normal(text))
         if ids and held + len(x) > size:
-            yield Index(ids, texts, q, window, edits, stride)
+            yield Index(ids, texts, q, window, edits)
             ids, texts, held = [], [], 0
         ids.append(key)
         texts.append(x)
         held += len(x)
     if ids:
-        yield Index(ids, texts, q, window, edits, stride)
+        yield Index(ids, texts, q, window, edits)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, name: str, text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
-          q: int = Q, window: int = WINDOW, edits: int = EDITS, stride: int = STRIDE, size: int = SLICE) -> DataFrame:
+          q: int = Q, window: int = WINDOW, edits: int = EDITS, size: int = SLICE) -> DataFrame:
     """``docs`` with a column ``name``: an array of (item_id, edits) for the items of which a window occurs in the text.
 
-    Texts are compared in lower case with white space as single spaces. A window is ``window`` characters of an item,
-    one every ``stride`` and the last, or the whole item if it is shorter; it occurs where at most ``edits`` characters
-    are replaced, left out or put in (fewer in shorter windows, in proportion). Items below ``q`` characters never
-    occur. Null texts hold nothing; items with a null id or text are left out; repeated items count once.
+    Texts are compared in lower case with white space as single spaces. A window is ``window`` characters of an item from
+    any start, or the whole item if it is shorter; it occurs where at most ``edits`` characters are replaced, left out or
+    put in (fewer in shorter windows, in proportion). Items below ``q`` characters occur where they stand unchanged,
+    empty ones never. Null texts hold nothing; items with a null id or text are left out; repeated items count once.
 
     One pass over the documents without a shuffle for each ``size`` characters of benchmark. An index is about 30 bytes
     a character; that is all that is sent to the tasks.
@@ -211,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, name: str, text_column: str
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
     out = docs.withColumn(name, F.array().cast(kind))
-    for number, index in enumerate(indexes(benchmark, item_column, item_text, q, window, edits, stride, size)):
+    for number, index in enumerate(indexes(benchmark, item_column, item_text, q, window, edits, size)):
         def start(index=index):
             def make(texts):
                 found = [sorted((index.ids[i], n) for i, n in match.items()) for match in index.search(texts)]
