@@ -136,8 +136,8 @@ def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", sample: int = SAMPLE,
           folds: int = FOLDS, held_out: int = HELD_OUT) -> Judge:
-    """Learns from at most ``sample`` positives and ``sample`` documents of any kind, none of them held out; negative
-    labels aren't used. Their features, some kilobytes a document, go to the driver. Without positives every score is
+    """Learns from at most ``sample`` rows of positives and ``sample`` rows of any kind, none of them held out, also if one
+    id is on many rows; negative labels aren't used. Their features, some kilobytes a document, go to the driver. Without positives every score is
     0, without other documents 1."""
     free = remainder(id_column, folds) != held_out
     marked = some_ids(labels.filter((F.col(label) == 1) & free), id_column, sample, 9).withColumn("mark", F.lit(1))
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
                 rows = pa.array([row.tobytes() for row in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), rows], names=["id", "mark", "x"])
 
-    found = texts_of(docs, marked, id_column, text_column).select("id", "mark", "text").mapInArrow(run, "id LONG, mark INT, x BINARY").toPandas()
+    found = texts_of(docs, marked, id_column, text_column, sample, 9).select("id", "mark", "text").mapInArrow(run, "id LONG, mark INT, x BINARY").toPandas()
     found = found.sort_values(["mark", "id", "x"])
     x = np.array([np.frombuffer(data, np.float32) for data in found["x"]], float).reshape(-1, WIDTH)
     mark = found["mark"].to_numpy()
