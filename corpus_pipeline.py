@@ -7,7 +7,7 @@ judges them. An empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm import decontaminate, minhash, packing, quality_pu, toxicity
@@ -31,15 +31,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id. Rows that share that
-    id stay once for each text; rows with a null id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id, and of the texts with
+    that id the one with the smallest digest. Rows that share an id are judged by their texts: each text that is chosen
+    stays once, texts without words once each. Rows with a null id stay."""
+    judged = minhash.near_duplicates(docs, choice=True).filter("chosen AND doc_id IS NOT NULL")
+    kept = materialize(judged.select("doc_id", "digest").distinct(), "kept")
     # Merged at every size, so that the plan that is tried on little data is the one that runs on much.
-    rest = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    rest = docs.join(kept.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(docs.columns)
     repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
-        several = rest.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-        rest = rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(several)
+        digest, place = unused(docs, "digest"), unused(docs, "place")
+        several = docs.join(repeated, "doc_id", "left_semi").withColumn(digest, minhash.digest_of_words(F.col("text")))
+        known = kept.select(F.col("doc_id").alias("chosen_id"), F.col("digest").alias("chosen_digest"))
+        several = several.join(known, (F.col("doc_id") == F.col("chosen_id")) & F.col(digest).eqNullSafe(F.col("chosen_digest")), "left_semi")
+        bare = F.when(F.col(digest).isNull(), F.col("text"))
+        first = several.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", digest, bare).orderBy("text")))
+        rest = rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.filter(F.col(place) == 1).select(docs.columns))
     return rest.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegate.llm.components import components
-from tidegate.llm.minhash import FACTORS, MINIMA, least_matches, minima, near_duplicates, packed, shingle_set, similar, words_of
+from tidegate.llm.minhash import FACTORS, MINIMA, digest_of_words, least_matches, minima, near_duplicates, packed, shingle_set, similar, words_of
 
 SCHEMA = "doc_id LONG, text STRING, n INT, key STRING"
 
@@ -110,7 +111,16 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     got = near_duplicates(twins).collect()
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
     got = sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None)
-    assert got == [(5, 5, False), (5, 5, True), (6, 5, False)]
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False)]
+    chosen = near_duplicates(twins, choice=True).filter("doc_id IS NOT NULL").orderBy("doc_id", "chosen").collect()
+    assert [(r.doc_id, r.chosen) for r in chosen] == [(5, False), (5, True), (6, False)]
+
+
+def test_digests_by_sql_functions(spark):
+    texts = [None, "", " \t\r\n\x0b\f ", "One  two\nÉ", "x", "\u00a0a\x1cb", "İ ſ K"]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], SCHEMA)
+    mine = docs.select("doc_id", digest_of_words(F.col("text")).alias("digest"))
+    assert sorted(mine.collect(), key=str) == sorted(near_duplicates(docs, choice=True).select("doc_id", "digest").collect(), key=str)
 
 
 @pytest.mark.parametrize("few", [1, 64])

@@ -202,9 +202,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
-                    percent: int = PERCENT) -> DataFrame:
-    """Per row: its id, n_shingles, component_id (smallest id reachable by links), kept (the id is its component's, and of
-    the texts with that id in the component it has the one with the smallest digest).
+                    percent: int = PERCENT, choice: bool = False) -> DataFrame:
+    """Per row: its id, n_shingles, component_id (smallest id reachable by links), kept (the id is its component's).
+
+    With ``choice`` also digest (of the words, null without any) and chosen: of the texts with the component's id it is the
+    one with the smallest digest, so exactly one text of a component is chosen.
 
     Two documents are linked if 100 * common >= percent * all shingles of ``width`` words; those with fewer words have
     their whole sequence as one shingle. Texts that are null or without words have no shingles and no links. Rows with a
@@ -260,13 +262,21 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     labels = labels.join(heads, "component").select("digest", "head")
     joined = sketched.select("id", "digest", "n").join(labels, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("head.class", "id"))
-    kept = (F.col("id") == F.col("head.class")) & (F.col("digest") == F.col("head.digest"))
+    chosen = (F.col("id") == F.col("head.class")) & (F.col("digest") == F.col("head.digest"))
+    more = [F.col("digest"), F.coalesce(F.when(F.col("id").isNotNull(), chosen), F.lit(True)).alias("chosen")] if choice else []
     return joined.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.when(F.col("id").isNotNull(), kept), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *more,
     )
 
 
+def digest_of_words(text: Column) -> Column:
+    """The digest of a text's words as near_duplicates gives it, by SQL functions."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.array_remove(F.split(F.translate(text, upper, upper.lower()), "[ \\t-\\r]+"), "")
+    return F.when(F.size(words) > 0, F.unhex(F.sha2(F.concat_ws(" ", words), 256)))
+
+
 def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return rows.withColumn("component", F.col("id"))
