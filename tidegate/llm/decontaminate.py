@@ -23,8 +23,8 @@ from .rows import computed, unused
 
 Q, WINDOW, EDITS = 12, 64, 4
 BAND = 16
-# Windows of an item that are aligned in one go.
-ROUND = 8
+# Windows of an item that are aligned before the rest of them, and windows aligned in one go.
+FIRST, TOGETHER = 2, 4096
 # Characters of benchmark text whose index a task holds at once, and slots of its first filter.
 SLICE = 1_000_000
 SLOTS = 22
@@ -100,6 +100,8 @@ class Index:
         self.allowed = np.array([budget(n, self.q, self.window, self.edits) for n in self.length.tolist()], np.int64)
         self.least = self.length + 1 - self.q * (self.allowed + 1)
         self.starts = np.array([windows(len(x), self.window) if len(x) >= self.q else 0 for x in self.texts], np.int64)
+        self.flat = np.concatenate([*self.texts, np.zeros(1, "<u4")])
+        self.origin = np.cumsum([0, *map(len, self.texts[:-1])])
         self.short: dict[int, dict[int, list[int]]] = {}
         for number, x in enumerate(self.texts):
             if 0 < len(x) < self.q:
@@ -113,66 +115,72 @@ class Index:
         source = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         return np.repeat(at, count), self.item[source], self.place[source]
 
-    def regions(self, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(item, start of a window, band, fewest edits that its count allows) where enough q-grams are shared."""
+    def regions(self, pair: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, start of a window, band, fewest edits that its count allows) where enough q-grams are shared. A pair is
+        the number of a text times that of items, plus an item."""
         diagonal = at - place + (1 << 30)
         band = diagonal // BAND
         below = diagonal % BAND < self.edits
-        item, place = np.r_[item, item[below]], np.r_[place, place[below]]
-        key = item << 36 | np.r_[band, band[below] - 1]
+        pair, place = np.r_[pair, pair[below]], np.r_[place, place[below]]
+        key = pair << 36 | np.r_[band, band[below] - 1]
         kinds, kind, count = np.unique(key, return_inverse=True, return_counts=True)
-        full = count >= self.least[kinds >> 36]
+        full = count >= self.least[(kinds >> 36) % len(self.texts)]
         keep = full[kind]
         rank = (np.cumsum(full) - 1)[kind[keep]]
         flat = np.sort(rank << 32 | place[keep])
         kinds = kinds[full]
-        item = kinds >> 36
+        item = (kinds >> 36) % len(self.texts)
         each = self.starts[item]
         group = np.repeat(np.arange(len(kinds)), each)
         start = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         low = np.searchsorted(flat, group << 32 | start)
         count = np.searchsorted(flat, group << 32 | (start + self.length[item[group]] - self.q + 1)) - low
         good = count >= self.least[item[group]]
-        item, count = item[group[good]], count[good]
+        pair, item, count = (kinds >> 36)[group[good]], item[group[good]], count[good]
         fewest = -(-(self.length[item] - self.q + 1 - count).clip(0) // self.q)
-        return item, start[good], (kinds & (1 << 36) - 1)[group[good]] - (1 << 30) // BAND, fewest
+        return pair, start[good], (kinds & (1 << 36) - 1)[group[good]] - (1 << 30) // BAND, fewest
 
-    def align(self, x: np.ndarray, item: np.ndarray, start: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Fewest edits that turn each window into a part of ``x`` near its band."""
-        side = self.edits
-        wide = BAND + 3 * side + 1
-        pad = self.window + wide + BAND
-        text = np.concatenate([np.full(pad, _NONE), x, np.full(pad + self.window, _NONE)])
-        base = np.clip(start + band * BAND - side + pad, 0, len(text) - wide - self.window - 1)
-        offsets = np.arange(wide)
+    def reach(self) -> int:
+        """Characters beyond a window that its alignment may look at."""
+        return BAND + 3 * self.edits + 1
+
+    def align(self, text: np.ndarray, pad: int, item: np.ndarray, start: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Fewest edits that turn each window into a part of the text near its band; ``pad`` characters lie around the text."""
+        wide = self.reach()
+        base = np.clip(start + band * BAND - self.edits + pad, 0, len(text) - wide - self.window - 1)
+        offsets = np.arange(wide, dtype=np.int32)
         cost = np.zeros((len(item), wide), np.int32)
         final = np.full(len(item), 1 << 20)
-        flat = np.concatenate(self.texts)
-        origin = np.cumsum([0, *map(len, self.texts[:-1])])[item] + start
+        origin = self.origin[item] + start
         for row in range(self.window):
-            active = np.minimum(origin + row, len(flat) - 1)
-            step = cost + (flat[active][:, None] != text[base[:, None] + row + offsets])
+            active = np.minimum(origin + row, len(self.flat) - 1)
+            step = cost + (self.flat[active][:, None] != text[base[:, None] + row + offsets])
             step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
             cost = np.minimum.accumulate(step - offsets, axis=1) + offsets
             ended = self.length[item] == row + 1
-            final[ended] = cost[ended].min(axis=1)
+            if ended.any():
+                final[ended] = cost[ended].min(axis=1)
         return final
 
-    def matches(self, x: np.ndarray, hits) -> dict[int, int]:
-        """Edits of the best window of every item that occurs in ``x``."""
-        item, start, band, fewest = self.regions(*hits)
-        order = np.lexsort((start, fewest, item))
-        item, start, band, fewest = item[order], start[order], band[order], fewest[order]
-        best = np.full(len(self.texts), 1 << 20)
-        while len(item):
-            # The most promising windows of each item first.
-            heads = np.r_[0, np.flatnonzero(item[1:] != item[:-1]) + 1]
-            now = np.arange(len(item)) - np.repeat(heads, np.diff(np.r_[heads, len(item)])) < ROUND
-            for part in np.array_split(np.flatnonzero(now), max(1, now.sum() // 4096)):
-                np.minimum.at(best, item[part], self.align(x, item[part], start[part], band[part]))
-            left = ~now & (fewest < best[item])
-            item, start, band, fewest = item[left], start[left], band[left], fewest[left]
-        return {int(number): int(best[number]) for number in np.flatnonzero(best <= self.allowed)}
+    def matches(self, x: np.ndarray, pair: np.ndarray, at: np.ndarray, place: np.ndarray) -> dict[int, int]:
+        """Edits of the best window of every pair of a text and an item that occurs in it."""
+        pair, start, band, fewest = self.regions(pair, at, place)
+        order = np.lexsort((start, fewest, pair))
+        pair, start, band, fewest = pair[order], start[order], band[order], fewest[order]
+        numbers, pair = np.unique(pair, return_inverse=True)
+        item = numbers % len(self.texts)
+        best = np.full(len(numbers), 1 << 20)
+        pad = self.window + self.reach() + BAND
+        text = np.concatenate([np.full(pad, _NONE), x, np.full(pad + self.window, _NONE)])
+        # The most promising windows of each pair first; they rule most others out.
+        heads = np.r_[0, np.flatnonzero(pair[1:] != pair[:-1]) + 1] if len(pair) else np.zeros(0, int)
+        first = np.arange(len(pair)) - np.repeat(heads, np.diff(np.r_[heads, len(pair)])) < FIRST
+        for some in (first, ~first):
+            left = np.flatnonzero(some & (fewest < best[pair]))
+            for part in np.array_split(left, max(1, len(left) // TOGETHER)):
+                np.minimum.at(best, pair[part], self.align(text, pad, item[pair[part]], start[part], band[part]))
+        good = best <= self.allowed[item]
+        return dict(zip(numbers[good].tolist(), best[good].tolist()))
 
     def whole(self, joined: np.ndarray, starts: np.ndarray) -> list[set[int]]:
         """The items shorter than a q-gram that each text holds."""
@@ -186,18 +194,20 @@ class Index:
         return out
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
-        """``matches`` of each text; all texts are hashed together, apart from each other by characters that never match."""
-        gap = np.full(self.q, _NONE)
+        """The items that occur in each text, with the edits of their best window. All texts are searched together, with so
+        many characters between them that never match that no alignment reaches another text."""
+        gap = np.full(max(self.q, self.window + self.reach()), _NONE)
         each = [codes(normal(text)) for text in texts]
         joined = np.concatenate([part for x in each for part in (x, gap)] or [gap])
-        starts = np.cumsum([0, *[len(x) + self.q for x in each]])
+        starts = np.cumsum([0, *[len(x) + len(gap) for x in each]])
         at, item, place = self.hits(gram_hashes(joined, self.q))
-        bounds = np.searchsorted(at, starts)
-        out = []
-        for number, x in enumerate(each):
-            mine = slice(bounds[number], bounds[number + 1])
-            few = bounds[number + 1] - bounds[number] < (self.least.min() if len(self.least) else 1)
-            out.append({} if few else self.matches(x, (at[mine] - starts[number], item[mine], place[mine])))
+        number = np.searchsorted(starts, at, "right") - 1
+        enough = np.bincount(number, minlength=len(texts) + 1) >= (self.least.min() if len(self.least) else 1)
+        keep = enough[number]
+        out: list[dict[int, int]] = [{} for _ in texts]
+        pairs = number[keep] * len(self.texts) + item[keep]
+        for pair, edits in self.matches(joined, pairs, at[keep], place[keep]).items():
+            out[pair // len(self.texts)][pair % len(self.texts)] = edits
         for found, more in zip(out, self.whole(joined, starts) if self.short else []):
             found.update(dict.fromkeys(more, 0))
         return out
