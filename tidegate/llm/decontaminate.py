@@ -25,6 +25,8 @@ Q, WINDOW, EDITS = 12, 64, 4
 BAND = 16
 # Windows of an item that are aligned before the rest of them, and windows aligned in one go.
 FIRST, TOGETHER = 2, 4096
+# Characters of text whose q-grams exist at once, or of one text.
+PARCEL = 400_000
 # Characters of benchmark text whose index a task holds at once, and slots of its first filter.
 SLICE = 1_000_000
 SLOTS = 22
@@ -194,8 +196,17 @@ class Index:
         return out
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
-        """The items that occur in each text, with the edits of their best window. All texts are searched together, with so
-        many characters between them that never match that no alignment reaches another text."""
+        """The items that occur in each text, with the edits of their best window."""
+        out, first = [], 0
+        ends = np.cumsum([len(text) for text in texts])
+        while first < len(texts):
+            stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PARCEL, "right")))
+            out += self.search_together(texts[first:stop])
+            first = stop
+        return out
+
+    def search_together(self, texts: list[str]) -> list[dict[int, int]]:
+        """``search``; so many characters that never match lie between the texts that no alignment reaches another one."""
         gap = np.full(max(self.q, self.window + self.reach()), _NONE)
         each = [codes(normal(text)) for text in texts]
         joined = np.concatenate([part for x in each for part in (x, gap)] or [gap])
