@@ -404,3 +404,36 @@ def strict_csv_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("""
         SELECT c.fields[1] AS segment, count(*) AS customers, sum(char_length(c.fields[2]) - 4) AS letters, min(n.fields[1]) AS first_nation
         FROM strict_csv('customer') c JOIN strict_csv('nation') n ON c.fields[0] = n.fields[0] GROUP BY 1""")
+
+
+CUSTOMER_LINES = """
+    SELECT string_agg(c_custkey || ',"' || c_name || '",' || coalesce(c_mktsegment, '') || chr(10), '' ORDER BY c_custkey) AS body,
+        count(*) AS n FROM customer"""
+
+
+def customer_file(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The customers as one strict CSV file in the order of their keys, names always quoted."""
+    path = scratch_path(spark, name)
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), F.col("c_name"), F.lit('"')), F.coalesce("c_mktsegment", F.lit("")))
+    write_lines(table(spark, sf_dir, "customer").orderBy("c_custkey").select(line.alias("line")).coalesce(1), path)
+    return path
+
+
+@query(f"""
+    SELECT 'SUCCEEDED' AS status, CAST(n AS VARCHAR) AS "rows", '3' AS columns, CAST(strlen(body) AS VARCHAR) AS bytes, sha256(body) AS sha256
+    FROM ({CUSTOMER_LINES})""")
+def strict_csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = gates.profile(spark, customer_file(spark, sf_dir, "profile"), header=False).to_df(spark)
+    return result.select("status", *[F.col("metrics")[name].alias(name) for name in ("rows", "columns", "bytes", "sha256")])
+
+
+@query(f"""
+    SELECT 'FAILED' AS status, 'CSV quality failed: rows=' || n - 1 || ' is below minRows=' || n AS message, CAST(n - 1 AS VARCHAR) AS "rows",
+        CAST(strlen(body) AS VARCHAR) AS bytes, sha256(body) AS sha256, '0' AS duplicates FROM ({CUSTOMER_LINES})""")
+def strict_csv_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The first record counts as the header, so one row is missing.
+    path, count = customer_file(spark, sf_dir, "gate"), table(spark, sf_dir, "customer").count()
+    result = gates.quality_csv(spark, path, min_rows=count).to_df(spark)
+    metric = F.col("metrics")
+    return result.select("status", "message", metric["rows"].alias("rows"), metric["bytes"].alias("bytes"), metric["sha256"].alias("sha256"),
+                         metric["duplicateRows"].alias("duplicates"))
