@@ -14,8 +14,8 @@ def brute(rows, wanted, vocabulary, classes):
     counts = Counter(w for _, words in split for w in words if len(w) <= 64)
     known = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:vocabulary]
     own = set(known[:classes])
-    model = {}
-    for name, docs in (("b", split), ("t", [d for d in split if d[0] in wanted])):
+
+    def model(docs):
         one = Counter(w if w in known else None for _, words in docs for w in words)
         total = sum(one.values()) + ADDED * (len(known) + 1)
         p = {w: (one[w] + ADDED) / total for w in [*known, None]}
@@ -28,12 +28,14 @@ def brute(rows, wanted, vocabulary, classes):
                 pairs[before, kind] += 1
                 histories[before] += 1
                 before = kind
-        model[name] = (p, shared, pairs, histories)
+        return p, shared, pairs, histories
+
     out = []
     for key, words in split:
+        others = [d for d in split if d[1] != words]
         losses = []
-        for name in "tb":
-            p, shared, pairs, histories = model[name]
+        for docs in ([d for d in others if d[0] in wanted], others):
+            p, shared, pairs, histories = model(docs)
             loss, before = 0.0, "start"
             for w in words:
                 kind = w if w in own else "rest"
@@ -63,7 +65,7 @@ def test_losses_against_the_definition(spark, vocabulary, classes):
     got = sorted((tuple(r) for r in cross_entropy_difference(docs, ids, vocabulary=vocabulary, classes=classes).collect()), key=key_of)
     want = sorted(brute(rows, set(wanted), vocabulary, classes), key=key_of)
     assert [r[:2] for r in got] == [r[:2] for r in want]
-    assert all(math.isclose(a, b, rel_tol=1e-4, abs_tol=1e-5) for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
+    assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
 
 
 def test_wanted_kind_scores_lower_and_empty_tables(spark):
@@ -77,6 +79,13 @@ def test_wanted_kind_scores_lower_and_empty_tables(spark):
     assert cross_entropy_difference(docs, ids.limit(0)).count() == 80
 
 
+def counted(texts):
+    """Words, pairs and histories of texts."""
+    one = Counter(w for words in texts for w in words)
+    pairs = Counter(p for words in texts for p in zip([None, *words], words))
+    return one, pairs, Counter(h for words in texts for h in [None, *words][:len(words)])
+
+
 def test_all_words_and_pairs_have_counts_of_their_own(spark, monkeypatch):
     import tidegate.llm.lm_score as module
 
@@ -93,18 +102,48 @@ def test_all_words_and_pairs_have_counts_of_their_own(spark, monkeypatch):
     loss = {}
     for name in "tb":
         mine = [words for key, words in split if name == "b" or key in wanted]
-        one = Counter(w for words in mine for w in words)
-        pairs = Counter(p for words in mine for p in zip([None, *words], words))
-        before = Counter(h for words in mine for h in [None, *words][:len(words)])
-        total = sum(one.values()) + ADDED * size
+        one, pairs, before = counted(mine)
         for key, words in split:
-            each = [math.log((pairs[h, w] + UNIGRAMS * (one[w] + ADDED) / total) / (before[h] + UNIGRAMS)) for h, w in zip([None, *words], words)]
+            left = counted([some for some in mine if some == words])
+            total = sum(one.values()) - sum(left[0].values()) + ADDED * size
+            each = []
+            for h, w in zip([None, *words], words):
+                alone = (one[w] - left[0][w] + ADDED) / total
+                each.append(math.log((pairs[h, w] - left[1][h, w] + UNIGRAMS * alone) / (before[h] - left[2][h] + UNIGRAMS)))
             loss[key, name] = -sum(each) / max(1, len(words))
     for block in (2_000, 32_000_000):
         monkeypatch.setattr(module, "BLOCK", block, raising=False)
         monkeypatch.setattr(module, "SLICE", 1_000, raising=False)
+        monkeypatch.setattr(module, "RANGE", block // 8)
         got = cross_entropy_difference(docs, ids).collect()
         assert len(got) == len(rows)
         for r in got:
             assert math.isclose(r.target_loss, loss[r.doc_id, "t"], rel_tol=1e-9), r
             assert math.isclose(r.background_loss, loss[r.doc_id, "b"], rel_tol=1e-9), r
+
+
+def test_scores_tell_nothing_of_random_marks_and_twins_score_alike(spark):
+    chance = random.Random(4)
+    texts = [" ".join(f"w{chance.randrange(3000)}" for _ in range(80)) for _ in range(400)]
+    rows = list(enumerate(texts)) + [(1000 + i, f"  {texts[i].upper()} ") for i in range(10)]
+    wanted = set(chance.sample(range(400), 200)) - set(range(5)) | set(range(5, 10))
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], SCHEMA).repartition(3)
+    ids = spark.createDataFrame([(k,) for k in wanted], "doc_id LONG")
+    got = {r.doc_id: r.score for r in cross_entropy_difference(docs, ids).collect()}
+    marked = sorted(got[k] for k in range(10, 400) if k in wanted)
+    others = sorted(got[k] for k in range(10, 400) if k not in wanted)
+    # The share of pairs in which a wanted document scores lower would be 1 if its own counts were in.
+    lower = sum(a < b for a in marked for b in others) / (len(marked) * len(others))
+    assert 0.4 < lower < 0.6
+    assert all(math.isclose(got[i], got[1000 + i], rel_tol=1e-9) for i in range(10))
+
+
+def test_empty_texts_alone_and_one_very_long_text(spark):
+    rows = [(i, " " if i % 2 else None) for i in range(50)] + [(100, "a b " * 300_000), (101, "a b c")]
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], SCHEMA)
+    ids = spark.createDataFrame([(100,), (3,)], "doc_id LONG")
+    got = {r.doc_id: r for r in cross_entropy_difference(docs, ids).collect()}
+    assert len(got) == 52 and got[100].n_words == 600_000
+    assert all(got[k].score == got[k].n_words == 0 for k in range(50))
+    assert got[101].target_loss < got[100].target_loss
+    assert cross_entropy_difference(docs.filter("doc_id < 50"), ids).filter("score = 0").count() == 50
