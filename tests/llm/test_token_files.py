@@ -83,3 +83,15 @@ def test_empty_table_null_and_repeated_ids(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, None, 2, 2] and sum(r.n_tokens for r in got) == 7
     write_token_files(docs.limit(0), PATH, str(tmp_path / "none"))
     assert read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_files_stay_small_when_a_third_of_the_rows_are_equal(spark, tmp_path):
+    rows = [(7 if i % 3 == 0 else i, "the same words" if i % 3 == 0 else f"text {i} of some") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    target = str(tmp_path / "out")
+    write_token_files(docs, PATH, target, per_file=1000)
+    got = sorted(read_token_files(spark, target).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows) and [r.doc_id for r in got] == sorted(k for k, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "out" / "blocks").glob("part-*") if f.stat().st_size)
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,10 +170,10 @@ def restored(data: bytes, press) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, id_column: str, text_column: str, end: int) -> DataFrame:
-    """id, n, ids (squeezed, with the end id) of every text."""
+    """id, n, ids (squeezed, with the end id) and a number of its own of every text."""
 
     def run(batches):
-        tok, press = encoder(path), zstandard.ZstdCompressor(level=3)
+        tok, press, row = encoder(path), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 40
         last = np.array([end], dtype="<u4")
         for batch in batches:
             for part in slices(batch, "text"):
@@ -181,10 +182,12 @@ def encoded(docs: DataFrame, path: str, id_column: str, text_column: str, end: i
                     "id": part.column("id"),
                     "n": pa.array(list(map(len, ids)), pa.int64()),
                     "ids": pa.array([squeezed(found, press) for found in ids], pa.binary()),
+                    "row": pa.array(np.arange(row, row + len(ids))),
                 })
+                row += len(ids)
 
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, "id LONG, n LONG, ids BINARY")
+    return plain.mapInArrow(run, "id LONG, n LONG, ids BINARY, row LONG")
 
 
 def frequencies(found: DataFrame, vocabulary: int) -> np.ndarray:
@@ -226,7 +229,8 @@ def write_token_files(docs: DataFrame, path: str, target: str, *, id_column: str
         for data in blocks(documents, table):
             yield pa.RecordBatch.from_pydict({"block": pa.array([data], pa.binary())})
 
-    order = ["id", "tie"]
+    # The stored number lets equal rows go to different files.
+    order = ["id", "tie", "row"]
     dealt = found.withColumn("tie", F.xxhash64("ids")).repartitionByRange(max(1, -(-total // per_file)), *order).sortWithinPartitions(*order)
     dealt.select("id", "ids").mapInArrow(run, "block BINARY").select(F.col("block").cast("string")).write.text(f"{target}/blocks")
 
