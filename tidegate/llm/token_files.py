@@ -31,7 +31,7 @@ from .tokens import encoder, rows_of, slices
 
 END = 0
 BITS = 20
-LANES, BLOCK, CHECK = 512, 1 << 18, 256
+LANES, BLOCK, CHECK = 1024, 1 << 19, 256
 # Ids in a file. A reader holds one file, a writer one block and the document it is in.
 FILE = 1 << 22
 HEAD = struct.Struct("<4s9I")
