@@ -169,40 +169,37 @@ def restored(data: bytes, press) -> np.ndarray:
     return np.frombuffer(press.decompress(data[1:]), "<u4" if data[:1] == b"4" else "<u2").astype("<u4")
 
 
-def encoded(docs: DataFrame, path: str, id_column: str, text_column: str, end: int) -> DataFrame:
-    """id, n, ids (squeezed, with the end id) and a number of its own of every text."""
+def encoded(docs: DataFrame, path: str, id_column: str, text_column: str, end: int, vocabulary: int) -> DataFrame:
+    """id, n, ids (squeezed, with the end id) and a number of its own of every text; token, n of what a task has counted."""
 
     def run(batches):
+        counts = np.zeros(vocabulary, np.int64)
         tok, press, row = encoder(path), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 40
         last = np.array([end], dtype="<u4")
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [np.concatenate([found, last]) for found in tok.encode(part.column("text"))]
+                counts += np.bincount(np.concatenate(ids), minlength=vocabulary)
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column("id"),
                     "n": pa.array(list(map(len, ids)), pa.int64()),
                     "ids": pa.array([squeezed(found, press) for found in ids], pa.binary()),
                     "row": pa.array(np.arange(row, row + len(ids))),
+                    "token": pa.nulls(len(ids), pa.int32()),
                 })
                 row += len(ids)
+        used = np.flatnonzero(counts)
+        none = [pa.nulls(len(used), kind) for kind in (pa.int64(), pa.binary(), pa.int64())]
+        columns = [none[0], pa.array(counts[used]), none[1], none[2], pa.array(used, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "ids", "row", "token"])
 
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, "id LONG, n LONG, ids BINARY, row LONG")
+    return plain.mapInArrow(run, "id LONG, n LONG, ids BINARY, row LONG, token INT")
 
 
 def frequencies(found: DataFrame, vocabulary: int) -> np.ndarray:
     """Shared frequencies from the counts of all ids; ``vocabulary`` bounds what reaches the driver."""
-
-    def run(batches):
-        counts, press = np.zeros(vocabulary, np.int64), zstandard.ZstdDecompressor()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = [restored(data, press) for data in batch.column("ids").slice(start, 256).to_pylist()]
-                counts += np.bincount(np.concatenate(some), minlength=vocabulary)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"token": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
-
-    counted = found.select("ids").mapInArrow(run, "token INT, n LONG").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counted = found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(vocabulary, np.int64)
     counts[counted["token"]] = counted["n"]
     return shares(counts)
@@ -216,9 +213,9 @@ def write_token_files(docs: DataFrame, path: str, target: str, *, id_column: str
     table gives files without blocks. Other columns are ignored.
     """
     spark = docs.sparkSession
-    found = materialize(encoded(docs, path, id_column, text_column, end), "ids")
-    vocabulary = encoder(path).tok.get_vocab_size(with_added_tokens=True)
-    f = frequencies(found, max(vocabulary, end + 1))
+    vocabulary = max(encoder(path).tok.get_vocab_size(with_added_tokens=True), end + 1)
+    stored = materialize(encoded(docs, path, id_column, text_column, end, vocabulary), "ids")
+    f, found = frequencies(stored, vocabulary), stored.filter("token IS NULL")
     used = np.flatnonzero(f)
     spark.createDataFrame([(int(i), int(f[i])) for i in used], "id INT, frequency INT").coalesce(1).write.parquet(f"{target}/frequencies")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
