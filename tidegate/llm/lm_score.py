@@ -30,7 +30,7 @@ from .rows import SLICE
 from .tokens import rows_of, slices, stretches
 
 # Bytes of text in a block, of one row at least; a row counts as ROW bytes more.
-BLOCK, ROW = 32_000_000, 64
+BLOCK, ROW = 8_000_000, 64
 # Words of all texts for each range of keys.
 RANGE = 1 << 20
 # Weight of unigrams against a history's counts, and what is added to each word's count.
@@ -206,7 +206,8 @@ class Block:
         self.sharing = row[self.words] == REST
         one = row[self.before]
         pair = (one ^ (one >> np.uint64(29))) * _PRIME + row[self.words]
-        self.keys[PAIR], self.pairs = np.unique((pair ^ (pair >> np.uint64(32))) * _PRIME, return_inverse=True)
+        self.keys[PAIR], pairs = np.unique((pair ^ (pair >> np.uint64(32))) * _PRIME, return_inverse=True)
+        self.pairs = pairs.astype(np.int32)
 
     def spread(self, of_texts: np.ndarray) -> np.ndarray:
         """For each word, what is given for its text."""
@@ -226,9 +227,9 @@ class Block:
     def own(self, places: np.ndarray, texts: np.ndarray, kinds: int) -> np.ndarray:
         """For each word, how often what is at its place occurs in its text."""
         if not len(places):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32)
         _, inverse, counts = np.unique(texts * kinds + places, return_inverse=True, return_counts=True)
-        return counts[inverse]
+        return counts.astype(np.int32)[inverse]
 
 
 def cut(keys: np.ndarray, bits: int) -> Iterable[tuple[int, slice]]:
