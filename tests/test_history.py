@@ -1,15 +1,18 @@
 import datetime as dt
 import math
+import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate import scale
 from tidegate.functions import maps, text
 from tidegate.functions.sql import register_sql_functions
 from tidegate.functions.states import run_tone
 from tidegate.operators import alerts as rules
 from tidegate.operators import changes, costs, counters, latency, levels, mix, quality, ranges, runs
+from tidegate.scale import materialize
 from tidegate.sources import payloads
 
 T0 = dt.datetime(2026, 1, 1)
@@ -95,6 +98,37 @@ def test_graph(spark):
     assert place([("x", [])]) == {"x": (0, 0)}
 
 
+def test_graph_rounds(spark, monkeypatch):
+    writes = []
+
+    def write(df, name):
+        writes.append(name)
+        return materialize(df, name)
+
+    monkeypatch.setattr(scale, "materialize", write)
+    monkeypatch.setattr(levels, "materialize", write)
+    chain = spark.range(200).select(
+        F.col("id").cast("string"), F.array((F.col("id") + 1).cast("string")).alias("downstream"), F.col("id").alias("position"))
+    got = {row["id"]: row["level"] for row in levels.graph_levels(chain).collect()}
+    assert got == {str(number): number for number in range(200)}
+    assert len(writes) <= 20
+    # Trees, joins and a cycle, against the longest ways by hand.
+    chance = random.Random(5)
+    after = {str(n): [str(chance.randrange(n + 1, 60)) for _ in range(chance.choice([0, 1, 1, 2, 3]))] for n in range(59)} | {"59": []}
+    after["50"] = [*after["50"], "48"]
+    after["48"] = [*after["48"], "50"]
+    levels_of = dict.fromkeys(after, 0)
+    for _ in range(60):
+        levels_of = {n: max((levels_of[s] + 1 for s in after if n in after[s]), default=0) for n in after}
+    rows = [(name, targets, int(name)) for name, targets in after.items()]
+    found = levels.graph_levels(spark.createDataFrame(rows, "id string, downstream array<string>, position long"))
+    # A way that goes round the cycle is longer than any without one.
+    endless = {n for n in after if levels_of[n] >= 59 or n in ("48", "50")}
+    while more := {n for n in after if n not in endless and any(n in after[s] for s in endless)}:
+        endless |= more
+    assert {row["id"]: row["level"] for row in found.collect()} == {n: 0 if n in endless else level for n, level in levels_of.items()}
+
+
 def span(*events):
     keys = ("introduced", "fixed", "last_affected")
     return [{key: event.get(key) for key in keys} for event in events]
@@ -314,3 +348,39 @@ def test_limits_are_checked(spark):
 
     with pytest.raises(GateError, match="limit must be positive"):
         text.preview(F.lit("x"), 0)
+
+
+def test_ranges_of_a_busy_package(spark):
+    chance = random.Random(11)
+    numbers = [f"{major}.{minor}" for major in range(12) for minor in range(9)]
+    shapes = [("introduced",), ("introduced", "fixed"), ("introduced", "last_affected"), ("fixed", "introduced"),
+              ("introduced", "fixed", "introduced", "last_affected")]
+    rows = []
+    for number in range(60):
+        spans = [span(*[{kind: text} for kind, text in zip(shape, sorted(chance.sample(numbers, len(shape)), key=lambda v: [int(p) for p in v.split(".")]))])
+                 for shape in chance.choices(shapes, k=chance.randrange(3))]
+        rows.append((f"A{number % 50}", "gh", "busy", chance.sample(numbers, 2) if number % 5 == 0 else None, spans))
+    rows.append(("same", "gh", "busy", None, [span({"introduced": "3"}, {"fixed": "3"}), span({"last_affected": "4"}, {"introduced": "4"})]))
+    schema = f"id string, ecosystem string, name string, versions array<string>, ranges {ranges.RANGES}"
+    items = [(n, "gh", "busy", version) for n, version in enumerate(numbers * 2)] + [(900, "gh", "busy", None), (901, None, "busy", "3.1"), (902, "gh", None, "x")]
+    got = ranges.match_ranges(spark.createDataFrame(items, "n long, ecosystem string, name string, version string"), spark.createDataFrame(rows, schema))
+    want = sorted({(n, advisory) for n, _, _, version in items[:-3] for advisory, _, _, listed, spans in rows
+                   if version in (listed or []) or plainly(version, spans)})
+    assert sorted((row["n"], row["advisory"]) for row in got.collect()) == want
+
+
+def test_pieces_grow_by_the_logarithm(spark):
+    """A package with 20,000 releases and 2,000 spans, endless ones included: lookups, pieces and pairs stay close to the hits."""
+    releases = spark.range(20000).select(F.lit("gh").alias("ecosystem"), F.lit("p").alias("__name"), F.array(F.col("id").cast("decimal(38,0)")).alias("at"))
+    at = lambda number: F.array(number.cast("decimal(38,0)"))
+    spans = spark.range(2000).select(
+        F.lit("gh").alias("ecosystem"), F.lit("p").alias("__name"), F.col("id").cast("string").alias("advisory"),
+        at(F.when(F.col("id") < 5, F.col("id") * 3000).otherwise(F.col("id") * 9)).alias("low"), F.lit(False).alias("low_open"),
+        F.when(F.col("id") >= 5, at(F.col("id") * 9 + 4)).alias("high"), F.lit(True).alias("high_open"))
+    hits = ranges.span_hits(releases, spans)
+    assert hits.count() == 1995 * 4 + sum(20000 - 3000 * number for number in range(5))
+    places = spark.range(1).select(F.explode(ranges.dyadic(F.lit(3).cast("long"), F.lit(40_000_000_000).cast("long"))).alias("piece")).select("piece.*")
+    pieces = [(row["number"] << row["level"], 1 << row["level"]) for row in places.collect()]
+    assert len(pieces) <= 72 and sum(length for _, length in pieces) == 40_000_000_000 - 2
+    ends = sorted(pieces)
+    assert ends[0][0] == 3 and all(a + length == b for (a, length), (b, _) in zip(ends, ends[1:]))

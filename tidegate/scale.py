@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # How many pieces a key is split into before rows of one key meet in one task.
@@ -36,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_measured(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows taken while they are written."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *measures), name)
+    return written, seen.get
+
+
 def salt(columns: list[str], salts: int = SALTS) -> Column:
     """A piece number that is the same on every retry of a task."""
     return F.pmod(F.xxhash64(*[F.col(name) for name in columns]), F.lit(salts))
