@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegate.operators import quality as gates
 from tidegate.plans.registry import query, table
 from tidegate.scale import scratch_path
-from tidegate.results import GateError
+from tidegate.results import JOB_ERRORS, GateError
 from tidegate.sources.checks import checksums, file_heads, first_bad_bytes, undecodable
 from tidegate.sources.publish import (
     complete_count, convert_and_verify, csv_to_parquet, log_result, publish, read_results, row_count, write_csv_rfc4180, write_dataset, write_lines,
@@ -19,6 +19,7 @@ from tidegate.sources.options import allow_charset
 from tidegate.sources.readers import file_inventory, raw_lines, read_csv_strict, read_dataset, storage_footprint
 from tidegate.functions.sql import register_strict_csv
 from tidegate.sources.strict_csv import read_csv_rfc4180, records, rectangular
+from tidegate.sources.versions import commit, read_version, upsert
 
 # The given tables and how many columns they have.
 WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
@@ -391,7 +392,6 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query("""
     SELECT c.c_mktsegment AS segment, count(*) AS customers, sum(length(c.c_name))::BIGINT AS letters, min(n.n_name) AS first_nation
     FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1""")
@@ -437,3 +437,68 @@ def strict_csv_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     metric = F.col("metrics")
     return result.select("status", "message", metric["rows"].alias("rows"), metric["bytes"].alias("bytes"), metric["sha256"].alias("sha256"),
                          metric["duplicateRows"].alias("duplicates"))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def headerless_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    path = _csv(parts, "headerless", header="false")
+    return read_csv_strict(spark, path, header=False, schema="p_partkey BIGINT, p_name STRING, p_size INT", multi_line=False)
+
+
+@query("""
+    SELECT 'no files' AS case, 'FAILED' AS status, 'input contains no data files (Spark skips names starting with _ or .)' AS message
+    UNION ALL SELECT 'foreign mark', 'FAILED', 'input is not valid GBK: 1 file(s) start with the UTF-8 byte order mark, the first is a file; '
+        || 'set encoding to UTF-8'
+    UNION ALL SELECT 'undecodable', 'FAILED', 'input is not valid UTF-8: ' || (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0)
+        || ' line(s) cannot be decoded, the first in a file; set encoding to the charset the data was written in'
+    UNION ALL SELECT 'other count', 'FAILED', 'Expected 3 rows but found ' || (SELECT count(*) FROM customer)""")
+def refused_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    hidden, marked = scratch_path(spark, "hidden"), scratch_path(spark, "marked")
+    write_lines(customers.select("c_name"), f"{hidden}/_part")
+    first = F.when(F.col("c_custkey") == customers.agg(F.min("c_custkey")).first()[0], F.lit("\ufeff")).otherwise("")
+    write_lines(customers.orderBy("c_custkey").select(F.concat(first, "c_name").alias("line")).coalesce(1), marked)
+    accents = F.when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit("\u00e9"))).otherwise(F.col("c_name"))
+    latin = _csv(customers.select(accents.alias("name")), "latin", encoding="ISO-8859-1")
+    plain = _csv(customers.select("c_name"), "plain")
+    cases = {
+        "no files": row_count(spark, hidden, "csv", schema="name STRING"),
+        "foreign mark": row_count(spark, marked, "csv", schema="name STRING", header=False, encoding="GBK"),
+        "undecodable": row_count(spark, latin, "csv", schema="name STRING"),
+        "other count": row_count(spark, plain, "csv", 3, schema="c_name STRING"),
+    }
+    message = F.regexp_replace("message", "the first (is|in) [^;]+", "the first $1 a file")
+    return reduce(DataFrame.unionByName, [
+        result.to_df(spark).select(F.lit(case).alias("case"), "status", message.alias("message")) for case, result in cases.items()])
+
+
+@query("SELECT s_name AS name FROM supplier")
+def failed_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after an overwrite and an append that broke on some rows: the output before."""
+    path = scratch_path(spark, "survivor")
+    publish(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), path)
+    broken = F.when(F.col("c_custkey") % 100 == 7, F.raise_error(F.lit("broken row")).cast("string")).otherwise(F.col("c_name"))
+    for mode in ("overwrite", "append"):
+        try:
+            publish(table(spark, sf_dir, "customer").select(broken.alias("name")), path, mode)
+        except JOB_ERRORS:
+            continue
+        raise ValueError("a broken table was published")
+    return read_dataset(spark, "parquet", path)
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 100 IN (7, 9) THEN 'X' ELSE o_orderstatus END AS status,
+           o_totalprice + CASE WHEN o_orderkey % 100 IN (7, 9) THEN 1 ELSE 0 END AS price
+    FROM orders WHERE o_orderkey % 50 <> 7 OR o_orderkey % 100 = 7""")
+def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table committed without some orders; one upsert adds half of them, changes others and brings stale rows."""
+    root, key = scratch_path(spark, "orders-versions"), F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    dated = orders.withColumn("written", F.lit(1))
+    commit(dated.filter(key % 50 != 7), root, ["o_orderkey"])
+    new = dated.filter((key % 100).isin(7, 9)).withColumns({"status": F.lit("X"), "price": F.col("price") + 1, "written": F.lit(2)})
+    stale = dated.filter(key % 100 == 11).withColumns({"status": F.lit("stale"), "written": F.lit(0)})
+    upsert(new.unionByName(stale), root, ["written"])
+    return read_version(spark, root).drop("written")

@@ -594,3 +594,67 @@ def payload_active_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     answers = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
     return payloads.active_tasks(answers, "body").select("o_orderkey", "task_id", "map_index", "state")
+
+
+@query("""
+    SELECT c_custkey, 0 AS position, 'pool' || c_custkey AS name, c_nationkey AS slots, c_nationkey % 3 AS running, 0 AS queued,
+           CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS scheduled, 0 AS deferred, c_nationkey - c_nationkey % 3 AS open FROM customer
+    UNION ALL SELECT c_custkey, 1, '', 0, 0, 0, 0, 7, 0 FROM customer""")
+def payload_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.col("c_nationkey")
+    first = F.to_json(F.struct(
+        F.concat(F.lit("pool"), F.col("c_custkey").cast("string")).alias("name"), nation.alias("slots"), (nation % 3).alias("running_slots"),
+        F.when(F.col("c_custkey") % 2 == 0, 2).alias("scheduled_slots"), (nation - nation % 3).alias("open_slots"),
+    ))
+    body = F.format_string('{"pools": [%s, {"deferred_slots": 7, "slots": null}], "total_entries": 2}', first)
+    return payloads.pools(table(spark, sf_dir, "customer").select("c_custkey", body.alias("body")), "body")
+
+
+@query("""
+    SELECT event_id, position, event_id * 2 AS id, 'dags/' || event_type || '.py' AS filename,
+           CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS micros, 'line 1' || chr(10) || user_id AS stack_trace
+    FROM events, (SELECT 0 AS position) WHERE event_type = 'error'
+    UNION ALL SELECT event_id, 1, 0, '', NULL, '' FROM events WHERE event_type = 'error'""")
+def payload_import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.when(F.col("event_id") % 5 == 0, "never").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    first = F.to_json(F.struct(
+        (F.col("event_id") * 2).alias("import_error_id"), F.format_string("dags/%s.py", "event_type").alias("filename"),
+        stamp.alias("timestamp"), F.format_string("line 1\n%d", "user_id").alias("stack_trace"),
+    ))
+    listed = F.format_string('{"import_errors": [%s, {"filename": null}]}', first)
+    # An answer without the array, or one that is no JSON, has no rows.
+    body = F.when(F.col("event_type") == "error", listed).when(F.col("event_type") == "view", '{"detail": "forbidden"}').otherwise("<html>")
+    rows = payloads.import_errors(table(spark, sf_dir, "events").select("event_id", body.alias("body")), "body")
+    return rows.select("event_id", "position", "id", "filename", F.unix_micros("timestamp").alias("micros"), "stack_trace")
+
+
+@query("""
+    SELECT o_orderkey, 0 AS position, 'load' || o_orderkey AS task_id, 'load' || o_orderkey AS task_display_name,
+           'check,' || o_orderstatus AS downstream, o_orderpriority AS operator_name FROM orders
+    UNION ALL SELECT o_orderkey, 1, 'check', 'Check "all"', '', '' FROM orders""")
+def payload_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.to_json(F.struct(
+        F.concat(F.lit("load"), F.col("o_orderkey").cast("string")).alias("task_id"), F.col("o_orderpriority").alias("operator_name"),
+        F.array(F.lit("check"), F.col("o_orderstatus")).alias("downstream_task_ids"),
+    ))
+    body = F.format_string('{"tasks": [%s, {"task_id": "check", "task_display_name": "Check \\"all\\""}]}', first)
+    rows = payloads.pipeline_tasks(table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body")), "body")
+    return rows.withColumn("downstream", F.array_join("downstream", ","))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, 't' || l_linenumber AS task_id, CASE WHEN l_linenumber > 3 THEN l_linenumber ELSE -1 END AS map_index,
+           CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'success' END AS state, l_linenumber AS try_number, 0 AS max_tries,
+           CAST(l_quantity * 1000 AS BIGINT) AS duration_ms, CASE WHEN l_linenumber % 2 = 0 THEN 'Bash' ELSE 'Python' END AS operator
+    FROM lineitem""")
+def payload_task_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    body = F.to_json(F.struct(F.array(F.struct(
+        F.concat(F.lit("t"), number.cast("string")).alias("task_id"), F.when(number > 3, number).alias("map_index"),
+        F.when(flag == "R", "failed").when(flag == "A", "success").alias("state"), number.alias("try_number"),
+        F.col("l_quantity").alias("duration"), F.when(number % 2 == 0, "").otherwise("Python").alias("operator_name"),
+        F.lit("Bash").alias("operator"),
+    )).alias("task_instances")))
+    answers = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", body.alias("body"))
+    rows = payloads.task_instances(answers, "body")
+    return rows.select("l_orderkey", "l_linenumber", "task_id", "map_index", "state", "try_number", "max_tries", "duration_ms", "operator")
