@@ -133,3 +133,18 @@ def test_pairs_are_found_though_nothing_was_proposed(spark, monkeypatch, few):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "other words")]
     docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], SCHEMA)
     assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == brute(rows, 5, 80)
+
+
+def test_heads_of_large_and_small_components(spark):
+    """Nodes 0-199 are one component, 200-203 another, 204 is alone; the smallest class heads each, ties by digest."""
+    of = {node: 0 if node < 200 else 200 for node in range(204)}
+    rows = [(f"{(node * 37) % 205:03d}".encode(), 500 - node // 2, node) for node in range(205)]
+    classes = spark.createDataFrame(rows, "digest binary, class long, node long")
+    found = spark.createDataFrame(list(of.items()), "id long, component long")
+    groups = {node: of.get(node, node) for node in range(205)}
+    least = {g: min((c, d) for d, c, node in rows if groups[node] == g) for g in set(groups.values())}
+    want = {d: least[groups[node]] for d, _, node in rows}
+    got = {bytes(row["digest"]): (row["head"]["class"], bytes(row["head"]["digest"])) for row in minhash.headed(classes, found).collect()}
+    assert got == want
+    alone = minhash.headed(classes, None).collect()
+    assert {bytes(row["digest"]): row["head"]["class"] for row in alone} == {d: c for d, c, _ in rows}

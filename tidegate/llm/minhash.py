@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import materialize
+from ..scale import SALTS, materialize
 from .components import components
 from .groups import by_group
 from .tokens import rows_of, stretches
@@ -254,12 +254,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         more = rest_links(apart, before, nodes, texts, done, width, percent)
         found = components(more if links is None else links.unionByName(more))
 
-    labels = classes
-    if found is not None:
-        labels = classes.join(found.withColumnRenamed("id", "node"), "node", "left")
-    labels = labels.withColumn("component", F.coalesce("component", "node") if found is not None else F.col("node"))
-    heads = labels.groupBy("component").agg(F.min(F.struct("class", "digest")).alias("head"))
-    labels = labels.join(heads, "component").select("digest", "head")
+    labels = headed(classes, found)
     joined = sketched.select("id", "digest", "n").join(labels, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("head.class", "id"))
     chosen = (F.col("id") == F.col("head.class")) & (F.col("digest") == F.col("head.digest"))
@@ -277,6 +272,29 @@ def digest_of_words(text: Column) -> Column:
     return F.when(F.size(words) > 0, F.unhex(F.sha2(F.concat_ws(" ", words), 256)))
 
 
+def headed(classes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(digest, head): the smallest class and digest of each class's component."""
+    head = F.struct("class", "digest").alias("head")
+    if found is None:
+        return classes.select("digest", head)
+    known = classes.join(found.withColumnRenamed("id", "node"), "node", "left")
+    alone = known.filter("component IS NULL").select("digest", head)
+    grouped = known.filter("component IS NOT NULL").select("node", "digest", "class", "component")
+    heads = materialize(grouped.groupBy("component").agg(F.min(head).alias("head"), F.count("node").alias("members")), "heads")
+    crowded = heads.filter(F.col("members") > FEW).select("component", "head")
+    # Only classes of small components are left for the join by component alone.
+    labels = materialize(dealt_join(grouped, crowded, "node", "left").select("digest", "component", "head"), "labels")
+    rest = labels.filter("head IS NULL").drop("head").join(heads.filter(F.col("members") <= FEW), "component")
+    return alone.unionByName(labels.filter("head IS NOT NULL").drop("component")).unionByName(rest.select("digest", "head"))
+
+
+def dealt_join(rows: DataFrame, large: DataFrame, piece: str, how: str = "inner") -> DataFrame:
+    """Joins rows to large components, few against the rows: each is split into SALTS pieces by a hash of ``piece``."""
+    dealt = rows.withColumn("__piece", F.pmod(F.xxhash64(piece), F.lit(SALTS)))
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return dealt.join(large.withColumn("__piece", pieces), ["component", "__piece"], how).drop("__piece")
+
+
 def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return rows.withColumn("component", F.col("id"))
@@ -348,7 +366,8 @@ def rest_links(apart: DataFrame, found: DataFrame, nodes: DataFrame, texts: Data
     meet hosts and each other, hosts don't meet. Large buckets without a large component have guests only.
     """
     large = found.groupBy("component").agg(F.count("id").alias("hosts")).filter(F.col("hosts") > FEW)
-    present = apart.join(large.select("component"), "component").select("key", F.col("component").alias("group")).distinct()
+    held = apart.select("key", "component").distinct()
+    present = dealt_join(held, large.select("component"), "key").select("key", F.col("component").alias("group"))
     visits = apart.join(present, "key").filter("component <> group").select(F.lit(0).alias("kind"), "group", "id", "component").distinct()
     others = apart.join(present.select("key").distinct(), "key", "left_anti")
     crowds = others.filter(F.col("size") > FEW).select(F.lit(1).alias("kind"), F.col("key").alias("group"), "id", "component")
@@ -367,7 +386,7 @@ def rest_links(apart: DataFrame, found: DataFrame, nodes: DataFrame, texts: Data
     block, other = F.col("block"), F.col("other")
     own = meeting(guest.withColumn("other", each("g")), 0, F.least(block, other), F.greatest(block, other), block)
     met = meeting(guest.filter("h > 0").withColumn("other", each("h")), 1, other, block, F.lit(-1))
-    hosts = found.join(sizes.filter("kind = 0").withColumnRenamed("group", "component"), "component")
+    hosts = dealt_join(found, sizes.filter("kind = 0").withColumnRenamed("group", "component"), "id")
     hosts = hosts.withColumn("group", F.col("component")).withColumn("block", number("h")).withColumn("other", each("g"))
     host = meeting(hosts, 1, block, other, F.lit(-2))
     group = ["kind", "group", "meet", "x", "y"]
