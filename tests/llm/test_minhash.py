@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate.llm import minhash
 from tidegate.llm.components import components
 from tidegate.llm.minhash import FACTORS, MINIMA, digest_of_words, least_matches, minima, near_duplicates, packed, shingle_set, similar, words_of
 
