@@ -33,6 +33,57 @@ def test_lives_of_runs(spark, tmp_path):
     assert four == [(1, "running"), (2, "unfinished"), (3, "late")]
 
 
+def lives_by_definition(rows, mark, timeout):
+    """Status, begin and end of each run of (run, kind, time), when the watermark has come to ``mark``."""
+    begins, ends = {}, {}
+    for run_id, kind, ts in rows:
+        firsts = begins if kind == "begin" else ends
+        firsts[run_id] = min(firsts.get(run_id, ts), ts)
+    found = {}
+    for run_id, began in begins.items():
+        ended = ends.get(run_id)
+        ended = ended if ended is not None and ended >= began else None
+        status = "unfinished" if began + timeout < mark else "running"
+        if ended is not None:
+            status = "finished" if ended <= began + timeout else "late"
+        length = None if ended is None else (ended - began) // dt.timedelta(milliseconds=1)
+        found[str(run_id)] = (status, began, ended, length)
+    return found
+
+
+def test_states_are_few_for_many_runs(spark, tmp_path):
+    chance = random.Random(7)
+    rows = []
+    for run_id in range(3000):
+        began = T0 + dt.timedelta(seconds=chance.randrange(6 * 3600))
+        rows.append((run_id, "begin", began))
+        if run_id % 3:
+            rows.append((run_id, "end", began + dt.timedelta(seconds=chance.randrange(-300, 3600))))
+    rows.sort(key=lambda row: row[2])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        source = Source(spark, tmp_path / "in", "run_id long, kind string, ts timestamp")
+        # Every fifth row of the last eight minutes before a file's end comes with the next one.
+        cuts, arrivals = [at(100), at(200), at(300)], [[], [], [], []]
+        for number, row in enumerate(rows):
+            arrivals[sum(row[2] + dt.timedelta(minutes=8 * (number % 5 == 0)) >= cut for cut in cuts)].append(row)
+        for arrival in arrivals:
+            source.add(arrival)
+        source.add([(5000, "begin", None), (None, "begin", at(3)), (9000, "begin", at(500))])
+        out = str(tmp_path / "lives")
+        writer = machines.run_lives(source.stream()).writeStream.format("parquet").option("checkpointLocation", out + "-progress")
+        query = writer.trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        got = newest(spark.read.parquet(out))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == lives_by_definition([*rows, (9000, "begin", at(500))], at(490), dt.timedelta(minutes=30))
+    assert {status for status, *_ in got.values()} == {"finished", "late", "unfinished", "running"}
+    # A call to the state store for each run took most of the time.
+    assert max(operator["numRowsTotal"] for p in query.recentProgress for operator in p["stateOperators"]) < 1500
+
+
 def brute(rows, within):
     """(start of the hour -> rows, duplicates): each row but the first of a chain has an equal one at most ``within`` before."""
     counts, last = {}, {}

@@ -1,7 +1,7 @@
-"""Streams with a small state per key: the life of a run, and copies of a row across windows.
+"""Streams with a small state per key: the lives of a piece of all runs, and copies of a row across windows.
 
 Both need the state store that holds state outside of the JVM's heap (RocksDB); ``stateful`` sets it for the session. A
-state is one value of bounded size, and event-time timers clear it.
+state is one value that grows only with what is open at a time, and event-time timers clear it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from tidegate.functions.text import is_blank
 from tidegate.operators.quality import cell_texts, row_digest
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LIVES = "run STRING, version INT, status STRING, started_at TIMESTAMP, ended_at TIMESTAMP, duration_ms LONG"
+LIVES = "run STRING, version INT, status STRING, started LONG, ended LONG"
+# What a state holds of each run, and the pieces over which runs are dealt.
+LIFE = {"runs": "STRING", "versions": "INT", "statuses": "STRING", "started": "LONG", "ended": "LONG", "due": "LONG"}
+PIECES = 1024
 
 
 def stateful(spark: SparkSession) -> None:
@@ -33,75 +36,114 @@ def _time(micros: int | None):
     return pd.NaT if micros is None else pd.Timestamp(micros * 1000)
 
 
-class _Life(StatefulProcessor):
-    """running -> finished, or running -> unfinished when the timeout passes -> late when an end comes after all."""
+class _Lives(StatefulProcessor):
+    """The runs of one piece, each running -> finished, or running -> unfinished when the timeout passes -> late when an end
+    comes after all. A call handles all runs of the piece that a batch has rows for; one timer stands at the first time
+    (milliseconds) at which one of its runs is due.
+    """
 
     def __init__(self, timeout: int, keep: int):
         self.timeout, self.keep = timeout, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("life", "version INT, status STRING, started LONG, ended LONG")
+        self.state = handle.getValueState("lives", ", ".join(f"{name} ARRAY<{kind}>" for name, kind in LIFE.items()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, status, started, ended = self.state.get() if self.state.exists() else (0, None, None, None)
-        before = status, started, self.real(started, ended)
+        lives, read, out = self.held(), {}, []
+        timer = self.first_due(lives)
         for part in rows:
-            for kind, at in zip(part["kind"], part["at"]):
-                at = _micros(at)
-                if kind == "begin":
-                    started = at if started is None else min(started, at)
-                else:
-                    ended = at if ended is None else min(ended, at)
-        real = self.real(started, ended)
-        if real is not None:
-            status = "finished" if real <= started + self.timeout else "late"
-        elif started is not None and status is None:
-            status = "running"
-        now = status, started, real
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wait = started + self.timeout if status == "running" else max(x for x in (started, ended) if x is not None) + self.keep
-        self.handle.registerTimer(wait // 1000 + 1)
-        if status is not None and now != before:
-            version += 1
-            yield self.row(key, version, *now)
-        self.state.update((version, status, started, ended))
+            for run, kind, at in zip(part["run"].tolist(), part["kind"].tolist(), part["micros"].tolist()):
+                times = read.setdefault(run, [None, None])
+                times[kind == "end"] = earlier(times[kind == "end"], at)
+        for run, (begin, end) in read.items():
+            version, status, started, ended, _ = lives.get(run, (0, None, None, None, None))
+            before = status, started, self.real(started, ended)
+            started, ended = earlier(started, begin), earlier(ended, end)
+            real = self.real(started, ended)
+            if real is not None:
+                status = "finished" if real <= started + self.timeout else "late"
+            elif started is not None and status is None:
+                status = "running"
+            now = status, started, real
+            wait = started + self.timeout if status == "running" else max(x for x in (started, ended) if x is not None) + self.keep
+            if status is not None and now != before:
+                version += 1
+                out.append((run, version, *now))
+            lives[run] = version, status, started, ended, wait // 1000 + 1
+        self.hold(lives, timer)
+        yield self.table(out)
 
     def real(self, started: int | None, ended: int | None) -> int | None:
         """The end of the run; one that is read before its begin waits for it, one before it in time is another run's."""
         return None if ended is None or started is None or ended < started else ended
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        version, status, started, ended = self.state.get()
-        if status != "running":
+        lives, out = self.held(), []
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for run, (version, status, started, ended, due) in list(lives.items()):
+            if due > passed:
+                continue
+            if status == "running":
+                # Kept for a late end until as much time again has passed.
+                lives[run] = version + 1, "unfinished", started, ended, due + self.keep // 1000
+                out.append((run, version + 1, "unfinished", started, None))
+            else:
+                del lives[run]
+        self.hold(lives, None)
+        yield self.table(out)
+
+    def held(self) -> dict[str, tuple]:
+        """(version, status, started, ended, due) of each run."""
+        runs, *life = self.state.get() if self.state.exists() else [[]] * len(LIFE)
+        return dict(zip(runs, zip(*life)))
+
+    def hold(self, lives: dict[str, tuple], timer: int | None) -> None:
+        """Stores the runs; ``timer`` is the one that stands."""
+        due = self.first_due(lives)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if not lives:
             self.state.clear()
             return
-        # Kept for a late end until as much time again has passed.
-        self.state.update((version + 1, "unfinished", started, ended))
-        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep // 1000)
-        yield self.row(key, version + 1, "unfinished", started, None)
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update((list(lives), *map(list, zip(*lives.values()))))
 
-    def row(self, key, version, status, started, ended) -> pd.DataFrame:
-        length = None if ended is None else ended // 1000 - started // 1000
-        return pd.DataFrame({
-            "run": [key[0]], "version": pd.array([version], "int32"), "status": [status], "started_at": [_time(started)], "ended_at": [_time(ended)],
-            "duration_ms": pd.array([length], "Int64"),
-        })
+    def first_due(self, lives: dict[str, tuple]) -> int | None:
+        return min((due for *_, due in lives.values()), default=None)
+
+    def table(self, rows: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(rows, columns=["run", "version", "status", "started", "ended"], dtype=object)
+        return found.astype({"version": "int32", "started": "Int64", "ended": "Int64"})
+
+
+def earlier(a: int | None, b: int | None) -> int | None:
+    """The smaller one of those that there are."""
+    return b if a is None else a if b is None else min(a, b)
 
 
 def run_lives(events: DataFrame, *, run: str = "run_id", kind: str = "kind", at: str = "ts", timeout_minutes: int = 30, keep_minutes: int = 1440,
-              delay: str = "10 minutes") -> DataFrame:
+              delay: str = "10 minutes", pieces: int = PIECES) -> DataFrame:
     """(run, version, status, started_at, ended_at, duration_ms): every change in the life of each run; the last version holds.
 
     A run is running from its first begin. With an end within the timeout it is finished; when the watermark passes the
     timeout it is unfinished; an end that comes later corrects it to late. Ends may be read before their begins; of
-    several the first counts. A state is forgotten ``keep_minutes`` after its last change.
+    several the first counts. A state is forgotten ``keep_minutes`` after its last change. Rows without a run or a time
+    are ignored.
+
+    Runs are dealt by hash over ``pieces``, and a state holds the runs of one piece that aren't forgotten: a call to the
+    state store costs more than a run. A checkpoint holds for one number of pieces.
     """
     stateful(events.sparkSession)
-    plain = events.select(F.col(run).cast("string").alias("run"), F.col(kind).alias("kind"), F.col(at).alias("at")).filter("kind IN ('begin', 'end') AND run IS NOT NULL")
-    machine = _Life(timeout_minutes * 60_000_000, keep_minutes * 60_000_000)
-    return plain.withWatermark("at", delay).groupBy("run").transformWithStateInPandas(machine, LIVES, "Append", "EventTime")
+    named = events.select(F.col(run).cast("string").alias("run"), F.col(kind).alias("kind"), F.col(at).alias("at"))
+    plain = named.filter("kind IN ('begin', 'end') AND run IS NOT NULL AND at IS NOT NULL").withColumns({
+        "micros": F.unix_micros(F.col("at").cast("timestamp")), "piece": F.pmod(F.xxhash64("run"), F.lit(pieces))})
+    machine = _Lives(timeout_minutes * 60_000_000, keep_minutes * 60_000_000)
+    lives = plain.withWatermark("at", delay).groupBy("piece").transformWithStateInPandas(machine, LIVES, "Append", "EventTime")
+    started, ended = F.timestamp_micros("started"), F.timestamp_micros("ended")
+    return lives.select("run", "version", "status", started.alias("started_at"), ended.alias("ended_at"),
+                        (F.unix_millis(ended) - F.unix_millis(started)).alias("duration_ms"))
 
 
 COPIES = "at TIMESTAMP, n LONG, blanks LONG, copies LONG"
