@@ -27,6 +27,31 @@ def test_ids_and_counts_are_those_of_the_library(texts):
             assert counter.count(text) == len(want)
 
 
+class Seen:
+    """A tokenizer that notes the length of what it gets in each call."""
+
+    def __init__(self, tok):
+        self.tok, self.calls = tok, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls.append(sum(map(len, texts)))
+        return self.tok.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_to_the_library_once_and_in_small_calls():
+    tok, mine = tokenizer(PATH), Encoder(PATH)
+    mine.tok = seen = Seen(mine.tok)
+    texts = ["a " + " ".join(f"w{i * j}x," for i in range(6000)) + end for j, end in ((1, ""), (7, "  b \n "), (1, " "))]
+    for text, ids in zip(texts, mine.encode(pa.array(texts))):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    # A call of 100,000 characters took half as long again as 25 of 4,000.
+    assert max(seen.calls) < 5000 and sum(seen.calls) > 80_000
+    seen.calls.clear()
+    for text, ids in zip(texts, mine.encode(pa.array(texts))):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert sum(seen.calls) < 10
+
+
 def test_another_kind_of_tokenizer_is_used_as_it_is():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, mine = tokenizer(path), Encoder(path)

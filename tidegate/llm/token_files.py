@@ -67,16 +67,20 @@ def encode_ids(ids: np.ndarray, table: Table, lanes: int = LANES, check: int = C
     """(checkpoints, words, number of checkpoints, number of words) of one block."""
     state = np.full(lanes, LOW, np.uint64)
     f, start = table.f[ids], table.start[ids]
-    limit = f << np.uint64(63 - BITS)
+    limit, rest = f << np.uint64(63 - BITS), np.uint64(1 << BITS) - f
     parts, points = [], []
     for step in range(-(-len(ids) // lanes) - 1, -1, -1):
         here = slice(step * lanes, min((step + 1) * lanes, len(ids)))
-        x, freq = state[:here.stop - here.start], f[here]
-        full = x >= limit[here]
-        parts.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-        x = np.where(full, x >> WORD, x)
-        high = x // freq
-        state[:len(x)] = (high << SHIFT) + (x - high * freq) + start[here]
+        x = state[:here.stop - here.start]
+        full = np.flatnonzero(x >= limit[here])
+        moved = x[full]
+        parts.append(moved.astype("<u4"))
+        x[full] = moved >> WORD
+        # (high << BITS) + x % f + start
+        high = x // f[here]
+        high *= rest[here]
+        x += high
+        x += start[here]
         if step % check == 0:
             points.append((step, state.copy()))
     parts.reverse()
@@ -99,13 +103,16 @@ def decode_ids(n: int, table: Table, marks: bytes, words: bytes, lanes: int, che
     for first in range(0, len(out), lanes):
         x = state[:min(lanes, len(out) - first)]
         slot = x & MASK
-        ids = table.slots[slot]
+        ids = table.slots[slot.view(np.int64)]
         out[first:first + len(x)] = ids
-        x = table.f[ids] * (x >> SHIFT) + slot - table.start[ids]
+        ids = ids.astype(np.intp)
+        x >>= SHIFT
+        x *= table.f[ids]
+        x += slot
+        x -= table.start[ids]
         low = np.flatnonzero(x < LOW)
         x[low] = (x[low] << WORD) | stream[at:at + len(low)]
         at += len(low)
-        state[:len(x)] = x
     if at != len(stream) or not (state == LOW).all():
         raise ValueError("a block doesn't end where its ids do")
     return out
