@@ -86,6 +86,35 @@ def test_components_of_long_chains_and_hubs(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_links_that_fit_a_task_need_no_round(spark, monkeypatch):
+    import tidegate.llm.components as module
+
+    written, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(name) or write(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(500)], "a LONG, b LONG").repartition(7)
+    assert {(r.id, r.component) for r in components(links).collect()} == {(i, 0) for i in range(501)}
+    assert written == ["links", "forests"]
+
+
+@pytest.mark.parametrize("task, held", [(20, 30), (60, 1000), (5000, 40)])
+def test_components_of_more_links_than_a_task_holds(spark, monkeypatch, task, held):
+    import tidegate.llm.components as module
+
+    monkeypatch.setattr(module, "TASK", task)
+    monkeypatch.setattr(module, "HELD", held)
+    chance = random.Random(task)
+    nodes = chance.sample(range(10_000), 700)
+    links = [*zip(nodes[:150], nodes[1:151]), *((nodes[200], x) for x in nodes[201:400]), *(tuple(chance.sample(nodes[400:], 2)) for _ in range(140))]
+    links += [(b, a) for a, b in links[:50]] + [(7, 7)]
+    root = {x: x for pair in links[:-1] for x in pair}
+    for _ in root:
+        for a, b in links[:-1]:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(links, "a LONG, b LONG").repartition(6)
+    got = components(frame).collect()
+    assert len(got) == len(root) and {r.id: r.component for r in got} == root
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     import tidegate.llm.minhash as module
 

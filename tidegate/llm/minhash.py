@@ -221,9 +221,11 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sketched = materialize(sketches(plain, width), "sketches")
     linked = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
-    classes = linked.groupBy("digest").agg(F.min("id").alias("class")).withColumn("node", F.monotonically_increasing_id())
-    classes = materialize(classes, "classes")
-    own = linked.join(classes, "digest").filter("id = class").dropDuplicates(["digest"]).drop("id").withColumnRenamed("node", "id")
+    # Copies are combined before the shuffle: they differ in their ids only.
+    least = linked.groupBy("digest").agg(F.min(F.struct("id", "n", *SIGNATURE, "bands")).alias("least"))
+    own = least.select("digest", "least.*").withColumnRenamed("id", "class").withColumn("id", F.monotonically_increasing_id())
+    own = materialize(own, "own")
+    classes = own.select("digest", "class", F.col("id").alias("node"))
     member = own.select("id", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("id").alias("size")).filter("size > 1")
     buckets = materialize(member.join(size, "key").select("key", "id", "size"), "buckets")
@@ -231,28 +233,26 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     nodes = materialize(nodes, "nodes")
     # Merged at every size, so that the plan that is tried on little data is the one that runs on much.
     first = nodes.select(F.col("class").alias("id"), "digest", F.col("id").alias("node")).hint("merge")
-    texts = worded(plain.filter("id IS NOT NULL")).join(first, ["id", "digest"]).select(F.col("node").alias("id"), "text").distinct()
-    texts, nodes = materialize(texts, "texts"), nodes.drop("class", "digest")
+    texts = worded(plain.filter("id IS NOT NULL")).join(first, ["id", "digest"]).dropDuplicates(["id", "digest"])
+    texts, nodes = materialize(texts.select(F.col("node").alias("id"), "text"), "texts"), nodes.drop("class", "digest")
 
-    links, tried, found = None, None, None
+    # Every class is a component at first, so each bucket holds several.
+    tried, found, apart = None, None, with_component(buckets, None)
     for turn in range(ROUNDS):
-        buckets = materialize(mixed(buckets, found), "mixed")
-        proposed = materialize(proposals(buckets, nodes, found, tried, percent, turn), "proposals")
+        proposed = materialize(proposals(apart, nodes, tried, percent, turn), "proposals")
         if proposed.isEmpty():
             break
         tried = proposed if tried is None else tried.unionByName(proposed)
         pairs = proposed.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct()
-        more = confirmed(pairs, texts, width, percent)
-        links = materialize(more if links is None else links.unionByName(more), "links")
-        found = components(links)
-    apart = materialize(with_component(mixed(buckets, found), found), "apart")
+        found = components(joining(confirmed(pairs, texts, width, percent), found))
+        apart = materialize(mixed(apart, found), "apart")
     if not apart.isEmpty():
         # Without any proposal, every class is a component and nothing was tried.
         empty = lambda schema: docs.sparkSession.createDataFrame([], schema)
         before = empty("id LONG, component LONG") if found is None else found
         done = empty("id LONG, partner LONG") if tried is None else tried
         more = rest_links(apart, before, nodes, texts, done, width, percent)
-        found = components(more if links is None else links.unionByName(more))
+        found = components(joining(more, found))
 
     labels = headed(classes, found)
     joined = sketched.select("id", "digest", "n").join(labels, "digest", "left")
@@ -301,17 +301,22 @@ def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def mixed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Rows of the buckets that hold more than one component."""
-    known = with_component(buckets, found)
+def joining(links: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Links and the components found before them, each as links to its smallest node."""
+    return links if found is None else links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+
+
+def mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with the component."""
+    known = with_component(buckets.drop("component"), found)
     keys = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return buckets.join(keys.select("key"), "key")
+    return known.join(keys.select("key"), "key")
 
 
-def proposals(buckets: DataFrame, nodes: DataFrame, found: DataFrame | None, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
+def proposals(buckets: DataFrame, nodes: DataFrame, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
     """(id, partner): for each document the most similar ones of other components in its buckets that it hasn't tried."""
     least = least_matches(percent)
-    rows = with_component(buckets.join(nodes, "id"), found)
+    rows = buckets.join(nodes, "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BLOCK)))
     if tried is None:
         rows = rows.withColumn("tried", F.array().cast("array<long>"))
@@ -394,7 +399,7 @@ def rest_links(apart: DataFrame, found: DataFrame, nodes: DataFrame, texts: Data
     dealt = rows.select(*group, "side", "id", "component", "n", *SIGNATURE, "text").repartition(*group).sortWithinPartitions(*group)
     found_links = dealt.mapInArrow(by_group(lambda table: block_links(table, width, percent), group), "a LONG, b LONG")
     few = pair_links(others.filter(F.col("size") <= FEW), nodes, texts, tried, width, percent)
-    return materialize(found_links.unionByName(few), "rest")
+    return found_links.unionByName(few)
 
 
 def block_links(table: pa.Table, width: int, percent: int) -> pa.RecordBatch:
