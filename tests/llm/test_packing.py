@@ -2,12 +2,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidegate.llm.packing import best_two_fit, cut, packed_documents, place
+from tidegate.llm import packing
+from tidegate.llm.packing import TEXTS, best_two_fit, cut, packed_documents, place
 from tidegate.llm.tokens import tokenizer
+from tidegate.scale import batch_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,3 +63,27 @@ def test_documents_against_the_library(spark):
     for places in bins.values():
         assert [o for o, _ in sorted(places)] == [0, *np.cumsum([n for _, n in sorted(places)])[:-1].tolist()]
     assert packed_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.materialize
+
+    def noted(df, name):
+        seen.append(spark.conf.get(key))
+        return write(df, name)
+
+    monkeypatch.setattr(packing, "materialize", noted)
+    before = spark.conf.get(key)
+    assert packed_documents(spark.createDataFrame([(1, "a b")], "doc_id LONG, text STRING"), PATH).count() == 1
+    assert seen == [str(TEXTS)] and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    with pytest.raises(ZeroDivisionError), batch_rows(spark, 300):
+        got = [r.n for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n LONG").collect()]
+        with batch_rows(spark, 1000):  # the fewer rows hold
+            assert spark.conf.get(key) == "300"
+        1 / 0
+    assert max(got) == 300 and sum(got) == 1000 and spark.conf.get(key) == before

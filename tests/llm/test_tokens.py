@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import public_tokenizers
 import pyarrow as pa
@@ -52,6 +53,18 @@ def test_new_words_go_to_the_library_once_and_in_small_calls():
     assert sum(seen.calls) < 10
 
 
+def test_ids_are_put_together_for_few_pieces_at_once():
+    mine, texts = Encoder(PATH), pa.array([f"start{i}" + " the cat sat on a mat" * 500 for i in range(400)])
+    tracemalloc.start()
+    found = mine.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tok = tokenizer(PATH)
+    assert all(found[i].tolist() == tok.encode(texts[i].as_py(), add_special_tokens=False).ids for i in (0, 1, 37, 399))
+    # 1.2 million pieces in 4 MB: places and ids took 3.3 bytes a byte of text, with all put together at once 11.4.
+    assert most < 6 * texts.nbytes
+
+
 def test_another_kind_of_tokenizer_is_used_as_it_is():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, mine = tokenizer(path), Encoder(path)

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import materialize
+from ..scale import batch_rows, materialize
 from .tokens import encoder, slices
 
 CAPACITY, END = 2048, 0
 # Pieces packed by one task. Each group leaves about half a sequence unfilled, one part in some thousands.
 GROUP = 8192
+# Texts sent to Python at once.
+TEXTS = 2000
 PIECES = "id LONG, piece INT, start LONG, length LONG, ids_crc32 LONG"
 PLACED = PIECES + ", sequence_id LONG, `offset` LONG"
 
@@ -42,6 +44,8 @@ def pieces(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column
                 names = ["id", "piece", "start", "length", "ids_crc32"]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        # The worker is kept for other tasks, and Arrow would keep its largest memory.
+        pa.default_memory_pool().release_unused()
 
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return plain.mapInArrow(run, PIECES)
@@ -129,5 +133,6 @@ def packed_documents(docs: DataFrame, path: str, *, id_column: str = "doc_id", t
     Nulls and empty texts become one piece that holds the end id. Repeated rows are packed each for themselves. An empty
     table gives no rows. Other columns are ignored. The tokenizers file must be at ``path`` on every executor.
     """
-    found = materialize(pieces(docs, path, id_column=id_column, text_column=text_column, capacity=capacity, end=end), "pieces")
+    with batch_rows(docs.sparkSession, TEXTS):
+        found = materialize(pieces(docs, path, id_column=id_column, text_column=text_column, capacity=capacity, end=end), "pieces")
     return pack(found, capacity=capacity, group=group).withColumnRenamed("id", id_column)
